@@ -43,3 +43,29 @@ def hash_pair(value: Column) -> tuple[Column, Column]:
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+PLACE = "array<struct<start:int,stop:int,text:string>>"
+
+
+def places(text: Column, pattern: Column | str) -> Column:
+    """All matches of a pattern that matches no empty string, leftmost first, as PLACE in code points.
+
+    Spark has no function for the positions of matches; the lengths of the pieces
+    between them give these.
+    """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    pairs = F.zip_with(found, gaps, lambda m, gap: F.struct(F.length(gap).alias("gap"), m.alias("m")))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        stop = start + F.length(x["m"])
+        return F.struct(stop.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("text"))).alias("out"))
+
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(PLACE).alias("out")), step, lambda acc: acc["out"])
+
+
+def no_places() -> Column:
+    return F.array().cast(PLACE)

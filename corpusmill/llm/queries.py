@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .licenses import op5_license_scan
 from .lines import OP8_SQL, op8_line_dedup
 from .sharding import op9_sharding
 
 QUERIES = {
+    "op5_license_scan": op5_license_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
 }
