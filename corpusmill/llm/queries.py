@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .licenses import op5_license_scan
 from .lines import OP8_SQL, op8_line_dedup
+from .pii import op10_pii
 from .sharding import op9_sharding
 
 QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
+    "op10_pii": op10_pii,
 }
 
 ORACLES = {"op8_line_dedup": OP8_SQL}
