@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .licenses import op5_license_scan
 from .lines import OP8_SQL, op8_line_dedup
+from .packing import op1_packing
 from .pii import op10_pii
 from .sharding import op9_sharding
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op5_license_scan": op5_license_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
