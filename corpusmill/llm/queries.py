@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import op2_jaccard_join
 from .licenses import op5_license_scan
 from .lines import OP8_SQL, op8_line_dedup
 from .packing import op1_packing
@@ -10,6 +11,7 @@ from .sharding import op9_sharding
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_jaccard_join": op2_jaccard_join,
     "op5_license_scan": op5_license_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
