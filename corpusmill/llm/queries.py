@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op4_decontamination
 from .jaccard import op2_jaccard_join
 from .licenses import op5_license_scan
 from .lines import OP8_SQL, op8_line_dedup
@@ -12,6 +13,7 @@ from .sharding import op9_sharding
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_jaccard_join": op2_jaccard_join,
+    "op4_decontamination": op4_decontamination,
     "op5_license_scan": op5_license_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
