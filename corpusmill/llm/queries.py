@@ -8,6 +8,7 @@ from .licenses import op5_license_scan
 from .lines import OP8_SQL, op8_line_dedup
 from .packing import op1_packing
 from .pii import op10_pii
+from .quality import op6_quality_rules
 from .sharding import op9_sharding
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_license_scan": op5_license_scan,
     "op8_line_dedup": op8_line_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_pii": op10_pii,
 }
