@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op4_decontamination
 from .jaccard import op2_jaccard_join
+from .language_model import op7_language_model
 from .licenses import op5_license_scan
 from .lines import OP8_SQL, op8_line_dedup
 from .packing import op1_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op4_decontamination": op4_decontamination,
     "op5_license_scan": op5_license_scan,
+    "op7_language_model": op7_language_model,
     "op8_line_dedup": op8_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op9_sharding": op9_sharding,
