@@ -11,10 +11,12 @@ from .packing import op1_packing
 from .pii import op10_pii
 from .quality import op6_quality_rules
 from .sharding import op9_sharding
+from .suffixes import op3_suffix_dedup
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_license_scan": op5_license_scan,
     "op7_language_model": op7_language_model,
