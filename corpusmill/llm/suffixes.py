@@ -33,7 +33,7 @@ from .arrays import mix, prefix_hash, span_hash, spans_of
 from .common import documents, stored
 
 #: Bytes of an anchor; bytes of text hashed together; bytes of text for each shard; bytes of a chunk of contexts.
-GRAM, BATCH_BYTES, SHARD_BYTES, CHUNK_BYTES = 24, 8_000_000, 12_000_000, 4_000_000
+GRAM, BATCH_BYTES, SHARD_BYTES, CHUNK_BYTES = 24, 2_000_000, 8_000_000, 1_500_000
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
