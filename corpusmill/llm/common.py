@@ -69,3 +69,34 @@ def places(text: Column, pattern: Column | str) -> Column:
 
 def no_places() -> Column:
     return F.array().cast(PLACE)
+
+
+#: Rows of a batch that Spark hands to Python; texts are long, and the default of 10,000 rows takes much memory on both sides.
+ARROW_ROWS = 2000
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system: an idle worker stays beside the executor, which later stages need."""
+    import contextlib
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, f, schema, rows: int = ARROW_ROWS) -> DataFrame:
+    """df.mapInArrow(f, schema) in batches of so many rows at most; the worker gives freed memory back at the end."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df.mapInArrow(run, schema)

@@ -64,7 +64,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: flo
 
     Similarity is |intersection| / |union| of the multisets of k-word shingles of item and window, the window being as
     many words as the item (or the whole document, if that is shorter). A text or item of fewer
-    than k words is one shingle; null and empty ones match nothing. distance is the Hamming distance of the SimHashes.
+    than k words is one shingle, so such an item matches only a text of just its words; null and empty ones match nothing. distance is the Hamming distance of the SimHashes.
     Rows of one id with one text give one hit; a null id gives a hit with a null id. Empty tables give an
     empty result. benchmark has item_id and text; other columns of both are ignored.
     """

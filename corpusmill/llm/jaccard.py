@@ -26,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Words, mix, spans_of, texts_of
-from .common import documents, stored
+from .common import documents, map_arrow, stored
 from .components import components
 
 #: Bytes of text hashed together; members of a block of a large tile; most bits of a bitmap.
-BATCH_BYTES, BLOCK, MOST_BITS = 4_000_000, 2048, 4096
+BATCH_BYTES, BLOCK, MOST_BITS = 1_500_000, 2048, 4096
 SKETCH = "id long, n long, s1 long, s2 long, cells array<long>, bits array<long>"
 
 
@@ -188,7 +188,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """
     low = F.lit(-(2**63))
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), low).alias("id"), F.col(text_col).alias("text"))
-    sketch = stored(own.mapInArrow(_sketch(k, num, den), SKETCH))
+    sketch = stored(map_arrow(own, _sketch(k, num, den), SKETCH))
     classes = stored(sketch.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rid")))
     of_class = sketch.where("n > 0").withColumnRenamed("id", "rid")
     reps = of_class.join(classes, ["s1", "s2", "n", "rid"], "left_semi")
@@ -207,7 +207,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         likely = pairs.join(side(known, "b"), "b").join(side(known, "a"), "a").where(_bounded(num, den)).select("a", "b")
         likely = stored(likely.distinct())
         with_texts = likely.join(side(texts, "b"), "b").join(side(texts, "a"), "a").select("a", "b", "a_text", "b_text")
-        return with_texts.mapInArrow(_verify(k, num, den), "a long, b long")
+        return map_arrow(with_texts, _verify(k, num, den), "a long, b long")
 
     near = members.select("rid", F.explode(F.array("lo", "hi")).alias("pivot")).where("rid <> pivot")
     near = near.select(F.least("rid", "pivot").alias("a"), F.greatest("rid", "pivot").alias("b")).distinct()

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .arrays import spans_of
-from .common import documents, stored
+from .common import documents, map_arrow, stored
 
 #: Chunks (texts between ASCII white space) whose ids a worker remembers, at most.
 REMEMBERED = 600_000
@@ -344,7 +344,7 @@ def pack(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    pieces = stored(rows.mapInArrow(_cut(tokenizer, capacity, end_id), PIECES))
+    pieces = stored(map_arrow(rows, _cut(tokenizer, capacity, end_id), PIECES, 10_000))
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     table, sequence = [], 0
     for places in plan(counts, capacity):

@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import SPACE, Words, spans_of
-from .common import documents
+from .common import documents, map_arrow
 
 #: Labelled rows that the forest and its threshold are fitted on, at most; trees; rows a tree.
 SAMPLE, TREES, ROWS_A_TREE = 6_000, 200, 512
 #: Of good held-out rows, the share that the threshold must keep; words added to even out short texts.
 KEEP_GOOD, EVEN = 0.998, 20
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_500_000
 #: Fixed values of the rules.
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEATED = b"#*$%&|<>", 8, 20, 30
 
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     chosen = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__quality")).orderBy(F.xxhash64("__id"), "__quality").limit(sample)
     found = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("__id", "__quality", F.col(text_col).alias("text"))
-    rows = found.mapInArrow(_statistics_of, "id long, quality int, " + ", ".join(f"{k} long" for k in COUNTS + MORE)).orderBy("id", *COUNTS).limit(2 * sample).collect()
+    rows = map_arrow(found, _statistics_of, "id long, quality int, " + ", ".join(f"{k} long" for k in COUNTS + MORE)).orderBy("id", *COUNTS).limit(2 * sample).collect()
     s = {k: np.array([r[k] for r in rows], np.int64) for k in COUNTS + MORE}
     if not rows:
         return Model(None, 1.0)
@@ -194,7 +194,7 @@ def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 cols = [batch.column(0).slice(lo, hi - lo), *(pa.array(s[k], pa.int64()) for k in COUNTS), pa.array(score), pa.array(base_failed(s)), pa.array(kept)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *COUNTS, "score", "base_failed", "kept"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS) + ", score double, base_failed boolean, kept boolean")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS) + ", score double, base_failed boolean, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -207,7 +207,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
                 part = batch.slice(lo, hi - lo)
                 yield part.filter(pa.array(model.judge(_bytes(part.column(place)))[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op6_quality_rules(spark, sf_dir):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import mix, prefix_hash, span_hash, spans_of
-from .common import documents, stored
+from .common import documents, map_arrow, stored
 
 #: Bytes of an anchor; bytes of text hashed together; bytes of text for each shard; bytes of a chunk of contexts.
 GRAM, BATCH_BYTES, SHARD_BYTES, CHUNK_BYTES = 24, 2_000_000, 8_000_000, 1_500_000
@@ -406,18 +406,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = GRAM, id_col:
     total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(8, -(-total // SHARD_BYTES))
 
-    scanned = stored(own.mapInArrow(_scan(length, gram, shards), FOUND), "lz4")
+    scanned = stored(map_arrow(own, _scan(length, gram, shards), FOUND), "lz4")
     settled = stored(scanned.where("shard is not null").groupBy("shard").applyInArrow(_settle(shards), FOUND))
     named = settled.where("pos is not null").groupBy("id", "tag").agg(F.collect_list(F.struct("shard", "pos", "anchor")).alias("wanted"))
-    pressed = own.mapInArrow(_pressed, "id long, tag long, z binary")
-    contexts = pressed.join(named, ["id", "tag"]).mapInArrow(_fetch(length, gram), FOUND)
+    pressed = map_arrow(own, _pressed, "id long, tag long, z binary")
+    contexts = map_arrow(pressed.join(named, ["id", "tag"]), _fetch(length, gram), FOUND)
     strings = contexts.groupBy("shard").applyInArrow(_sort(length, gram), FOUND)
 
     whole = scanned.where("shard is null").select("id", "tag", "blob").union(settled.where("pos is null").select("id", "tag", "blob"))
     marks = whole.withColumn("kind", F.lit(0)).union(strings.select("id", "tag", "blob", F.lit(1).alias("kind")))
     marks = stored(marks)
     of_doc = marks.groupBy("id", "tag").agg(F.collect_list(F.when(F.col("kind") == 0, F.col("blob"))).alias("whole"), F.collect_list(F.when(F.col("kind") == 1, F.col("blob"))).alias("strings"))
-    cut = pressed.join(of_doc, ["id", "tag"], "left").select("id", "z", "whole", "strings").mapInArrow(_cut(length, gram, digest), CUT)
+    cut = map_arrow(pressed.join(of_doc, ["id", "tag"], "left").select("id", "z", "whole", "strings"), _cut(length, gram, digest), CUT)
     return cut.withColumn("doc_id", F.when(F.col("doc_id") != low, F.col("doc_id")))
 
 
