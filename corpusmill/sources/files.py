@@ -51,9 +51,10 @@ def crawl(spark: SparkSession, root: str, allowed: list[str] | None = None) -> D
     above = F.transform(F.sequence(F.lit(2), F.size(F.split(inner, "/")) - 1), lambda n: F.array_join(F.slice(F.split(inner, "/"), 1, n), "/"))
     clear = F.when(F.size(F.split(inner, "/")) > 2, ~F.exists(above, lambda d: skip_reason(d, allowed).isNotNull())).otherwise(True)
     kept = found.where(clear & ~hidden(X.basename(F.col("file_path"))) & X.suffix(F.col("file_path")).isin(*TEXT))
-    binary = F.position(F.lit(b"\x00"), F.substring(F.col("content"), 1, 1024)) > 0
+    binary = F.contains(F.substring(F.col("content"), 1, 1024), F.lit(b"\x00"))
     large = F.col("file_size") > MOST_BYTES
-    text = F.when(F.is_valid_utf8(F.decode("content", "UTF-8")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
+    as_utf8 = F.col("content").cast("string")
+    text = F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(F.decode("content", "ISO-8859-1"))
     return kept.select(
         "file_path",
         F.when(F.col("file_size") > MOST_HASHED, "too_large").otherwise(F.md5("content")).alias("file_hash"),

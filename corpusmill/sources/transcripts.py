@@ -15,7 +15,7 @@ def content_text(content: Column) -> Column:
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
     """file, line, role, text of each line that parses; others are dropped."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     parsed = raw.withColumn("v", F.try_parse_json("value")).where("v is not null")
     return parsed.select("file", "line", F.try_variant_get("v", "$.role", "string").alias("role"), F.try_variant_get("v", "$.content", "variant").alias("content")).where("content is not null").select("file", "line", "role", content_text(F.col("content")).alias("text"))
 
