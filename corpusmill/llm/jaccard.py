@@ -20,8 +20,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,9 @@ from .components import components
 
 #: Bytes of text hashed together; members of a block of a large tile; most bits of a bitmap.
 BATCH_BYTES, BLOCK, MOST_BITS = 1_500_000, 2048, 4096
-SKETCH = "id long, n long, s1 long, s2 long, cells array<long>, bits array<long>"
+#: Bytes of text for each bucket of tiles; copies up to which a broadcast leaves them out.
+BUCKET_BYTES, BROADCAST_ROWS = 8_000_000, 500_000
+SKETCH = "id long, th long, n long, s1 long, s2 long, bits array<long>"
 
 
 class Bands:
@@ -95,28 +97,71 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
 
 
-def _sketch(k: int, num: int, den: int):
+def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
-        none = np.empty(0, np.uint64)
         for batch in batches:
-            for lo, hi in spans_of(batch.column(1), BATCH_BYTES):
-                n, s1, s2, cells, bits = [], [], [], [], []
-                for u in Words(texts_of(batch.column(1).slice(lo, hi - lo))).sets(k):
+            for lo, hi in spans_of(batch.column(2), BATCH_BYTES):
+                n, s1, s2, bits = [], [], [], []
+                for u in Words(texts_of(batch.column(2).slice(lo, hi - lo))).sets(k):
                     n.append(len(u))
                     s1.append(mix(u).sum(dtype=np.uint64))
                     s2.append(mix(u + np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64))
-                    keys = bands.of(u) if len(u) else []
-                    cells.append(np.concatenate(keys) if keys else none)
-                    bits.append(_bits(u) if len(u) else none.view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), _lists(cells), _lists(bits)],
-                    names=["id", "n", "s1", "s2", "cells", "bits"],
-                )
+                    bits.append(_bits(u) if len(u) else np.empty(0, np.int64))
+                sums = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s1, s2)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), pa.array(n, pa.int64()), *sums, _lists(bits)], names=["id", "th", "n", "s1", "s2", "bits"])
+
+    return run
+
+
+def _deal(k: int, num: int, den: int, buckets: int):
+    """Tile keys of each text, dealt out to buckets: one row for each bucket and slice of texts, ids once and keys packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
+        for batch in batches:
+            for lo, hi in spans_of(batch.column(1), BATCH_BYTES):
+                ids = batch.column(0).slice(lo, hi - lo).to_numpy()
+                parts = [np.concatenate(x) if len(u) and (x := bands.of(u)) else np.empty(0, np.uint64) for u in Words(texts_of(batch.column(1).slice(lo, hi - lo))).sets(k)]
+                keys = np.concatenate(parts)
+                text = np.repeat(np.arange(len(parts)), list(map(len, parts)))
+                bucket = (keys >> np.uint64(32)).astype(np.int64) % buckets
+                order = np.argsort(bucket, kind="stable")
+                keys, text, bucket = keys[order], text[order], bucket[order]
+                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else np.empty(0, np.int64)
+                blobs = []
+                for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                    own = text[a:b]
+                    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                    head = ids[own[first]].astype("<i8").tobytes() + np.diff(np.append(first, b - a)).astype("<u4").tobytes()
+                    packed = zstandard.ZstdCompressor(level=1).compress(head)
+                    blobs.append(np.array([len(first), len(packed)], "<i8").tobytes() + packed + (keys[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     return run
 
 
+MEMBERS = "key long, rid long, lo long, hi long"
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """The members of a bucket's tiles of two ids or more, with the tile's smallest and largest id."""
+    keys, rids = [], []
+    for blob in table.column("blob").to_pylist():
+        runs, size = np.frombuffer(blob[:16], "<i8").tolist()
+        head = zstandard.ZstdDecompressor().decompress(blob[16 : 16 + size])
+        rids.append(np.repeat(np.frombuffer(head[: 8 * runs], "<i8"), np.frombuffer(head[8 * runs :], "<u4")))
+        keys.append(np.frombuffer(blob[16 + size :], "<u4"))
+    key, rid = np.concatenate(keys), np.concatenate(rids)
+    order = np.argsort(key, kind="stable")
+    key, rid = key[order], rid[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    count = np.diff(np.append(first, len(key)))
+    lo, hi = (np.repeat(f.reduceat(rid, first), count) for f in (np.minimum, np.maximum))
+    some = lo < hi
+    whole = key[some].astype(np.int64) | (np.int64(table.column("bucket")[0].as_py()) << 32)
+    return pa.table({"key": whole, "rid": rid[some], "lo": lo[some], "hi": hi[some]})
+
+
 def _verify(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,27 +195,61 @@ def _bounded(num: int, den: int) -> Column:
 
 
 def _block_pairs(num: int, den: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[np.ndarray] = []
-        i, j = pdf["i"].iat[0], pdf["j"].iat[0]
-        ids, label, n = pdf["rid"].to_numpy(), pdf["label"].to_numpy(), pdf["n"].to_numpy()
-        first, second = (np.flatnonzero(pdf["block"].to_numpy() == x) for x in (i, j))
-        widths = pdf["bits"].map(len).to_numpy()
-        by_width = {w: np.stack([np.asarray(x, np.int64) for x in pdf["bits"][widths == w]]).view(np.uint64) for w in set(widths.tolist())}
-        row = np.zeros(len(pdf), np.int64)
-        for w in by_width:
-            row[widths == w] = np.arange((widths == w).sum())
-        for x in first.tolist():
-            others = second[(label[second] != label[x]) & (ids[second] > ids[x] if i == j else True)]
-            most = np.minimum(n[others], n[x])
-            alike = widths[others] == widths[x]
-            mine, theirs = by_width[widths[x]][row[x]], by_width[widths[x]][row[others[alike]]]
-            most[alike] = np.minimum(n[x] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64), n[others[alike]] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64))
-            good = others[most * (den + num) >= (n[others] + n[x]) * num]
-            if len(good):
-                out.append(np.stack([np.minimum(ids[x], ids[good]), np.maximum(ids[x], ids[good])], axis=1))
-        got = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
+    """Pairs of ids across components within blocks (runs of rows with equal key, i, j) that sizes and bitmaps leave possible.
+
+    Rows come ordered by block; all blocks of a batch are compared at once, by distance within the block.
+    """
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        key, i, j, rid, label, n, block = (t.column(c).to_numpy() for c in ("key", "i", "j", "rid", "label", "n", "block"))
+        bits = t.column("bits").combine_chunks()
+        flat, at = bits.flatten().to_numpy().view(np.uint64), bits.offsets.to_numpy().astype(np.int64)
+        at = at - at[0]
+        width = np.diff(at)
+        run = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        first, second = [], []
+        x = np.arange(len(run))
+        for d in range(1, len(run)):
+            x = x[x + d < len(run)]
+            x = x[run[x] == run[x + d]]  # once too far apart, they stay so
+            if not len(x):
+                break
+            y = x + d
+            low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            ok = (label[x] != label[y]) & (low * den >= high * num) & ((i[x] == j[x]) | (block[x] != block[y]))
+            first.append(x[ok])
+            second.append(y[ok])
+        a, b = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (first, second))
+        _, once = np.unique(np.stack([np.minimum(rid[a], rid[b]), np.maximum(rid[a], rid[b])], axis=1), axis=0, return_index=True)
+        a, b = a[once], b[once]
+        most = np.minimum(n[a], n[b])
+        for w in np.unique(width[a]):
+            same = np.flatnonzero((width[a] == w) & (width[b] == w))
+            for part in np.array_split(same, max(1, len(same) * int(w) // 1_000_000)):
+                p, q = (flat[at[z[part]][:, None] + np.arange(w)] for z in (a, b))
+                left, right = (np.bitwise_count(u & ~v).sum(axis=1, dtype=np.int64) for u, v in ((p, q), (q, p)))
+                most[part] = np.minimum(n[a[part]] - left, n[b[part]] - right)
+        good = most * (den + num) >= (n[a] + n[b]) * num
+        a, b = rid[a[good]], rid[b[good]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # the last block may go on in the next batch
+            block = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+            goes_on = (block == block[:, -1:]).all(axis=0)
+            cut = int(np.flatnonzero(~goes_on)[-1]) + 1 if not goes_on.all() else 0
+            if held and (cut or any(held[-1].column(c)[-1] != batch.column(c)[0] for c in ("key", "i", "j"))):
+                yield pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield pairs(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
 
     return run
 
@@ -187,17 +266,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     An empty table gives an empty result; other columns are dropped.
     """
     low = F.lit(-(2**63))
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), low).alias("id"), F.col(text_col).alias("text"))
-    sketch = stored(map_arrow(own, _sketch(k, num, den), SKETCH))
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), low).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
+    sketch = stored(map_arrow(own, _sketch(k), SKETCH))
     classes = stored(sketch.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rid")))
     of_class = sketch.where("n > 0").withColumnRenamed("id", "rid")
-    reps = of_class.join(classes, ["s1", "s2", "n", "rid"], "left_semi")
-    tiled = reps.where(F.size("cells") > 0).select("rid", F.explode("cells").alias("key"))
-    shared = tiled.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo < hi")
-    members = stored(tiled.join(shared, "key"))
+    # tiles are of representatives: copies are left out, by a broadcast if they are few
+    copies = stored(sketch.where("n > 0").join(classes, ["s1", "s2", "n"]).where("id <> rid").select("id", "th").distinct())
+    reps = own.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, ["id", "th"], "left_anti").select("id", "text")
+    buckets = max(8, -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
+    members = stored(map_arrow(reps, _deal(k, num, den, buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_meet, MEMBERS))
 
     known = of_class.select("rid", "n", "bits")
-    texts = own.withColumnRenamed("id", "rid")
+    texts = own.select(F.col("id").alias("rid"), "text")
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(*[F.col(c).alias(name if c == "rid" else f"{name}_{c}") for c in df.columns])
@@ -225,7 +305,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     within = labelled.join(mixed.select("key", blocks.alias("blocks")), "key").join(known, "rid")
     within = within.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     within = within.select("key", "rid", "label", "n", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    more = within.groupBy("key", "i", "j").applyInPandas(_block_pairs(num, den), "a long, b long").distinct()
+    within = within.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = map_arrow(within, _block_pairs(num, den), "a long, b long").distinct()
     more = stored(linked(more.join(near, ["a", "b"], "left_anti")))
     # components of the first round, joined by the links of the second
     final = components(edges.union(more)) if more.limit(1).count() else first

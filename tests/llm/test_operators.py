@@ -243,7 +243,7 @@ def test_leaks_awkward(spark, awkward, nothing):
     bench = spark.createDataFrame([(1, REPEATED[3][1] + " and so on and on")], "item_id long, text string")
     assert decontaminate.find_leaks(awkward, bench).count() == decontaminate.find_leaks(nothing, bench).count() == 0
     bench = spark.createDataFrame([(1, REPEATED[3][1]), (2, REPEATED[0][1])], "item_id long, text string")
-    assert awkward.count() - decontaminate.decontaminate(awkward, bench).count() == 5
+    assert awkward.count() - decontaminate.decontaminate(awkward, bench).count() == 6  # all rows with id 7 or none
     assert decontaminate.decontaminate(awkward, bench.limit(0)).count() == awkward.count()
 
 
