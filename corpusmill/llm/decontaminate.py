@@ -2,8 +2,8 @@
 
 Words are runs of letters and digits, lower-cased; a text's shingles are its k-word runs. A
 window that is similar enough to an item shares most of its shingles, so documents are first
-joined with the items' shingles; a (document, item) pair with too few common places is dropped, and the
-common places' alignments bound where a similar window can start. Each such window, as
+joined with the items' shingles. A window is tried wherever it holds enough common places, in
+whatever order they stand; a (document, item) pair without one is dropped. Each such window, as
 long as the item, gets a 64-bit SimHash. Fingerprints are cut into radius + 1 blocks: two that differ
 in at most radius bits agree in some block, so a join on blocks among windows and items of one
 length finds them all. What lies within the radius is decided by the exact
@@ -59,6 +59,19 @@ def _tagged(ordered: Column) -> Column:
     return F.transform(ordered, lambda x, i: F.xxhash64(x, i.cast("long") - F.array_position(ordered, x)))
 
 
+def _starts(common: Column, n: Column, m: Column, need: Column) -> Column:
+    """Starts of all windows of m of a document's n shingles (of all, if fewer) that hold `need` of the sorted places `common` or more.
+
+    Such a window holds `need` places in a row, from the i-th on, and starts at or before it; each start is named once, by the first i.
+    """
+    place = lambda i: F.get(common, i)
+    last = F.greatest(n - m, F.lit(0))
+    lo = lambda i: F.greatest(F.lit(0), place(i + need - 1) - m + 1, F.coalesce(place(i - 1), F.lit(-1)) + 1)
+    hi = lambda i: F.least(place(i), last)
+    runs = F.transform(F.sequence(F.lit(0), F.size(common) - need), lambda i: F.when(lo(i) <= hi(i), F.sequence(lo(i), hi(i))).otherwise(F.array().cast("array<int>")))
+    return F.flatten(runs)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """HITS: for each document and benchmark item with a window of similarity threshold or more, the best and then first such window.
 
@@ -74,24 +87,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: flo
         benchmark.select("item_id", hashes(F.col("text")).alias("wh"))
         .where(F.size("wh") > 0)
         .select("item_id", F.size("wh").alias("length"), F.array_sort(_shingles(F.col("wh"), k)).alias("ordered"), _shingles(F.col("wh"), k).alias("item_sh"))
-        .withColumns({"need": F.ceil(F.size("item_sh") * share - 1e-9), "slack": F.floor(F.size("item_sh") * (1 - share) + 1e-9).cast("int"), "item_fp": _simhash(F.col("item_sh")), "item_set": _tagged(F.col("ordered"))})
+        .withColumns({"m": F.size("item_sh"), "need": F.ceil(F.size("item_sh") * share - 1e-9).cast("int"), "item_fp": _simhash(F.col("item_sh")), "item_set": _tagged(F.col("ordered"))})
     )
     items = stored(items)
-    index = items.select("item_id", "length", "need", "slack", F.posexplode("item_sh").alias("ipos", "h"))
+    index = items.select("item_id", "length", "m", "need", F.explode(F.array_distinct("item_sh")).alias("h"))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     own = own.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
 
     # a column that lambdas read must stand in a projection of its own, or it is computed anew for every element;
     # and explode would send a filter through that projection, so it is the outer one that runs
-    places = own.select("did", "th", hashes(F.col("text")).alias("wh")).select("did", "th", _shingles(F.col("wh"), k).alias("sh")).select("did", "th", F.posexplode_outer("sh").alias("pos", "h"))
+    places = own.select("did", "th", hashes(F.col("text")).alias("wh")).select("did", "th", _shingles(F.col("wh"), k).alias("sh")).select("did", "th", F.size("sh").alias("n_sh"), F.posexplode_outer("sh").alias("pos", "h"))
     found = (
         places.join(_small(index), "h")
         .groupBy("did", "th", "item_id")
-        .agg(F.count_distinct("pos").alias("common"), F.first("need").alias("need"), F.first("length").alias("length"), F.first("slack").alias("slack"), F.collect_set(F.col("pos") - F.col("ipos")).alias("aligned"))
-        .where("common >= need")
+        .agg(*[F.first(c).alias(c) for c in ("n_sh", "length", "m", "need")], F.array_sort(F.collect_set("pos")).alias("common"))
+        .where(F.size("common") >= F.col("need"))
     )
-    starts = F.array_distinct(F.flatten(F.transform("aligned", lambda a: F.sequence(a - F.col("slack"), a + F.col("slack")))))
-    found = stored(found.select("did", "th", "length", starts.alias("starts")))
+    found = found.select("did", "th", "length", _starts(F.col("common"), F.col("n_sh"), F.col("m"), F.col("need")).alias("starts"))
+    found = stored(found.where(F.size("starts") > 0))
     # the gate's windows, whichever item they came from
     texts = own.join(_small(found), ["did", "th"]).select("did", "th", "doc_id", "length", "starts", hashes(F.col("text")).alias("wh"))
     texts = texts.withColumns({"sh": _shingles(F.col("wh"), k), "n": F.size("wh")})

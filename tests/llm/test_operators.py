@@ -239,6 +239,20 @@ def test_leaks(spark, texts):
     assert {(x["doc_id"], x["item_id"]): (x["start"], round(x["similarity"], 9)) for x in got.collect()} == brute_leaks(some, items)
 
 
+def test_leaks_in_another_order(spark):
+    r = random.Random(12)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    items = {n: prose(n) for n in (60, 100, 200)}
+    some = {}
+    for n, t in items.items():
+        w = t.split()
+        some[n] = f"{prose(300)} {' '.join(w[n // 2 :] + w[: n // 2])} {prose(300)}"
+        some[1000 + n] = " ".join(w[2 * n // 3 :] + w[n // 3 : 2 * n // 3] + w[: n // 3]) + " " + prose(250)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["start"], round(x["similarity"], 9)) for x in decontaminate.find_leaks(frame(spark, some.items()), bench).collect()}
+    assert got == brute_leaks(some, items) and len(got) >= 5
+
+
 def test_leaks_awkward(spark, awkward, nothing):
     bench = spark.createDataFrame([(1, REPEATED[3][1] + " and so on and on")], "item_id long, text string")
     assert decontaminate.find_leaks(awkward, bench).count() == decontaminate.find_leaks(nothing, bench).count() == 0
