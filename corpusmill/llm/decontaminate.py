@@ -81,16 +81,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: flo
     Rows of one id with one text give one hit; a null id gives a hit with a null id. Empty tables give an
     empty result. benchmark has item_id and text; other columns of both are ignored.
     """
-    share = 2 * threshold / (1 + threshold)  # of the shingles that window and item have in common, at the threshold
+    share = threshold / (1 + threshold)  # of window's and item's shingles together, that are common at the threshold
     hashes = lambda text: F.transform(_words(text), lambda w: F.xxhash64(w))
     items = (
         benchmark.select("item_id", hashes(F.col("text")).alias("wh"))
         .where(F.size("wh") > 0)
         .select("item_id", F.size("wh").alias("length"), F.array_sort(_shingles(F.col("wh"), k)).alias("ordered"), _shingles(F.col("wh"), k).alias("item_sh"))
-        .withColumns({"m": F.size("item_sh"), "need": F.ceil(F.size("item_sh") * share - 1e-9).cast("int"), "item_fp": _simhash(F.col("item_sh")), "item_set": _tagged(F.col("ordered"))})
+        .withColumns({"m": F.size("item_sh"), "item_fp": _simhash(F.col("item_sh")), "item_set": _tagged(F.col("ordered"))})
     )
     items = stored(items)
-    index = items.select("item_id", "length", "m", "need", F.explode(F.array_distinct("item_sh")).alias("h"))
+    index = items.select("item_id", "length", "m", F.explode(F.array_distinct("item_sh")).alias("h"))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     own = own.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "th": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
 
@@ -100,7 +100,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: flo
     found = (
         places.join(_small(index), "h")
         .groupBy("did", "th", "item_id")
-        .agg(*[F.first(c).alias(c) for c in ("n_sh", "length", "m", "need")], F.array_sort(F.collect_set("pos")).alias("common"))
+        .agg(*[F.first(c).alias(c) for c in ("n_sh", "length", "m")], F.array_sort(F.collect_set("pos")).alias("common"))
+        .withColumn("need", F.ceil((F.col("m") + F.least("m", "n_sh")) * share - 1e-9).cast("int"))  # a shorter document is its own window
         .where(F.size("common") >= F.col("need"))
     )
     found = found.select("did", "th", "length", _starts(F.col("common"), F.col("n_sh"), F.col("m"), F.col("need")).alias("starts"))

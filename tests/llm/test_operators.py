@@ -253,6 +253,17 @@ def test_leaks_in_another_order(spark):
     assert got == brute_leaks(some, items) and len(got) >= 5
 
 
+def test_leaks_cut_short(spark):
+    r = random.Random(13)
+    items = {n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)) for n in (50, 100, 200)}
+    some = {1000 * n + k: " ".join(t.split()[:k]) for n, t in items.items() for k in range(n * 3 // 4, n, n // 50)}
+    some[1] = " ".join(items[100].split()[10:])
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["start"], x["n_words"], round(x["similarity"], 9)) for x in decontaminate.find_leaks(frame(spark, some.items()), bench).collect()}
+    want = brute_leaks(some, items)
+    assert got == {k: (s, len(some[k[0]].split()), x) for k, (s, x) in want.items()} and len(want) > 20
+
+
 def test_leaks_awkward(spark, awkward, nothing):
     bench = spark.createDataFrame([(1, REPEATED[3][1] + " and so on and on")], "item_id long, text string")
     assert decontaminate.find_leaks(awkward, bench).count() == decontaminate.find_leaks(nothing, bench).count() == 0
