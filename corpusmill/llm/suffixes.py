@@ -6,7 +6,7 @@ substrings of smallest hash. Equal strings choose equal anchors, so suffixes are
 and no shard needs another. The steps:
 
 1. Each task hashes its texts, finds the anchors and, for each, a hash of its context (the bytes of all strings that
-   could choose it). Of equal contexts it sends on the smallest id's only. Shards get 32-bit parts of both hashes.
+   could choose it). Of equal contexts it sends on the smallest id's only. Shards get 32 bits of the anchor's hash and all 64 of the context's.
 2. A shard settles equal contexts (all but the smallest id's are removed whole), and names
    the contexts that differ though their anchors agree and a smaller id is among them.
 3. The texts of these contexts are sorted by suffix: ranks by Larsson-Sadakane refinement in numpy, common
@@ -93,7 +93,7 @@ def _pack(doc: np.ndarray, ids: np.ndarray, tags: np.ndarray, pos: np.ndarray, a
     step[first] = pos[first]
     head = ids[doc[first]].astype("<i8").tobytes() + tags[doc[first]].astype("<u4").tobytes() + _planes(runs) + _planes(step.astype("<u4"))
     packed = zstandard.ZstdCompressor(level=1).compress(head)
-    return np.array([len(first), len(doc), len(packed)], "<i8").tobytes() + packed + anchor.astype("<u4").tobytes() + context.astype("<u4").tobytes()
+    return np.array([len(first), len(doc), len(packed)], "<i8").tobytes() + packed + anchor.astype("<u4").tobytes() + context.astype("<u8").tobytes()
 
 
 def _unpack(blob: bytes):
@@ -105,8 +105,8 @@ def _unpack(blob: bytes):
     first = np.cumsum(count) - count
     pos = total - np.repeat(total[first] - step[first], count)
     ids, tags = np.repeat(np.frombuffer(head[: 8 * runs], "<i8"), count), np.repeat(np.frombuffer(head[8 * runs : 12 * runs], "<u4"), count)
-    rest = np.frombuffer(blob[24 + size :], "<u4")
-    return ids, tags, pos, rest[:n], rest[n:]
+    at = 24 + size
+    return ids, tags, pos, np.frombuffer(blob[at : at + 4 * n], "<u4"), np.frombuffer(blob[at + 4 * n :], "<u8")
 
 
 def _first_in_group(group: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -161,7 +161,7 @@ def _scan(length: int, gram: int, shards: int):
                 kept = kept[np.argsort(shard, kind="stable")]
                 shard = np.sort(shard)
                 first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-                blobs = [_pack(text[p], ids, tags, pos[p], anchor[p] & np.uint64(0xFFFFFFFF), context[p] & np.uint64(0xFFFFFFFF)) for p in np.split(kept, first[1:])]
+                blobs = [_pack(text[p], ids, tags, pos[p], anchor[p] & np.uint64(0xFFFFFFFF), context[p]) for p in np.split(kept, first[1:])]
                 yield _rows(shard=shard[first], blob=blobs)
 
     return run
@@ -173,7 +173,7 @@ def _settle(shard_of: int):
         ids, tags, pos, anchor, context = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.lexsort((ids, context, anchor))
         ids, tags, pos, anchor, context = (x[order] for x in (ids, tags, pos, anchor, context))
-        pair = anchor.astype(np.uint64) << np.uint64(32) | context.astype(np.uint64)
+        pair = np.cumsum(np.append(False, (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])))
         whole = ids > _first_in_group(pair, ids)
         out = [_gather(ids[whole], tags[whole], pos[whole])]
         # of the others: contexts of an anchor that more than one document has

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,15 @@ def test_suffixes_awkward(awkward, nothing):
     assert suffixes.remove_repeats(awkward).count() == len(made_up()) + 5 and not suffixes.remove_repeats(nothing).count()
 
 
+def test_suffixes_contexts_alike_in_half_their_hash():
+    one = lambda *x: np.array(x, np.uint64)
+    ids, tags = np.array([3, 8, 9]), np.array([0, 0, 0])
+    blob = suffixes._pack(np.array([0, 1, 2]), ids, tags, np.array([5, 6, 7]), one(11, 11, 11), one(77, 77 + 2**40, 77))
+    got = suffixes._settle(8)(pa.table({"blob": [blob]})).to_pylist()
+    assert [r["id"] for r in got if r["pos"] is None] == [9]
+    assert sorted((r["id"], r["pos"]) for r in got if r["pos"] is not None) == [(3, 5), (8, 6)]
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_suffix_array_and_prefixes(seed):
     r = random.Random(seed)
