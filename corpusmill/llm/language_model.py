@@ -7,7 +7,7 @@ scoring. Within a class a token has its share of the class's counts, which cover
 
 Counts are complete and never leave the executors, but for the frequent words: at most FREQUENT of
 them, which every worker holds. The rest of a document's words meet their counts in a join. Each
-task trains on a hashed share of its own training documents, from common first weights, and the weights are
+task trains on all of its own training documents, block by block, from common first weights, and the weights are
 averaged; so what is learned from grows with the corpus, and what is gathered is one set of weights a task.
 """
 
@@ -28,8 +28,8 @@ from .common import documents, map_arrow, stored
 
 #: Frequent words at most; classes of them; classes of rare words (by UTF-8 length); hidden units.
 FREQUENT, CLASSES, RARE_CLASSES, HIDDEN = 150_000, 31, 16, 16
-#: One training document in SHARE trains the weights of its task; streams and steps of a window; tokens that a task repeats its share for, and passes at most.
-SHARE, STREAMS, STEPS, LEAST_TOKENS, MOST_PASSES = 12, 64, 24, 150_000, 12
+#: Streams and steps of a window; tokens that a task repeats its documents for, and passes at most; tokens of a block that a task trains on at once.
+STREAMS, STEPS, LEAST_TOKENS, MOST_PASSES, BLOCK_TOKENS = 64, 24, 150_000, 12, 1_000_000
 BATCH_BYTES, SCORE_TOKENS, FLUSH_ROWS, ABREAST = 4_000_000, 8_000_000, 1_000_000, 1024
 #: The end token's key; no word has white space.
 END = "\n"
@@ -129,71 +129,81 @@ def step(w: dict[str, np.ndarray], h: np.ndarray, x: np.ndarray):
 
 def window_gradient(w: dict[str, np.ndarray], h: np.ndarray, x: np.ndarray, y: np.ndarray, fresh: np.ndarray):
     """(gradient of the mean loss over a window, state after it, mean loss); x, y, fresh: steps by streams; y < 0 counts nothing; fresh resets the state."""
-    g = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    n, kept, loss = HIDDEN, [], 0.0
-    count = max(1, int((y >= 0).sum()))
-    for t in range(len(x)):
+    n, (steps, streams) = HIDDEN, x.shape
+    kept, states = [], np.empty((steps, streams, n), w["U"].dtype)
+    for t in range(steps):
         before = np.where(fresh[t][:, None], np.float32(0), h)
         h, state = step(w, before, x[t])
-        z = h @ w["V"] + w["b"]
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        real = np.flatnonzero(y[t] >= 0)
-        loss -= float(np.log(p[real, y[t][real]] + 1e-20).sum())
-        p[real, y[t][real]] -= 1
-        p[y[t] < 0] = 0
-        kept.append((before, h, state, p / count))
+        states[t] = h
+        kept.append((before, state))
+    # the softmax of all steps at once, and sums over the steps at the end: only the recurrence goes step by step
+    z = states.reshape(-1, n) @ w["V"] + w["b"]
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    flat = y.ravel()
+    real = np.flatnonzero(flat >= 0)
+    count = max(1, len(real))
+    loss = -float(np.log(p[real, flat[real]] + 1e-20).sum())
+    p[real, flat[real]] -= 1
+    p[flat < 0] = 0
+    p /= count
+    out = (p @ w["V"].T).reshape(steps, streams, n)
     back = np.zeros_like(h)
-    for t in range(len(x) - 1, -1, -1):
-        before, after, (gates, new, inner), dz = kept[t]
-        g["V"] += after.T @ dz
-        g["b"] += dz.sum(axis=0)
-        dh = dz @ w["V"].T + back
+    dgates, dstate = np.empty((2, steps, streams, 3 * n), w["U"].dtype)
+    for t in range(steps - 1, -1, -1):
+        before, (gates, new, inner) = kept[t]
+        dh = out[t] + back
         up, reset = gates[:, :n], gates[:, n:]
         dnew = dh * (1 - up) * (1 - new * new)
-        dup = dh * (before - new) * up * (1 - up)
-        dreset = dnew * inner * reset * (1 - reset)
-        da = np.concatenate([dup, dreset, dnew * reset], axis=1)
-        np.add.at(g["W"], x[t], np.concatenate([dup, dreset, dnew], axis=1))
-        g["U"] += before.T @ da
-        back = np.where(fresh[t][:, None], np.float32(0), dh * up + da @ w["U"].T)
+        dgates[t, :, :n] = dh * (before - new) * up * (1 - up)
+        dgates[t, :, n : 2 * n] = dnew * inner * reset * (1 - reset)
+        dgates[t, :, 2 * n :] = dnew
+        dstate[t] = dgates[t]
+        dstate[t, :, 2 * n :] *= reset
+        back = np.where(fresh[t][:, None], np.float32(0), dh * up + dstate[t] @ w["U"].T)
+    befores = np.concatenate([k[0] for k in kept])
+    seen = np.zeros((steps * streams, SYMBOLS), w["U"].dtype)
+    seen[np.arange(steps * streams), x.ravel()] = 1
+    g = {"U": befores.T @ dstate.reshape(-1, 3 * n), "W": seen.T @ dgates.reshape(-1, 3 * n), "V": states.reshape(-1, n).T @ p, "b": p.sum(axis=0)}
     return g, h, loss / count
 
 
-def train(w: dict[str, np.ndarray], docs: list[np.ndarray], rate: float = 0.01) -> dict[str, np.ndarray]:
-    """Weights after passes over class sequences (each ends with 0), by Adam on windows of STREAMS documents' parts side by side."""
-    if not docs:
-        return w
-    w = {k: v.copy() for k, v in w.items()}
-    tokens = sum(map(len, docs))
-    streams = max(1, min(STREAMS, len(docs)))
-    lanes: list[list[np.ndarray]] = [[] for _ in range(streams)]
-    load = [0] * streams
-    for d in sorted(docs, key=len, reverse=True):
-        i = load.index(min(load))
-        lanes[i].append(d)
-        load[i] += len(d)
-    steps = -(-max(load) // STEPS) * STEPS
-    y = np.full((steps, streams), -1, np.int64)
-    for i, lane in enumerate(lanes):
-        y[: load[i], i] = np.concatenate(lane)
-    x = np.zeros_like(y)
-    x[1:] = np.maximum(y[:-1], 0)
-    fresh = x == 0
-    m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
-    n = 0
-    total = min(MOST_PASSES, max(1, -(-LEAST_TOKENS // tokens))) * (steps // STEPS)
-    while n < total:
-        h = np.zeros((streams, HIDDEN), np.float32)
-        for lo in range(0, steps, STEPS):
-            g, h, _ = window_gradient(w, h, x[lo : lo + STEPS], y[lo : lo + STEPS], fresh[lo : lo + STEPS])
-            n += 1
-            for k in w:
-                a, b = m[k]
-                a += 0.1 * (g[k] - a)
-                b += 0.001 * (g[k] * g[k] - b)
-                w[k] -= rate * (1 - 0.9 * n / (total + 1)) * (a / (1 - 0.9**n)) / (np.sqrt(b / (1 - 0.999**n)) + 1e-8)
-    return w
+class Trainer:
+    """Weights trained by Adam on windows of STREAMS documents' parts side by side, block by block."""
+
+    def __init__(self, w: dict[str, np.ndarray], rate: float = 0.01):
+        self.w = {k: v.copy() for k, v in w.items()}
+        self.m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
+        self.rate, self.n, self.falls = rate, 0, 0
+
+    def block(self, docs: list[np.ndarray], passes: int = 1) -> None:
+        """Passes over class sequences (each ends with 0). The rate falls to a tenth over the first block and stays there."""
+        streams = max(1, min(STREAMS, len(docs)))
+        lanes: list[list[np.ndarray]] = [[] for _ in range(streams)]
+        load = [0] * streams
+        for d in sorted(docs, key=len, reverse=True):
+            i = load.index(min(load))
+            lanes[i].append(d)
+            load[i] += len(d)
+        steps = -(-max(load) // STEPS) * STEPS
+        y = np.full((steps, streams), -1, np.int64)
+        for i, lane in enumerate(lanes):
+            y[: load[i], i] = np.concatenate(lane)
+        x = np.zeros_like(y)
+        x[1:] = np.maximum(y[:-1], 0)
+        fresh = x == 0
+        self.falls = self.falls or passes * (steps // STEPS)
+        for _ in range(passes):
+            h = np.zeros((streams, HIDDEN), np.float32)
+            for lo in range(0, steps, STEPS):
+                g, h, _ = window_gradient(self.w, h, x[lo : lo + STEPS], y[lo : lo + STEPS], fresh[lo : lo + STEPS])
+                self.n += 1
+                rate = self.rate * (1 - 0.9 * min(1.0, self.n / (self.falls + 1)))
+                for k, w in self.w.items():
+                    a, b = self.m[k]
+                    a += 0.1 * (g[k] - a)
+                    b += 0.001 * (g[k] * g[k] - b)
+                    w -= rate * (a / (1 - 0.9**self.n)) / (np.sqrt(b / (1 - 0.999**self.n)) + 1e-8)
 
 
 def class_scores(w: dict[str, np.ndarray], flat: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -231,17 +241,22 @@ def _sequences(v: Vocabulary, texts: pa.Array):
 
 def _trainer(v: Vocabulary, w: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs: list[np.ndarray] = []
+        trainer, docs, held, tokens = Trainer(w), [], 0, 0
         for batch in batches:
-            mine = [not held_out(i) and zlib.crc32(b"share %d" % (0 if i is None else i)) % SHARE == 0 for i in batch.column(0).to_pylist()]
-            texts = batch.column(1).filter(pa.array(mine, pa.bool_()))
+            texts = batch.column(1).filter(pa.array([not held_out(i) for i in batch.column(0).to_pylist()], pa.bool_()))
             for lo, hi in spans_of(texts, BATCH_BYTES):
                 _, _, _, flat, size = _sequences(v, texts.slice(lo, hi - lo))
                 docs += np.split(flat, np.cumsum(size)[:-1])
+                held += len(flat)
+                tokens += len(flat)
+                if held >= BLOCK_TOKENS:
+                    trainer.block(docs)
+                    docs, held = [], 0
         if docs:
-            got = train(w, docs)
+            trainer.block(docs, min(MOST_PASSES, max(1, -(-LEAST_TOKENS // tokens))))
+        if tokens:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([sum(map(len, docs))], pa.int64()), pa.array([np.concatenate([got[k].ravel() for k in SHAPES]).tolist()], pa.list_(pa.float32()))], names=["tokens", "weights"]
+                [pa.array([tokens], pa.int64()), pa.array([np.concatenate([trainer.w[k].ravel() for k in SHAPES]).tolist()], pa.list_(pa.float32()))], names=["tokens", "weights"]
             )
 
     return run

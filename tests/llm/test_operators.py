@@ -349,6 +349,21 @@ def test_language_model(docs, awkward, nothing, texts):
     assert language_model.score_documents(awkward).count() == awkward.count() and not language_model.score_documents(nothing).count()
 
 
+def test_language_model_trains_on_all_training_documents(texts, monkeypatch):
+    v, first = language_model.Vocabulary(["a", "\n"], [3, 2], {}, 5, 2), language_model.first_weights()
+    ids = sorted(texts)
+    batch = lambda own: pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([texts[i] for i in own])], names=["doc_id", "text"])
+    n = {i: len(texts[i].encode().translate(LOWER).split()) + 1 for i in ids if not language_model.held_out(i)}
+    for block in (1_000_000, 500):
+        monkeypatch.setattr(language_model, "BLOCK_TOKENS", block, raising=False)
+        (got,) = language_model._trainer(v, first)(iter([batch(ids[:50]), batch(ids[50:])]))
+        assert got.column(0).to_pylist() == [sum(n.values())]
+        assert np.isfinite(got.column(1).flatten().to_numpy()).all()
+    for i in list(n)[:20]:  # each alone trains too
+        (got,) = language_model._trainer(v, first)(iter([batch([i])]))
+        assert not np.array_equal(got.column(1).flatten().to_numpy(), np.concatenate([first[k].ravel() for k in language_model.SHAPES]))
+
+
 def test_gradient():
     r = np.random.default_rng(1)
     w = {k: v.astype(np.float64) for k, v in language_model.first_weights().items()}
