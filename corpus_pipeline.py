@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import documents, stored
+from corpusmill.llm.common import documents, hash_pair, stored
 from corpusmill.llm.decontaminate import decontaminate
-from corpusmill.llm.jaccard import jaccard_components
+from corpusmill.llm.jaccard import BROADCAST_ROWS, jaccard_components
 from corpusmill.llm.lines import drop_shared_lines
 from corpusmill.llm.packing import pack
 from corpusmill.llm.quality import fit, keep_good
@@ -35,9 +35,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of Jaccard links (five words, 0.8): the smallest id; of rows with a null id, all stay."""
-    others = jaccard_components(docs, k=5, num=80, den=100).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(others, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One document of each component of Jaccard links (five words, 0.8): the smallest id.
+
+    Rows with a null id are documents of their own, below all others, one for each text; of rows with equal id and
+    text one stays. Different texts of one id are one document and stay or go together.
+    """
+    one, two = hash_pair(F.col("text"))
+    low = F.lit(-(2**63) + 1) + one.bitwiseAND(F.lit(2**61 - 1))
+    own = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), low), "__one": one, "__two": two})
+    others = jaccard_components(own, k=5, num=80, den=100, id_col="__id").where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = own.join(others, F.col("__id") == F.col("__gone"), "left_anti")
+    row = ["__id", "__one", "__two"]
+    repeated = stored(own.groupBy(*row).count().where("count > 1").select(*row))
+    n = repeated.count()
+    if n:
+        repeated = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
+        kept = kept.join(repeated, row, "left_anti").unionByName(kept.join(repeated, row, "left_semi").dropDuplicates(row))
+    return kept.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

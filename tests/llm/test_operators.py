@@ -164,6 +164,17 @@ def test_tiles_miss_no_link(n, num, den):
             assert set(np.concatenate(bands.of(a)).tolist()) & set(np.concatenate(bands.of(b)).tolist())
 
 
+def test_near_duplicates_with_null_ids_and_repeated_rows(spark, nothing):
+    import corpus_pipeline
+
+    t, u, v = (" ".join(f"{c}{i}" for i in range(60)) for c in "tuv")
+    rows = [(4, t), (9, t), (None, t), (None, t), (12, t + " more"), (5, u), (5, u), (8, u + " more"), (None, v), (None, None), (3, None), (3, None), (6, "")]
+    got = corpus_pipeline.near_duplicates(spark, frame(spark, rows).coalesce(1), "")
+    assert got.columns == nothing.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(None, t), (5, u), (None, v), (None, None), (3, None), (6, "")])
+    assert not corpus_pipeline.near_duplicates(spark, nothing, "").count()
+
+
 def brute_repeats(texts, length):
     first, out = {}, {}
     for i in sorted(texts):
