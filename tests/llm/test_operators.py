@@ -472,6 +472,16 @@ def test_pii_adds_and_redacts(spark):
     assert got == {1: 'Her key: token = "<secret>", SSN <national_id>, and <email>.', 2: "plain prose and nothing else", None: "jo@x.org"}
 
 
+def test_pii_long_secrets(spark):
+    r = random.Random(6)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    keys = {n: "".join(r.choice(chars) for _ in range(n)) for n in (190, 201, 342, 800)}
+    plain = {1: "-" * 400, 2: "/".join(["over", "the", "land"] * 40), 3: "a" * 5000}
+    table = spark.createDataFrame([(n, f"The token = {k} ends.") for n, k in keys.items()] + list(plain.items()), "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in pii.redact(table).collect()}
+    assert got == {n: "The token = <secret> ends." for n in keys} | plain
+
+
 def test_boosting():
     r = np.random.default_rng(2)
     x = r.integers(0, 20, (600, 4)).astype(float)
