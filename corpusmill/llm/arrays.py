@@ -94,10 +94,10 @@ class Words:
             if b - a >= k:
                 yield np.unique(every[a : b - k + 1])
             elif b > a:
-                short = np.uint64(b - a)
-                for h in self.hash[a:b]:
-                    short = mix(np.array([short * _ODD[0] + h], np.uint64))[0]
-                yield np.array([short], np.uint64)
+                short = np.array([b - a], np.uint64)
+                for i in range(a, b):
+                    short = mix(short * _ODD[0] + self.hash[i : i + 1])
+                yield short
             else:
                 yield np.empty(0, np.uint64)
 

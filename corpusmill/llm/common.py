@@ -13,12 +13,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), a temporary folder is set first."""
+    """A new folder under spark.checkpoint.dir; where that is unset and all runs on one machine (tests), a temporary folder is set first."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="corpusmill-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -45,6 +47,24 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Entries of an array that a fold appends to; full ones are set aside, so that a fold over many items takes no quadratic time.
+FOLD_BLOCK = 256
+
+
+def collected(items: Column, state: dict[str, Column], step, kind: str) -> Column:
+    """What step puts out for each of the items, run one after another: step(state, item) gives the next state and a value of type kind."""
+    zero = F.struct(*[v.alias(k) for k, v in state.items()], F.array().cast(f"array<{kind}>").alias("block"), F.array().cast(f"array<array<{kind}>>").alias("blocks"))
+
+    def run(acc: Column, x: Column) -> Column:
+        after, out = step(acc, x)
+        full = F.size(acc["block"]) >= FOLD_BLOCK
+        block = F.when(full, F.array(out)).otherwise(F.array_append(acc["block"], out))
+        blocks = F.when(full, F.array_append(acc["blocks"], acc["block"])).otherwise(acc["blocks"])
+        return F.struct(*[after[k].alias(k) for k in state], block.alias("block"), blocks.alias("blocks"))
+
+    return F.aggregate(items, zero, run, lambda acc: F.flatten(F.array_append(acc["blocks"], acc["block"])))
+
+
 PLACE = "array<struct<start:int,stop:int,text:string>>"
 
 
@@ -59,20 +79,38 @@ def places(text: Column, pattern: Column | str) -> Column:
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     pairs = F.zip_with(found, gaps, lambda m, gap: F.struct(F.length(gap).alias("gap"), m.alias("m")))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column):
         start = acc["at"] + x["gap"]
         stop = start + F.length(x["m"])
-        return F.struct(stop.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("text"))).alias("out"))
+        return {"at": stop}, F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("text"))
+
+    return collected(pairs, {"at": F.lit(0)}, step, PLACE[6:-1])
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(PLACE).alias("out")), step, lambda acc: acc["out"])
+
+def outermost(spans: Column, kind: str, rank) -> Column:
+    """The spans (structs of type kind with start and stop) that lie within no span of lower rank(span).
+
+    A span that holds another comes before it by start and falling stop, so one run along this order, which
+    remembers the spans still open, is enough.
+    """
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("back"), rank(x).alias("rank"), x.alias("x"))))
+
+    def step(acc: Column, s: Column):
+        x = s["x"]
+        open_ = F.filter(acc["open"], lambda o: o["stop"] > x["start"])
+        held = F.exists(open_, lambda o: (o["stop"] >= x["stop"]) & (rank(o) < s["rank"]))
+        return {"open": F.array_append(open_, x)}, F.struct(held.alias("held"), x.alias("x"))
+
+    judged = collected(ordered, {"open": F.array().cast(f"array<{kind}>")}, step, f"struct<held:boolean,x:{kind}>")
+    return F.transform(F.filter(judged, lambda j: ~j["held"]), lambda j: j["x"])
 
 
 def no_places() -> Column:
     return F.array().cast(PLACE)
 
 
-#: Rows of a batch that Spark hands to Python; texts are long, and the default of 10,000 rows takes much memory on both sides.
-ARROW_ROWS = 2000
+#: Rows and bytes of a batch that Spark hands to Python, where the session sets none; texts are long, and the default of 10,000 rows takes much memory on both sides.
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def _give_back() -> None:
@@ -89,8 +127,11 @@ def _give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def map_arrow(df: DataFrame, f, schema, rows: int = ARROW_ROWS) -> DataFrame:
-    """df.mapInArrow(f, schema) in batches of so many rows at most; the worker gives freed memory back at the end."""
+def map_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow(f, schema); the worker gives freed memory back at the end.
+
+    Plans read the limits of a batch when they run, so a session that has none of its own gets ARROW_LIMITS for good.
+    """
 
     def run(batches):
         try:
@@ -98,5 +139,8 @@ def map_arrow(df: DataFrame, f, schema, rows: int = ARROW_ROWS) -> DataFrame:
         finally:
             _give_back()
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    conf = df.sparkSession.conf
+    for key, limit in ARROW_LIMITS.items():
+        if key not in conf.getAll:
+            conf.set(key, limit)
     return df.mapInArrow(run, schema)

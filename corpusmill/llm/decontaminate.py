@@ -5,10 +5,13 @@ window that is similar enough to an item shares most of its shingles, so documen
 joined with the items' shingles. A window is tried wherever it holds enough common places, in
 whatever order they stand; a (document, item) pair without one is dropped. Each such window, as
 long as the item, gets a 64-bit SimHash. Fingerprints are cut into radius + 1 blocks: two that differ
-in at most radius bits agree in some block, so a join on blocks among windows and items of one
-length finds them all. What lies within the radius is decided by the exact
+in at most radius bits agree in some block, so a join on blocks among windows and the items whose gate
+they passed finds them all. What lies within the radius is decided by the exact
 similarity of the two multisets of shingles.
 
+Blocks of so few bits part little by themselves: it is the gate that keeps a window from meeting all items. A shingle
+that very many texts hold is one key only if the items are too many to broadcast; then adaptive execution splits it.
+
 The items are broadcast only if they are few, and so are the documents found; else both are shuffled. Only
 DataFrame functions run here.
 """
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, stored
 
-#: Rows up to which a table of longs is broadcast; beyond, joins shuffle.
+#: Rows up to which a table of longs is broadcast, and entries of an array column; beyond, joins shuffle.
 BROADCAST_ROWS = 500_000
 HITS = "doc_id, item_id, start, n_words, similarity, distance"
 
@@ -55,8 +58,12 @@ def _blocks(fingerprint: Column, radius: int) -> Column:
 
 
 def _tagged(ordered: Column) -> Column:
-    """A sorted multiset as a set: each shingle hashed with how many equal ones come before it."""
-    return F.transform(ordered, lambda x, i: F.xxhash64(x, i.cast("long") - F.array_position(ordered, x)))
+    """A sorted multiset as a set: each shingle hashed with how many equal ones come before it. ordered must be a column of its own."""
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(24))])  # a binary search for the first equal one
+    first = lambda x: F.aggregate(halves, F.lit(0), lambda at, half: at + F.when(F.get(ordered, at + half - 1) < x, half).otherwise(0))
+    few = F.transform(ordered, lambda x, i: F.xxhash64(x, i.cast("long") - F.array_position(ordered, x) + 1))
+    many = F.transform(ordered, lambda x, i: F.xxhash64(x, (i - first(x)).cast("long")))
+    return F.when(F.size(ordered) < 512, few).otherwise(many)
 
 
 def _starts(common: Column, n: Column, m: Column, need: Column) -> Column:
@@ -104,26 +111,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: flo
         .withColumn("need", F.ceil((F.col("m") + F.least("m", "n_sh")) * share - 1e-9).cast("int"))  # a shorter document is its own window
         .where(F.size("common") >= F.col("need"))
     )
-    found = found.select("did", "th", "length", _starts(F.col("common"), F.col("n_sh"), F.col("m"), F.col("need")).alias("starts"))
+    found = found.select("did", "th", "item_id", "length", _starts(F.col("common"), F.col("n_sh"), F.col("m"), F.col("need")).alias("starts"))
     found = stored(found.where(F.size("starts") > 0))
-    # the gate's windows, whichever item they came from
-    texts = own.join(_small(found), ["did", "th"]).select("did", "th", "doc_id", "length", "starts", hashes(F.col("text")).alias("wh"))
+    few = (found.agg(F.sum(F.size("starts") + 8)).first()[0] or 0) <= 2 * BROADCAST_ROWS
+    texts = own.join(F.broadcast(found) if few else found, ["did", "th"]).select("did", "th", "doc_id", "item_id", "length", "starts", hashes(F.col("text")).alias("wh"))
     texts = texts.withColumns({"sh": _shingles(F.col("wh"), k), "n": F.size("wh")})
     clipped = F.array_distinct(F.transform("starts", lambda s: F.greatest(F.lit(0), F.least(s, F.col("n") - F.col("length")))))
-    windows = texts.select("did", "th", "doc_id", "length", "sh", F.explode(clipped).alias("start"), F.least("length", "n").alias("n_words"))
-    windows = windows.select("did", "th", "doc_id", "length", "start", "n_words", F.slice("sh", F.col("start") + 1, F.greatest(F.col("n_words") - k + 1, F.lit(1))).alias("sh")).dropDuplicates(["did", "th", "length", "start"])
+    windows = texts.select("did", "th", "doc_id", "item_id", "length", "sh", F.explode(clipped).alias("start"), F.least("length", "n").alias("n_words"))
+    windows = windows.select("did", "th", "doc_id", "item_id", "start", "n_words", F.slice("sh", F.col("start") + 1, F.greatest(F.col("n_words") - k + 1, F.lit(1))).alias("sh")).dropDuplicates(["did", "th", "item_id", "start"])
     windows = stored(windows.withColumn("fp", _simhash(F.col("sh"))))
 
-    blocks = items.select("item_id", "length", "item_fp", F.explode(_blocks(F.col("item_fp"), radius)).alias("b"))
+    # the blocks of a window meet those of the items whose gate it passed: what it may be compared with is bounded by the gate
+    blocks = items.select("item_id", "item_fp", F.explode(_blocks(F.col("item_fp"), radius)).alias("b"))
     near = (
-        windows.select("did", "th", "length", "start", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("b"))
-        .join(_small(blocks), ["length", "b"])
+        windows.select("did", "th", "item_id", "start", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("b"))
+        .join(_small(blocks), ["item_id", "b"])
         .withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
         .where(F.col("distance") <= radius)
-        .select("did", "th", "length", "start", "item_id", "distance")
+        .select("did", "th", "item_id", "start", "distance")
         .distinct()
     )
-    both = near.join(windows.withColumn("ordered", F.array_sort("sh")), ["did", "th", "length", "start"]).join(items.select("item_id", "item_sh", "item_set"), "item_id")
+    both = near.join(windows.withColumn("ordered", F.array_sort("sh")), ["did", "th", "item_id", "start"]).join(items.select("item_id", "item_sh", "item_set"), "item_id")
     shared = F.size(F.array_intersect(_tagged(F.col("ordered")), F.col("item_set")))
     judged = both.select("did", "th", "doc_id", "item_id", "start", "n_words", "distance", (shared / (F.size("sh") + F.size("item_sh") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
     best = F.min_by(F.struct("doc_id", "start", "n_words", "similarity", "distance"), F.struct(-F.col("similarity"), "start"))

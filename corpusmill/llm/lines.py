@@ -1,10 +1,11 @@
 """Line dedup: drop lines that several documents share, except in the document with the smallest id.
 
 Only DataFrame functions run here. Lines are exploded with a hash of their
-normalised form, never with their text. A hash's documents are counted by a
+normalised form, never with their text, and written once. A hash's documents are counted by a
 minimum and a maximum, which combine before the shuffle, so a line that every
-document holds costs one row a task. Documents are put together again by their
-own line array, so no line text is shuffled a second time.
+document holds costs one row a task there. To find the lines to drop, hashes that very many lines have
+are broadcast, so such lines never meet in one task; how many these hashes are is bounded by how they are chosen. Documents are
+put together again by their own line array, so no line text is shuffled a second time.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, documents, hash_pair
+from .common import ASCII_SPACE, ascii_lower, documents, hash_pair, stored
 
-_ID, _TEXT_HASH, _DROPPED = "__line_id", "__line_text", "__line_dropped"
+#: Lines that share a hash from which on the hash is broadcast, at least; hashes broadcast at most (any more would need more lines than there are).
+HOT_LINES, MOST_HOT = 2000, 200_000
+_ID, _TEXT_HASH, _DROPPED, _LINES = "__line_id", "__line_text", "__line_dropped", "__line_all"
 
 
 def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
@@ -39,21 +42,24 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .where(F.length("__key") >= min_chars)
         .select(_ID, _TEXT_HASH, "__pos", h1.alias("__h1"), h2.alias("__h2"))
     )
-    shared = keyed.groupBy("__h1", "__h2").agg(F.min(_ID).alias("__first"), F.max(_ID).alias("__last")).where("__first < __last").drop("__last")
-    dropped = keyed.join(shared, ["__h1", "__h2"]).where(F.col(_ID) > F.col("__first")).groupBy(_ID, _TEXT_HASH).agg(F.collect_set("__pos").alias(_DROPPED))
-    n_lines = F.size(lines)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col(_DROPPED)), lambda i: lines[i])
-    return (
-        own.join(dropped, [_ID, _TEXT_HASH], "left")
-        .withColumns(
-            {
-                "n_lines": n_lines.cast("long"),
-                "n_dropped": F.coalesce(F.size(_DROPPED), F.lit(0)).cast("long"),
-                text_col: F.when(F.col(_DROPPED).isNull(), text).otherwise(F.array_join(kept, "\n")),
-            }
-        )
-        .drop(_ID, _TEXT_HASH, _DROPPED)
-    )
+    keyed = stored(keyed)
+    hot = max(HOT_LINES, keyed.count() // MOST_HOT)
+    hash_ = ["__h1", "__h2"]
+    shared = keyed.groupBy(*hash_).agg(F.min(_ID).alias("__first"), F.max(_ID).alias("__last"), F.count("*").alias("__n")).where("__first < __last")
+    shared = stored(shared.select(*hash_, "__first", "__n"))
+    common = F.broadcast(shared.where(F.col("__n") > hot).select(*hash_, "__first"))  # at most MOST_HOT rows
+    met = keyed.join(common, hash_).unionByName(keyed.join(common.select(*hash_), hash_, "left_anti").join(shared.where(F.col("__n") <= hot).select(*hash_, "__first"), hash_))
+    dropped = met.where(F.col(_ID) > F.col("__first")).groupBy(_ID, _TEXT_HASH).agg(F.collect_set("__pos").alias(_DROPPED))
+    # the lines are a column of their own, or the lambda would split the text anew for every line; it is read twice, so it stays one
+    out = own.join(dropped, [_ID, _TEXT_HASH], "left").withColumn(_LINES, lines)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(_LINES) - 1), F.col(_DROPPED)), lambda i: F.get(F.col(_LINES), i))
+    return out.withColumns(
+        {
+            "n_lines": F.size(_LINES).cast("long"),
+            "n_dropped": F.coalesce(F.size(_DROPPED), F.lit(0)).cast("long"),
+            text_col: F.when(F.col(_DROPPED).isNull(), text).otherwise(F.array_join(kept, "\n")),
+        }
+    ).drop(_ID, _TEXT_HASH, _DROPPED, _LINES)
 
 
 def op8_line_dedup(spark, sf_dir):

@@ -344,7 +344,7 @@ def pack(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    pieces = stored(map_arrow(rows, _cut(tokenizer, capacity, end_id), PIECES, 10_000))
+    pieces = stored(map_arrow(rows, _cut(tokenizer, capacity, end_id), PIECES))
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     table, sequence = [], 0
     for places in plan(counts, capacity):

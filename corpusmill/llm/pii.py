@@ -10,6 +10,7 @@ executors as an expression, so only DataFrame functions run on the rows.
 
 from __future__ import annotations
 
+import functools
 import json
 import random
 from functools import lru_cache
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import documents, no_places, places
+from .common import collected, documents, no_places, outermost, places
 
 #: Kinds of the base in their order, each with its pattern (possessive, and bound to
 #: the start of a run, so that long runs take linear time and no stack) and a cheap test that precedes it.
@@ -31,7 +32,7 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 
 #: Candidates: kind, cheap test (text held, or a pattern), pattern. They are high in recall, not in precision.
 CANDIDATES = (
-    ("email", r"(?i)[\[( ]at[\]) ]", r"(?i)(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]{2,40} ?[\[(]? ?\bat\b ?[\])]? ?[A-Za-z0-9-]{2,40}(?: ?[\[(]? ?(?:\bdot\b|\.) ?[\])]? ?[A-Za-z]{2,12})+"),
+    ("email", r"(?i)[\[( ]at[\]) ]", r"(?i)(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]{2,}+ ?[\[(]? ?\bat\b ?[\])]? ?[A-Za-z0-9-]{2,}+(?: ?[\[(]? ?(?:\bdot\b|\.) ?[\])]? ?[A-Za-z]{2,}+)+"),
     ("phone", r"[0-9]{3}[ .-][0-9]{4}", r"(?<![0-9A-Za-z+])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"),
     ("secret", r"[A-Za-z0-9_+/-]{20}", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+"),
     ("national_id", r"[0-9]-[0-9]{2}-[0-9]", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
@@ -157,50 +158,66 @@ def _model(n: int, seed: int, precision: float, _app: str):
     return trees, boosting.threshold(boosting.predict(trees, x[~half]), y[~half], precision)
 
 
+SPAN = "struct<rank:int,start:int,stop:int,kind:string>"
+
+
+def _with_spans(docs: DataFrame, text_col: str, n_examples: int, precision: float, seed: int) -> DataFrame:
+    """docs with __base and __added: arrays of SPAN. Every column that a lambda reads stands in a projection of its own."""
+    trees, cut = _model(n_examples, seed, precision, docs.sparkSession.sparkContext.applicationId)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.withColumns({f"__of_{k}": _spans(k, found) for k, found in _base(text).items()} | {"__cands": _candidates(text)})
+    score = lambda c: boosting.as_column(trees, [c["f"][i] for i in range(FEATURES)])
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(24))])
+
+    def meets(c: Column, kind: str) -> Column:
+        # spans of a kind lie one after another: the last that begins before c ends decides
+        spans = F.col(f"__of_{kind}")
+        n = F.aggregate(halves, F.lit(0), lambda at, half: at + F.when(F.get(spans, at + half - 1)["start"] < c["stop"], half).otherwise(0))
+        return F.coalesce(F.get(spans, n - 1)["stop"] > c["start"], F.lit(False))
+
+    free = F.filter("__cands", lambda c: (score(c) >= F.lit(cut)) & ~functools.reduce(lambda a, b: a | b, [meets(c, k) for k in BASE_KINDS]))
+    free = F.transform(free, lambda c: F.struct(c["rank"].alias("rank"), c["start"].alias("start"), c["stop"].alias("stop"), c["kind"].alias("kind")))
+    own = own.withColumn("__free", F.when(F.size("__cands") > 0, free).otherwise(F.array().cast(f"array<{SPAN}>")))
+    longest_first = lambda x: F.struct(x["start"] - x["stop"], x["rank"])
+    added = F.when(F.size("__free") > 1, F.array_sort(outermost(F.col("__free"), SPAN, longest_first))).otherwise(F.col("__free"))
+    own = own.withColumns({"__base": F.flatten(F.array(*[f"__of_{k}" for k in BASE_KINDS])), "__added": added})
+    return own.drop("__cands", "__free", *[f"__of_{k}" for k in BASE_KINDS])
+
+
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_examples: int = 2100, precision: float = 0.98, seed: int = 3) -> DataFrame:
-    """One row a document: doc_id, and base and added, arrays of (rank, start, stop, kind) in code points, sorted.
+    """One row a document: doc_id, and base and added, arrays of (rank, start, stop, kind) in code points.
 
     An added span is a candidate that passes the threshold, overlaps no base span and lies within no other
     passing candidate. Null and empty texts have no spans. Rows are judged one by one: repeated
-    rows give equal results, null ids pass through, other columns are dropped.
+    rows give equal results, null ids pass through, an empty table gives an empty result, other columns are dropped.
     """
-    spark = docs.sparkSession
-    trees, cut = _model(n_examples, seed, precision, spark.sparkContext.applicationId)
-    text = F.col("__text")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    own = own.withColumn("base", F.flatten(F.array(*[_spans(k, found) for k, found in _base(text).items()])))
-    own = own.withColumn("__cands", _candidates(text)).drop("__text")
-    score = lambda c: boosting.as_column(trees, [c["f"][i] for i in range(FEATURES)])
-    passing = F.filter("__cands", lambda c: score(c) >= F.lit(cut))
-    passing = F.transform(passing, lambda c: F.struct(c["rank"].alias("rank"), c["start"].alias("start"), c["stop"].alias("stop"), c["kind"].alias("kind")))
-    meets = lambda c, b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])
-    own = own.withColumn("__pass", F.when(F.size("__cands") > 0, F.filter(passing, lambda c: ~F.exists("base", lambda b: meets(c, b)))).otherwise(F.array().cast("array<struct<rank:int,start:int,stop:int,kind:string>>")))
-
-    def held(c: Column, e: Column) -> Column:
-        longer = (e["stop"] - e["start"]) > (c["stop"] - c["start"])
-        equal = ((e["stop"] - e["start"]) == (c["stop"] - c["start"])) & (e["rank"] < c["rank"])
-        return (e["start"] <= c["start"]) & (e["stop"] >= c["stop"]) & (longer | equal)
-
-    return own.select("doc_id", "base", F.array_sort(F.filter("__pass", lambda c: ~F.exists("__pass", lambda e: held(c, e)))).alias("added"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _with_spans(own, "text", n_examples, precision, seed).select("doc_id", F.col("__base").alias("base"), F.col("__added").alias("added"))
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every found span of text_col replaced by its kind in angle brackets; rows with null ids stay as they are."""
-    found = find_personal(docs.where(F.col(id_col).isNotNull()), id_col, text_col).groupBy("doc_id").agg(F.first(F.array_sort(F.transform(F.array_union("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))).alias("__spans"))
-    text = F.col(text_col)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redact(docs: DataFrame, text_col: str = "text", n_examples: int = 2100, precision: float = 0.98, seed: int = 3) -> DataFrame:
+    """docs with every found span of text_col replaced by its kind in angle brackets; of spans that overlap, what an earlier one leaves of a later goes with it.
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit("<"), s["kind"], F.lit(">"))
-        return F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), piece.alias("out"))).otherwise(acc)
-
-    done = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = docs.join(found.withColumnRenamed("doc_id", "__doc"), F.col(id_col) == F.col("__doc"), "left")
-    return joined.withColumn(text_col, F.when(F.size("__spans") > 0, done).otherwise(text)).drop("__doc", "__spans")
+    Rows are treated one by one, whatever their ids are. A null text stays null; other columns pass through.
+    """
+    text = F.col(text_col)
+    sorted_ = F.array_sort(F.transform(F.array_union("__base", "__added"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    own = _with_spans(docs, text_col, n_examples, precision, seed).withColumn("__spans", sorted_).drop("__base", "__added")
+
+    def step(acc: Column, s: Column):
+        fresh = s["start"] >= acc["at"]
+        before = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        out = F.when(fresh, F.concat(before, F.lit("<"), s["kind"], F.lit(">"))).otherwise("")
+        return {"at": F.greatest(acc["at"], s["stop"])}, out
+
+    pieces = collected(F.col("__spans"), {"at": F.lit(0)}, step, "string")
+    tail = F.substring(text, F.array_max(F.col("__spans.stop")) + 1, F.length(text))
+    done = F.concat(F.array_join(pieces, ""), tail)
+    return own.withColumn(text_col, F.when(F.size("__spans") > 0, done).otherwise(text)).drop("__spans")
 
 
 def op10_pii(spark, sf_dir):

@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 
 from .common import documents, stored
 
-#: Rows that a range should hold, ranges at least and at most, and sampled keys a range.
-ROWS_A_RANGE, LEAST_RANGES, MOST_RANGES, KEYS_A_RANGE = 50_000, 64, 8192, 64
+#: Rows that a range should hold, ranges at least and at most, parts of overfull ranges at most (about), and sampled keys a range.
+ROWS_A_RANGE, LEAST_RANGES, MOST_RANGES, MOST_PARTS, KEYS_A_RANGE = 50_000, 64, 8192, 200_000, 64
 
 
 def _range_of(key, bounds: list[tuple[int, int]]):
@@ -38,7 +38,8 @@ def _range_of(key, bounds: list[tuple[int, int]]):
 def assign_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
     """One row a document: id, size (UTF-8 bytes of its text plus 1), text_crc32, shard, slot; sizes of shards near equal.
 
-    A shard's bytes differ from the mean by less than the largest record. Null text has
+    A shard's bytes differ from the mean by less than the largest record. A group of equal texts lies side by side, unless
+    its range is overfull and divided by ids; where a shard ends within it, the rest goes on in the next shard. Null text has
     size 1 and the checksum of no bytes. A null id sorts before all others. Repeated rows
     each get a slot. Shards may be empty if there are fewer records than shards; an
     empty table gives an empty result. Other columns are not returned: join by id.
@@ -62,9 +63,10 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", te
     bounds = sorted({drawn[bisect_left(reach, reach[-1] * i / ranges)][:2] for i in range(1, ranges)}) if drawn else []
 
     ranged = rows.withColumn("range", _range_of(F.col("key"), bounds))
-    target = max(1, total / ranges)
-    full = {r["range"]: -(-r["bytes"] // int(target + 1)) for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes")).collect() if r["bytes"] > 2 * target}
-    # an overfull range is subdivided by ids, whatever its keys are
+    target, most = max(1, total / ranges), max(ROWS_A_RANGE, n // MOST_PARTS)
+    sums = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+    # a range overfull by bytes or by rows (tiny texts share a key and weigh little) is subdivided by ids, whatever its keys are
+    full = {r["range"]: max(-(-r["bytes"] // int(target + 1)), -(-r["n"] // most)) for r in sums if r["bytes"] > 2 * target or r["n"] > 2 * most}
     parts = F.from_json(F.lit("{" + ",".join(f'"{k}":{v}' for k, v in full.items()) + "}"), T.MapType(T.StringType(), T.IntegerType()))
     ranged = ranged.withColumn("part", F.coalesce(F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.try_element_at(parts, F.col("range").cast("string"))), F.lit(0)).cast("int"))
 

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -151,17 +152,20 @@ def test_jaccard_awkward(awkward, nothing):
 
 
 @pytest.mark.parametrize("n", [1, 4, 5, 9, 10, 18, 19, 40, 200, 1000])
-@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100)])
-def test_tiles_miss_no_link(n, num, den):
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (50, 100)])
+def test_prefixes_miss_no_link(n, num, den):
     r = np.random.default_rng(n)
-    bands = jaccard.Bands(num, den)
-    for _ in range(60):
-        a = np.unique(r.integers(0, 2**63, n, np.uint64))
-        drop, add = r.integers(0, n + 1), r.integers(0, n + 1)
-        b = np.unique(np.concatenate([r.permutation(a)[drop:], r.integers(0, 2**63, add, np.uint64)]))
-        same = len(np.intersect1d(a, b))
-        if same and den * same >= num * (len(a) + len(b) - same) and not np.array_equal(a, b):
-            assert set(np.concatenate(bands.of(a)).tolist()) & set(np.concatenate(bands.of(b)).tolist())
+    for weights in (None, r.integers(0, 4, 1 << 18).astype(np.uint8)):
+        order = jaccard.Order(num, den, weights)
+        for _ in range(60):
+            a = np.unique(r.integers(0, 2**63, n, np.uint64))
+            drop, add = r.integers(0, n + 1), r.integers(0, n + 1)
+            b = np.unique(np.concatenate([r.permutation(a)[drop:], r.integers(0, 2**63, add, np.uint64)]))
+            same = len(np.intersect1d(a, b))
+            if same and den * same >= num * (len(a) + len(b) - same):
+                (x, top_x), (y, top_y) = order.prefix(a), order.prefix(b)
+                met = [(top_x[i], top_y[np.flatnonzero(y == h)[0]]) for i, h in enumerate(x) if h in y]
+                assert any(len(b) <= p and len(a) <= q for p, q in met)
 
 
 def test_near_duplicates_with_null_ids_and_repeated_rows(spark, nothing):
@@ -317,6 +321,63 @@ def test_license_rules(spark, text, want):
     assert not {"gpl", "apache", "bsd", "cc-by-sa"} & {d["label"] for d in got}  # held by longer detections of higher priority
 
 
+COMMONS = {"": "by", "-ShareAlike": "by-sa", "-NoDerivatives": "by-nd", "-NonCommercial": "by-nc", "-NonCommercial-ShareAlike": "by-nc-sa", "-NonCommercial-NoDerivatives": "by-nc-nd"}
+
+
+def test_creative_commons_families(spark):
+    rows, want = [], {}
+    for name, short in COMMONS.items():
+        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            for text in (f"Creative Commons Attribution{name} {version} International License", f"under CC {short.upper()} {version}.", f"https://creativecommons.org/licenses/{short}/{version}/"):
+                want[len(rows)] = {f"cc-{short}-{version}"}
+                rows.append((len(rows), text))
+        want[len(rows)] = {f"cc-{short}"}
+        rows.append((len(rows), f"a Creative Commons Attribution{name} license"))
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: {d["label"] for d in r["detections"]} for r in got} == want
+
+
+def spelled(tree, last):
+    """A text that a parsed pattern matches: each choice by its first or last branch, with what is optional left out or kept."""
+    out = ""
+    for op, value in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(value)
+        elif op == "BRANCH":
+            out += spelled(value[1][-1 if last else 0], last)
+        elif op == "SUBPATTERN":
+            out += spelled(value[3], last)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, sub = value
+            out += spelled(sub, last) * (min(int(high), max(low, 1)) if last else low)
+        elif op == "IN":
+            kind, x = value[-1 if last else 0]
+            out += "x" if str(kind) == "CATEGORY" else chr(x if str(kind) == "LITERAL" else x[0])
+        elif op == "ANY":
+            out += "x"
+    return out
+
+
+def test_license_rules_find_their_own_words(spark):
+    """Texts spelled from every rule hold the rule's keyword and are detected."""
+    rows = []
+    for _, _, keyword, pattern, _ in licenses.rules():
+        for last in (False, True):
+            text = spelled(re._parser.parse(pattern), last)
+            assert re.search(pattern, f" {text} "), (pattern, text)
+            assert keyword in text, (keyword, text)
+            rows.append((len(rows), f"Some words: {text}. More of them"))
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(licenses._SIGNATURES) > 200 and all(r["detections"] for r in got)
+
+
+def test_license_many_detections(spark):
+    text = " ".join(f"Copyright 20{i % 90 + 10} someone{i} under the MIT License." for i in range(20_000))
+    r = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert Counter(d["label"] for d in r["detections"])["mit"] == 20_000
+
+
 def test_statistics(texts):
     ids = sorted(texts)
     got = quality.statistics([texts[i].encode() for i in ids])
@@ -360,37 +421,75 @@ def test_language_model(docs, awkward, nothing, texts):
     assert language_model.score_documents(awkward).count() == awkward.count() and not language_model.score_documents(nothing).count()
 
 
-def test_language_model_trains_on_all_training_documents(texts, monkeypatch):
+def test_language_model_learns_and_depends_on_no_cut(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(400):
+        word, out = "a", []
+        for _ in range(120):  # a chain in which words tell what follows
+            word = {"a": "b", "b": r.choice("cd"), "c": "a", "d": "e", "e": r.choice("ac")}[word]
+            out.append(word + str(i % 3))
+        rows.append((i, " ".join(out)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    one, seven = ({x["doc_id"]: x for x in language_model.score_documents(table.repartition(n)).collect()} for n in (1, 7))
+    held = [x for x in one.values() if x["held_out"]]
+    assert sum(x["score"] for x in held) > 0.75 * sum(x["base_score"] for x in held)
+    assert {i: x["score"] for i, x in one.items()} == pytest.approx({i: x["score"] for i, x in seven.items()})
+
+
+def test_language_model_beats_the_base_on_held_out_text(spark):
+    got = language_model.op7_language_model(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > 0.95 * got[1]
+
+
+def test_language_model_probabilities_add_up():
+    v = language_model.Vocabulary([*"abcdefgh", "\n"], [9, 8, 7, 6, 5, 4, 3, 2, 5], {}, 49, 9, lead=2)
+    r = np.random.default_rng(5)
+    w = {k: r.normal(size=s).astype(np.float32) for k, s in language_model.SHAPES.items()}
+    total = 0.0
+    for i in range(len(v.words)):
+        code = np.array([v.code[i], v.code[v.end]], np.uint16)
+        total += 10 ** (language_model.sequence_scores(w, v.prior, code[:1], np.array([1]))[0] + v.within[i])
+    rare = sum(10 ** language_model.sequence_scores(w, v.prior, np.array([(language_model.CLASSES + k) * language_model.CODES + language_model.LEAD], np.uint16), np.array([1]))[0] for k in range(1, language_model.RARE_CLASSES + 1))
+    empty = sum(10 ** language_model.sequence_scores(w, v.prior, np.array([c * language_model.CODES + j], np.uint16), np.array([1]))[0] for c in range(1, 1 + language_model.CLASSES) for j in range(language_model.CODES) if not np.isin(c * language_model.CODES + j, v.code))
+    assert total + rare + empty == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_trains_on_all_training_documents(texts):
     v, first = language_model.Vocabulary(["a", "\n"], [3, 2], {}, 5, 2), language_model.first_weights()
     ids = sorted(texts)
     batch = lambda own: pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([texts[i] for i in own])], names=["doc_id", "text"])
     n = {i: len(texts[i].encode().translate(LOWER).split()) + 1 for i in ids if not language_model.held_out(i)}
-    for block in (1_000_000, 500):
-        monkeypatch.setattr(language_model, "BLOCK_TOKENS", block, raising=False)
-        (got,) = language_model._trainer(v, first)(iter([batch(ids[:50]), batch(ids[50:])]))
-        assert got.column(0).to_pylist() == [sum(n.values())]
-        assert np.isfinite(got.column(1).flatten().to_numpy()).all()
-    for i in list(n)[:20]:  # each alone trains too
-        (got,) = language_model._trainer(v, first)(iter([batch([i])]))
-        assert not np.array_equal(got.column(1).flatten().to_numpy(), np.concatenate([first[k].ravel() for k in language_model.SHAPES]))
+    coded = pa.Table.from_batches(language_model._coder(v)(iter([batch(ids[:50]), batch(ids[50:])])))
+    assert sorted(coded.column("tokens").to_pylist()) == sorted(n.values())
+    got = language_model._trainer(v.prior, first)(coded)
+    assert got.column("tokens").to_pylist() == [sum(n.values())] and np.isfinite(got.column("weights").combine_chunks().flatten().to_numpy()).all()
+    again = language_model._trainer(v.prior, first)(coded.take(pa.array(np.random.default_rng(1).permutation(len(coded)))))
+    assert got.equals(again)
 
 
 def test_gradient():
     r = np.random.default_rng(1)
-    w = {k: v.astype(np.float64) for k, v in language_model.first_weights().items()}
+    w = {k: r.normal(0, 0.25, s) for k, s in language_model.SHAPES.items()}
     x, y = r.integers(0, language_model.SYMBOLS, (5, 3)), r.integers(0, language_model.SYMBOLS, (5, 3))
     y[4, 1] = -1
+    y[2:4] = 3  # several words of one class
+    sub = r.integers(0, language_model.CODES, (5, 3))
+    prior = r.normal(size=(language_model.SYMBOLS, language_model.CODES))
     fresh = r.random((5, 3)) < 0.3
     h = r.normal(size=(3, language_model.HIDDEN))
-    g, _, _ = language_model.window_gradient(w, h, x, y, fresh)
+    run = lambda w: language_model.window_gradient(w, prior, h, x, y, sub, fresh)
+    g, _, _ = run(w)
     for k in w:
         at = tuple(r.integers(0, s) for s in w[k].shape)
         if k == "W":
             at = (int(x[2, 0]), at[1])
+        if k in ("A", "B"):
+            at = (3, *at[1:])
         up, down = ({**w, k: w[k].copy()} for _ in range(2))
         up[k][at] += 1e-4
         down[k][at] -= 1e-4
-        slope = (language_model.window_gradient(up, h, x, y, fresh)[2] - language_model.window_gradient(down, h, x, y, fresh)[2]) / 2e-4
+        slope = (run(up)[2] - run(down)[2]) / 2e-4
         assert g[k][at] == pytest.approx(slope, abs=1e-5)
 
 
@@ -419,6 +518,7 @@ def test_lines(docs, awkward, nothing, texts):
 
 def test_sharding(spark, docs, awkward, nothing, texts, monkeypatch):
     monkeypatch.setattr(sharding, "ROWS_A_RANGE", 3)
+    monkeypatch.setattr(sharding, "MOST_RANGES", 64)
     hot = frame(spark, [(1000 + i, "copies of one text") for i in range(400)]).union(docs)
     for table in (docs, awkward, hot):
         rows = sharding.assign_shards(table, 4).collect()
@@ -437,6 +537,21 @@ def test_sharding(spark, docs, awkward, nothing, texts, monkeypatch):
     assert not sharding.assign_shards(nothing).count()
 
 
+def test_lines_of_a_very_long_document(spark):
+    rows = [(1, "the line that both hold"), (2, "\n".join(["the line that both hold"] + [f"line number {i} of many" for i in range(100_000)]))]
+    began = time.time()
+    got = {r["doc_id"]: r for r in lines.drop_shared_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[2]["n_lines"], got[2]["n_dropped"]) == (100_001, 1) and got[2]["text"].startswith("line number 0 of many\nline number 1 ")
+    assert time.time() - began < 15
+
+
+def test_lines_that_all_documents_hold(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT_LINES", 20)
+    texts = {i: f"the very same line\nown line number {i}\n{'pair of lines ' + str(i // 2)}" for i in range(100)}
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in lines.drop_shared_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_lines(texts)
+
+
 def luhn(digits):
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -469,7 +584,19 @@ def test_pii_adds_and_redacts(spark):
     text = 'Her key: token = "04dbebab91ab85687d33eeaaf9ac699e1188f962", SSN 123-45-6789, and jo@x.org.'
     table = spark.createDataFrame([(1, text), (2, "plain prose and nothing else"), (None, "jo@x.org")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redact(table).collect()}
-    assert got == {1: 'Her key: token = "<secret>", SSN <national_id>, and <email>.', 2: "plain prose and nothing else", None: "jo@x.org"}
+    assert got == {1: 'Her key: token = "<secret>", SSN <national_id>, and <email>.', 2: "plain prose and nothing else", None: "<email>"}
+
+
+def test_pii_redacts_each_row_by_itself(spark):
+    rows = [(5, "secret@person.org wrote this"), (5, "this was written to a.b@c.net, and to d@e.org!"), (None, "x@y.zz"), (None, None), (6, ""), (6, "none")]
+    got = pii.redact(spark.createDataFrame([(*r, "t") for r in rows], "doc_id long, text string, __spans_ string")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(5, "<email> wrote this"), (5, "this was written to <email>, and to <email>!"), (None, "<email>"), (None, None), (6, ""), (6, "none")])
+
+
+def test_pii_many_spans(spark):
+    text = " ".join(f"mail a{i}@b.org or token = {hashlib.sha1(b'%d' % i).hexdigest()}" for i in range(3000))
+    r = pii.find_personal(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(r["base"]) == 3000 and len(r["added"]) == 3000
 
 
 def test_pii_long_secrets(spark):
