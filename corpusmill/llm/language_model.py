@@ -1,14 +1,18 @@
-"""Language-model scoring: a gated recurrent network over word classes, and corpus counts within classes.
+"""Language-model scoring: a gated recurrent network with a class-factored output, and corpus counts.
 
 A token's probability factors into that of its class, given all tokens before it, and its own within the
-class. The class comes from a gated recurrent unit with a softmax over classes, trained by truncated
+class. Both come from the state of a gated recurrent unit: a softmax over classes, and within the class a softmax over its
+LEAD most frequent words and the rest of the class, whose logits start from the corpus counts. A word of the rest has its share
+of the rest's counts, which cover the whole training part. The network is trained by truncated
 backpropagation in numpy; its state is carried from window to window through the whole document, in training and in
-scoring. Within a class a token has its share of the class's counts, which cover the whole training part.
+scoring.
 
 Counts are complete and never leave the executors, but for the frequent words: at most FREQUENT of
-them, which every worker holds. The rest of a document's words meet their counts in a join. Each
-task trains on all of its own training documents, block by block, from common first weights, and the weights are
-averaged; so what is learned from grows with the corpus, and what is gathered is one set of weights a task.
+them, which every worker holds. The rest of a document's words meet their counts in a join. For training, every
+training document travels as two bytes a token to a shard that its content chooses; a shard trains on all of its
+documents, block by block, in an order that their content gives, from common first weights, and the weights are
+averaged. So what is learned from grows with the corpus, what is gathered is one set of weights a shard, and scores do not depend
+on how the input is cut into tasks.
 """
 
 from __future__ import annotations
@@ -20,17 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import spans_of, texts_of
 from .common import documents, map_arrow, stored
 
-#: Frequent words at most; classes of them; classes of rare words (by UTF-8 length); hidden units.
-FREQUENT, CLASSES, RARE_CLASSES, HIDDEN = 150_000, 31, 16, 16
-#: Streams and steps of a window; tokens that a task repeats its documents for, and passes at most; tokens of a block that a task trains on at once.
-STREAMS, STEPS, LEAST_TOKENS, MOST_PASSES, BLOCK_TOKENS = 64, 24, 150_000, 12, 1_000_000
-BATCH_BYTES, SCORE_TOKENS, FLUSH_ROWS, ABREAST = 4_000_000, 8_000_000, 1_000_000, 1024
+#: Frequent words at most; classes of them; classes of rare words (by UTF-8 length); hidden units; words of a class with logits of their own.
+FREQUENT, CLASSES, RARE_CLASSES, HIDDEN, LEAD = 150_000, 31, 16, 16, 24
+#: Streams and steps of a window; tokens that a shard repeats its documents for, and passes at most; tokens of a block, and of a shard.
+STREAMS, STEPS, LEAST_TOKENS, MOST_PASSES, BLOCK_TOKENS, SHARD_TOKENS = 64, 24, 150_000, 12, 1_000_000, 2_000_000
+BATCH_BYTES, SCORE_TOKENS, FLUSH_ROWS, ABREAST, STATES = 4_000_000, 8_000_000, 1_000_000, 1024, 200_000
 #: The end token's key; no word has white space.
 END = "\n"
 
@@ -78,41 +83,52 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """Frequent words with class, log10 shares within the class and in the corpus; totals of rare classes.
+    """Frequent words with their codes, log10 shares in the rest of their class and in the corpus; the prior logits within classes; totals of rare classes.
 
     Classes: 0 is the end; then CLASSES of frequent words, alike in their endings and of like mass; then rare ones by length.
+    A code is class * CODES + place among the class's leading words, or LEAD for the rest.
     """
 
-    def __init__(self, words: list[str], counts: list[int], rare: dict[int, float], total: int, distinct: int):
+    def __init__(self, words: list[str], counts: list[int], rare: dict[int, float], total: int, distinct: int, lead: int = LEAD):
         order = sorted(range(len(words)), key=lambda i: words[i].encode()[::-1])
         self.words = pa.array([words[i] for i in order], pa.large_string())
         c = np.array([counts[i] for i in order], float)
         mass = np.cumsum(c)
         ends = np.array([words[i] == END for i in order], bool)
         bins = 1 + np.minimum(CLASSES - 1, (mass - c) * CLASSES // max(1.0, mass[-1] if len(c) else 1.0)).astype(int)
-        self.cls = np.where(ends, 0, bins).astype(np.uint8)
-        sums = np.bincount(self.cls, c + 0.5, minlength=1 + CLASSES)
+        cls = np.where(ends, 0, bins)
+        place = np.full(len(c), LEAD)
+        by = np.lexsort((np.arange(len(c)), -c, cls))
+        first = np.searchsorted(cls[by], np.arange(CLASSES + 1))
+        rank = np.arange(len(c)) - first[cls[by]] if len(c) else np.empty(0, int)
+        place[by[rank < lead]] = rank[rank < lead]
+        self.code = (cls * CODES + place).astype(np.uint16)
         self.floor = total + 0.5 * (distinct + 1)
         self.base = np.log10((c + 0.5) / self.floor)
-        self.within = np.log10((c + 0.5) / sums[self.cls])
+        sums = np.bincount(self.code, c + 0.5, minlength=SYMBOLS * CODES)
+        rest = place == LEAD
+        self.within = np.where(rest, np.log10((c + 0.5) / np.where(rest, sums[self.code], 1)), 0.0)
+        shares = sums.reshape(SYMBOLS, CODES)
+        shares[CLASSES + 1 :, LEAD] = 1  # a rare class is all rest
+        self.prior = np.log(np.maximum(shares / np.maximum(shares.sum(axis=1, keepdims=True), 1e-9), 1e-9)).astype(np.float32)
         self.end = int(np.flatnonzero(ends)[0]) if ends.any() else -1
         self.rare = np.array([rare.get(k, 0.0) + 0.5 for k in range(RARE_CLASSES + 1)])
         self.total = total
 
-    def classes(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(index of each word among the frequent, or -1; its class)."""
+    def codes(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(index of each word among the frequent, or -1; its code)."""
         at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
         length = np.minimum(pc.binary_length(words).to_numpy(zero_copy_only=False), RARE_CLASSES)
-        return at, np.where(at >= 0, self.cls[at] if len(self.cls) else 0, CLASSES + length).astype(np.uint8)
+        return at, np.where(at >= 0, self.code[at] if len(self.code) else 0, (CLASSES + length) * CODES + LEAD).astype(np.uint16)
 
 
-SYMBOLS = 1 + CLASSES + RARE_CLASSES
-SHAPES = {"U": (HIDDEN, 3 * HIDDEN), "W": (SYMBOLS, 3 * HIDDEN), "V": (HIDDEN, SYMBOLS), "b": (SYMBOLS,)}
+SYMBOLS, CODES = 1 + CLASSES + RARE_CLASSES, LEAD + 1
+SHAPES = {"U": (HIDDEN, 3 * HIDDEN), "W": (SYMBOLS, 3 * HIDDEN), "V": (HIDDEN, SYMBOLS), "b": (SYMBOLS,), "A": (SYMBOLS, HIDDEN, CODES), "B": (SYMBOLS, CODES)}
 
 
 def first_weights(seed: int = 9) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
-    return {k: (r.normal(0, 0.0 if k == "b" else 0.25, s)).astype(np.float32) for k, s in SHAPES.items()}
+    return {k: (r.normal(0, 0.0 if k in "bAB" else 0.25, s)).astype(np.float32) for k, s in SHAPES.items()}
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -127,8 +143,25 @@ def step(w: dict[str, np.ndarray], h: np.ndarray, x: np.ndarray):
     return new + gates[:, :n] * (h - new), (gates, new, a[:, 2 * n :])
 
 
-def window_gradient(w: dict[str, np.ndarray], h: np.ndarray, x: np.ndarray, y: np.ndarray, fresh: np.ndarray):
-    """(gradient of the mean loss over a window, state after it, mean loss); x, y, fresh: steps by streams; y < 0 counts nothing; fresh resets the state."""
+def _by_class(cls: np.ndarray):
+    """(class, places of its tokens) for the classes whose words differ in their logits."""
+    order = np.argsort(cls, kind="stable")
+    cuts = np.searchsorted(cls[order], np.arange(1, CLASSES + 2))
+    for c in range(1, CLASSES + 1):
+        if cuts[c - 1] < cuts[c]:
+            yield c, order[cuts[c - 1] : cuts[c]]
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def window_gradient(w: dict[str, np.ndarray], prior: np.ndarray, h: np.ndarray, x: np.ndarray, y: np.ndarray, sub: np.ndarray, fresh: np.ndarray):
+    """(gradient of the mean loss over a window, state after it, mean loss).
+
+    x, y (classes before and at each step), sub (places within the class), fresh: steps by streams; y < 0 counts nothing; fresh resets the state.
+    """
     n, (steps, streams) = HIDDEN, x.shape
     kept, states = [], np.empty((steps, streams, n), w["U"].dtype)
     for t in range(steps):
@@ -137,17 +170,27 @@ def window_gradient(w: dict[str, np.ndarray], h: np.ndarray, x: np.ndarray, y: n
         states[t] = h
         kept.append((before, state))
     # the softmax of all steps at once, and sums over the steps at the end: only the recurrence goes step by step
-    z = states.reshape(-1, n) @ w["V"] + w["b"]
-    p = np.exp(z - z.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    flat = y.ravel()
+    flat_states = states.reshape(-1, n)
+    p = _softmax(flat_states @ w["V"] + w["b"])
+    flat, flat_sub = y.ravel(), sub.ravel()
     real = np.flatnonzero(flat >= 0)
     count = max(1, len(real))
     loss = -float(np.log(p[real, flat[real]] + 1e-20).sum())
     p[real, flat[real]] -= 1
     p[flat < 0] = 0
     p /= count
-    out = (p @ w["V"].T).reshape(steps, streams, n)
+    out = p @ w["V"].T
+    g = {"A": np.zeros_like(w["A"]), "B": np.zeros_like(w["B"])}
+    for c, own in _by_class(flat[real]):
+        rows = real[own]
+        hs, at = flat_states[rows], (np.arange(len(rows)), flat_sub[rows])
+        q = _softmax(prior[c] + hs @ w["A"][c] + w["B"][c])
+        loss -= float(np.log(q[at] + 1e-20).sum())
+        q[at] -= 1
+        q /= count
+        g["A"][c], g["B"][c] = hs.T @ q, q.sum(axis=0)
+        out[rows] += q @ w["A"][c].T
+    out = out.reshape(steps, streams, n)
     back = np.zeros_like(h)
     dgates, dstate = np.empty((2, steps, streams, 3 * n), w["U"].dtype)
     for t in range(steps - 1, -1, -1):
@@ -164,20 +207,20 @@ def window_gradient(w: dict[str, np.ndarray], h: np.ndarray, x: np.ndarray, y: n
     befores = np.concatenate([k[0] for k in kept])
     seen = np.zeros((steps * streams, SYMBOLS), w["U"].dtype)
     seen[np.arange(steps * streams), x.ravel()] = 1
-    g = {"U": befores.T @ dstate.reshape(-1, 3 * n), "W": seen.T @ dgates.reshape(-1, 3 * n), "V": states.reshape(-1, n).T @ p, "b": p.sum(axis=0)}
+    g |= {"U": befores.T @ dstate.reshape(-1, 3 * n), "W": seen.T @ dgates.reshape(-1, 3 * n), "V": flat_states.T @ p, "b": p.sum(axis=0)}
     return g, h, loss / count
 
 
 class Trainer:
     """Weights trained by Adam on windows of STREAMS documents' parts side by side, block by block."""
 
-    def __init__(self, w: dict[str, np.ndarray], rate: float = 0.01):
-        self.w = {k: v.copy() for k, v in w.items()}
+    def __init__(self, w: dict[str, np.ndarray], prior: np.ndarray, rate: float = 0.01):
+        self.w, self.prior = {k: v.copy() for k, v in w.items()}, prior
         self.m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
         self.rate, self.n, self.falls = rate, 0, 0
 
     def block(self, docs: list[np.ndarray], passes: int = 1) -> None:
-        """Passes over class sequences (each ends with 0). The rate falls to a tenth over the first block and stays there."""
+        """Passes over code sequences (each ends with class 0). The rate falls to a tenth over the first block and stays there."""
         streams = max(1, min(STREAMS, len(docs)))
         lanes: list[list[np.ndarray]] = [[] for _ in range(streams)]
         load = [0] * streams
@@ -186,9 +229,10 @@ class Trainer:
             lanes[i].append(d)
             load[i] += len(d)
         steps = -(-max(load) // STEPS) * STEPS
-        y = np.full((steps, streams), -1, np.int64)
+        codes = np.full((steps, streams), -CODES, np.int64)
         for i, lane in enumerate(lanes):
-            y[: load[i], i] = np.concatenate(lane)
+            codes[: load[i], i] = np.concatenate(lane)
+        y, sub = codes // CODES, codes % CODES
         x = np.zeros_like(y)
         x[1:] = np.maximum(y[:-1], 0)
         fresh = x == 0
@@ -196,7 +240,8 @@ class Trainer:
         for _ in range(passes):
             h = np.zeros((streams, HIDDEN), np.float32)
             for lo in range(0, steps, STEPS):
-                g, h, _ = window_gradient(self.w, h, x[lo : lo + STEPS], y[lo : lo + STEPS], fresh[lo : lo + STEPS])
+                window = (z[lo : lo + STEPS] for z in (x, y, sub, fresh))
+                g, h, _ = window_gradient(self.w, self.prior, h, *window)
                 self.n += 1
                 rate = self.rate * (1 - 0.9 * min(1.0, self.n / (self.falls + 1)))
                 for k, w in self.w.items():
@@ -206,10 +251,11 @@ class Trainer:
                     w -= rate * (a / (1 - 0.9**self.n)) / (np.sqrt(b / (1 - 0.999**self.n)) + 1e-8)
 
 
-def class_scores(w: dict[str, np.ndarray], flat: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """log10 probability of each document's class sequence; flat holds the documents one after another.
+def sequence_scores(w: dict[str, np.ndarray], prior: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """log10 probability of each document's code sequence; flat holds the documents one after another.
 
     Documents of like length advance together, ABREAST at a time (arrays that stay in cache); the state is carried to each one's end.
+    The softmaxes of many steps are taken at once.
     """
     order = np.argsort(-size, kind="stable")
     begin = np.cumsum(size) - size
@@ -218,46 +264,75 @@ def class_scores(w: dict[str, np.ndarray], flat: np.ndarray, size: np.ndarray) -
         block = order[a : a + ABREAST]
         at, length, got = begin[block], size[block], np.zeros(len(block))
         h, x = np.zeros((len(block), HIDDEN), np.float32), np.zeros(len(block), np.int64)
-        active = np.searchsorted(-length, -np.arange(length[0]), side="left")
-        for t, n in enumerate(active.tolist()):
+        active = np.searchsorted(-length, -np.arange(length[0]), side="left").tolist()
+        states, targets, held = [], [], 0
+        for t, n in enumerate(active):
             h, _ = step(w, h[:n], x[:n])
-            x = flat[at[:n] + t].astype(np.int64)
-            z = h @ w["V"] + w["b"]
-            got[:n] += z[np.arange(n), x] - np.log(np.exp(z).sum(axis=1))
+            code = flat[at[:n] + t].astype(np.int64)
+            x = code // CODES
+            states.append(h)
+            targets.append(code)
+            held += n
+            if held >= STATES or t + 1 == len(active):
+                _add_scores(w, prior, np.concatenate(states), np.concatenate(targets), np.concatenate([np.arange(len(c)) for c in targets]), got)
+                states, targets, held = [], [], 0
         out[block] = got
     return out / math.log(10)
 
 
+def _add_scores(w: dict[str, np.ndarray], prior: np.ndarray, states: np.ndarray, codes: np.ndarray, doc: np.ndarray, got: np.ndarray) -> None:
+    cls, sub = codes // CODES, codes % CODES
+    z = states @ w["V"] + w["b"]
+    score = z[np.arange(len(z)), cls] - np.log(np.exp(z).sum(axis=1))
+    for c, own in _by_class(cls):
+        z = prior[c] + states[own] @ w["A"][c] + w["B"][c]
+        score[own] += z[np.arange(len(own)), sub[own]] - np.log(np.exp(z).sum(axis=1))
+    got += np.bincount(doc, score, minlength=len(got))
+
+
 def _sequences(v: Vocabulary, texts: pa.Array):
-    """Words, the text of each, indices among the frequent, and class sequences with ends: flat, and the size of each."""
+    """Words, the text of each, indices among the frequent, and code sequences with ends: flat, and the size of each."""
     words, of = _tokens(texts)
-    at, cls = v.classes(words)
+    at, code = v.codes(words)
     n = np.bincount(of, minlength=len(texts))
     size = n + 1
-    flat = np.zeros(int(size.sum()), np.uint8)
-    flat[np.arange(len(of)) + of] = cls
+    flat = np.zeros(int(size.sum()), np.uint16)
+    flat[np.arange(len(of)) + of] = code
     return words, of, at, flat, size
 
 
-def _trainer(v: Vocabulary, w: dict[str, np.ndarray]):
+def _coder(v: Vocabulary):
+    """Of each training document the number of tokens and the codes, compressed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, docs, held, tokens = Trainer(w), [], 0, 0
         for batch in batches:
             texts = batch.column(1).filter(pa.array([not held_out(i) for i in batch.column(0).to_pylist()], pa.bool_()))
             for lo, hi in spans_of(texts, BATCH_BYTES):
                 _, _, _, flat, size = _sequences(v, texts.slice(lo, hi - lo))
-                docs += np.split(flat, np.cumsum(size)[:-1])
-                held += len(flat)
-                tokens += len(flat)
-                if held >= BLOCK_TOKENS:
-                    trainer.block(docs)
-                    docs, held = [], 0
+                press = zstandard.ZstdCompressor(level=1)
+                z = [press.compress(x.tobytes()) for x in np.split(flat, np.cumsum(size)[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(size, pa.int64()), pa.array(z, pa.binary())], names=["tokens", "z"])
+
+    return run
+
+
+def _trainer(prior: np.ndarray, w: dict[str, np.ndarray]):
+    """Weights trained on a shard: all its documents, in an order that only their content gives."""
+
+    def run(table: pa.Table) -> pa.Table:
+        trainer, docs, held = Trainer(w, prior), [], 0
+        blobs = sorted(table.column("z").to_pylist(), key=lambda b: (zlib.crc32(b), b))
+        tokens = sum(table.column("tokens").to_pylist())
+        for blob in blobs:
+            docs.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint16))
+            held += len(docs[-1])
+            if held >= BLOCK_TOKENS:
+                trainer.block(docs)
+                docs, held = [], 0
         if docs:
             trainer.block(docs, min(MOST_PASSES, max(1, -(-LEAST_TOKENS // tokens))))
-        if tokens:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([tokens], pa.int64()), pa.array([np.concatenate([trainer.w[k].ravel() for k in SHAPES]).tolist()], pa.list_(pa.float32()))], names=["tokens", "weights"]
-            )
+        flat = np.concatenate([trainer.w[k].ravel() for k in SHAPES])
+        return pa.table({"tokens": pa.array([tokens], pa.int64()), "weights": pa.array([flat], pa.list_(pa.float32()))})
 
     return run
 
@@ -269,12 +344,12 @@ def _scorer(v: Vocabulary, w: dict[str, np.ndarray]):
     def done(held: list[tuple]) -> pa.RecordBatch:
         row, ids, known, base, score, flat, size = zip(*held, strict=True)
         size, score = np.concatenate(size), np.concatenate(score)
-        score += class_scores(w, np.concatenate(flat), size)
+        score += sequence_scores(w, v.prior, np.concatenate(flat), size)
         cols = [pa.concat_arrays(row), pa.concat_arrays(ids), pa.nulls(len(size), pa.string()), pa.array(size), pa.array(np.concatenate(known)), pa.array(np.concatenate(base)), pa.array(score)]
         return pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "word", "n_tokens", "n_known", "base", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # texts are cut in small slices; documents of many slices go through the network together, as one byte a token
+        # texts are cut in small slices; documents of many slices go through the network together, as two bytes a token
         held: list[tuple] = []
         tokens = 0
         end_base, end_within = (v.base[v.end], v.within[v.end]) if v.end >= 0 else (math.log10(0.5 / v.floor), 0.0)
@@ -308,7 +383,7 @@ def _rare_class(word):
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Null and empty texts are only the end. Rows are scored one by one; repeated rows train as often as they
+    Null and empty texts are only the end. Rows are scored one by one; rows in any order and partitioning give equal scores; repeated rows train as often as they
     stand there. A null id is in the training part if the text 'null' is. With an empty table the result is empty; without
     training documents all words are unknown. Other columns are dropped.
     """
@@ -333,7 +408,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     v = Vocabulary([r["word"] for r in top], [r["c"] for r in top], rare, total, distinct)
 
     w = first_weights()
-    got = map_arrow(own, _trainer(v, w), "tokens long, weights array<float>")
+    shards = max(1, -(-total // SHARD_TOKENS))
+    coded = map_arrow(own, _coder(v), "tokens long, z binary").withColumn("shard", F.pmod(F.xxhash64("z"), F.lit(shards)))
+    got = coded.groupBy("shard").applyInArrow(_trainer(v.prior, w), "tokens long, weights array<float>")
     # averaged where they are: one row for each place in the weights
     mean = got.select("tokens", F.posexplode("weights").alias("at", "x")).groupBy("at").agg((F.sum(F.col("x") * F.col("tokens")) / F.sum("tokens")).alias("x")).orderBy("at").collect()
     if mean:
