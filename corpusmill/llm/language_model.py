@@ -34,7 +34,7 @@ from .common import documents, map_arrow, stored
 #: Frequent words at most; classes of them; classes of rare words (by UTF-8 length); hidden units; words of a class with logits of their own.
 FREQUENT, CLASSES, RARE_CLASSES, HIDDEN, LEAD = 150_000, 31, 16, 16, 24
 #: Streams and steps of a window; tokens that a shard repeats its documents for, and passes at most; tokens of a block, and of a shard.
-STREAMS, STEPS, LEAST_TOKENS, MOST_PASSES, BLOCK_TOKENS, SHARD_TOKENS = 64, 24, 150_000, 12, 1_000_000, 2_000_000
+STREAMS, STEPS, LEAST_TOKENS, MOST_PASSES, BLOCK_TOKENS, SHARD_TOKENS = 256, 24, 600_000, 12, 1_000_000, 2_000_000
 BATCH_BYTES, SCORE_TOKENS, FLUSH_ROWS, ABREAST, STATES = 4_000_000, 8_000_000, 1_000_000, 1024, 200_000
 #: The end token's key; no word has white space.
 END = "\n"
@@ -108,11 +108,13 @@ class Vocabulary:
         sums = np.bincount(self.code, c + 0.5, minlength=SYMBOLS * CODES)
         rest = place == LEAD
         self.within = np.where(rest, np.log10((c + 0.5) / np.where(rest, sums[self.code], 1)), 0.0)
+        self.rare = np.array([rare.get(k, 0.0) + 0.5 for k in range(RARE_CLASSES + 1)])
         shares = sums.reshape(SYMBOLS, CODES)
-        shares[CLASSES + 1 :, LEAD] = 1  # a rare class is all rest
-        self.prior = np.log(np.maximum(shares / np.maximum(shares.sum(axis=1, keepdims=True), 1e-9), 1e-9)).astype(np.float32)
+        shares[CLASSES + 1 :, LEAD] = self.rare[1:]  # a rare class is all rest
+        mass = shares.sum(axis=1, keepdims=True)
+        self.class_prior = np.log((mass[:, 0] + 0.5) / (mass + 0.5).sum()).astype(np.float32)
+        self.prior = np.log(np.maximum(shares / np.maximum(mass, 1e-9), 1e-9)).astype(np.float32)
         self.end = int(np.flatnonzero(ends)[0]) if ends.any() else -1
-        self.rare = np.array([rare.get(k, 0.0) + 0.5 for k in range(RARE_CLASSES + 1)])
         self.total = total
 
     def codes(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -126,9 +128,13 @@ SYMBOLS, CODES = 1 + CLASSES + RARE_CLASSES, LEAD + 1
 SHAPES = {"U": (HIDDEN, 3 * HIDDEN), "W": (SYMBOLS, 3 * HIDDEN), "V": (HIDDEN, SYMBOLS), "b": (SYMBOLS,), "A": (SYMBOLS, HIDDEN, CODES), "B": (SYMBOLS, CODES)}
 
 
-def first_weights(seed: int = 9) -> dict[str, np.ndarray]:
+def first_weights(class_prior: np.ndarray | None = None, seed: int = 9) -> dict[str, np.ndarray]:
+    """Small random weights; the output starts from the classes' shares."""
     r = np.random.default_rng(seed)
-    return {k: (r.normal(0, 0.0 if k in "bAB" else 0.25, s)).astype(np.float32) for k, s in SHAPES.items()}
+    w = {k: (r.normal(0, 0.0 if k in "bAB" else 0.25, s)).astype(np.float32) for k, s in SHAPES.items()}
+    if class_prior is not None:
+        w["b"] = class_prior.copy()
+    return w
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -153,7 +159,7 @@ def _by_class(cls: np.ndarray):
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p = np.exp(np.minimum(z, 80))
     return p / p.sum(axis=1, keepdims=True)
 
 
@@ -214,24 +220,22 @@ def window_gradient(w: dict[str, np.ndarray], prior: np.ndarray, h: np.ndarray,
 class Trainer:
     """Weights trained by Adam on windows of STREAMS documents' parts side by side, block by block."""
 
-    def __init__(self, w: dict[str, np.ndarray], prior: np.ndarray, rate: float = 0.01):
+    def __init__(self, w: dict[str, np.ndarray], prior: np.ndarray, rate: float = 0.005):
         self.w, self.prior = {k: v.copy() for k, v in w.items()}, prior
         self.m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
         self.rate, self.n, self.falls = rate, 0, 0
 
     def block(self, docs: list[np.ndarray], passes: int = 1) -> None:
         """Passes over code sequences (each ends with class 0). The rate falls to a tenth over the first block and stays there."""
-        streams = max(1, min(STREAMS, len(docs)))
-        lanes: list[list[np.ndarray]] = [[] for _ in range(streams)]
-        load = [0] * streams
-        for d in sorted(docs, key=len, reverse=True):
-            i = load.index(min(load))
-            lanes[i].append(d)
-            load[i] += len(d)
-        steps = -(-max(load) // STEPS) * STEPS
-        codes = np.full((steps, streams), -CODES, np.int64)
-        for i, lane in enumerate(lanes):
-            codes[: load[i], i] = np.concatenate(lane)
+        # one after another, cut into lanes of equal length: a document that a cut divides goes on from a fresh state
+        flat = np.concatenate(docs).astype(np.int64)
+        streams = max(1, min(STREAMS, len(flat) // (32 * STEPS)))  # some dozens of windows at least
+        steps = -(-len(flat) // (streams * STEPS)) * STEPS
+        codes = np.full(steps * streams, -CODES, np.int64)
+        each = -(-len(flat) // streams)
+        lane = np.arange(len(flat)) // each
+        codes[lane * steps + np.arange(len(flat)) - lane * each] = flat
+        codes = np.ascontiguousarray(codes.reshape(streams, steps).T)
         y, sub = codes // CODES, codes % CODES
         x = np.zeros_like(y)
         x[1:] = np.maximum(y[:-1], 0)
@@ -391,12 +395,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = stored(map_arrow(own, _count, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # the lowest count that at most `frequent` words reach
+    # the lowest count, 2 at least, that at most `frequent` words reach
     cut, held = 1 << 62, 0
     levels = counts.groupBy((F.floor(F.log2("c") * 8)).alias("level")).agg(F.count("*").alias("words"), F.min("c").alias("c")).collect()  # 8 levels a doubling
     for r in sorted(levels, key=lambda r: -r["level"]):
         held += r["words"]
-        if held > frequent:
+        if held > frequent or r["c"] < 2:  # words seen once stand for those never seen
             break
         cut = r["c"]
     common = F.col("c") >= cut
@@ -407,7 +411,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rare = {r["k"]: r["mass"] for r in counts.where(is_rare).groupBy(_rare_class(F.col("word")).alias("k")).agg(F.sum(F.col("c") + 0.5).alias("mass")).collect()}  # RARE_CLASSES rows
     v = Vocabulary([r["word"] for r in top], [r["c"] for r in top], rare, total, distinct)
 
-    w = first_weights()
+    w = first_weights(v.class_prior)
     shards = max(1, -(-total // SHARD_TOKENS))
     coded = map_arrow(own, _coder(v), "tokens long, z binary").withColumn("shard", F.pmod(F.xxhash64("z"), F.lit(shards)))
     got = coded.groupBy("shard").applyInArrow(_trainer(v.prior, w), "tokens long, weights array<float>")

@@ -439,7 +439,7 @@ def test_language_model_learns_and_depends_on_no_cut(spark):
 
 def test_language_model_beats_the_base_on_held_out_text(spark):
     got = language_model.op7_language_model(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > 0.95 * got[1]
+    assert got[0] > 0.97 * got[1]
 
 
 def test_language_model_probabilities_add_up():
