@@ -30,7 +30,7 @@ class Query:
                 out.groups.append(group)
                 group = []
                 continue
-            words = re.findall("[a-z0-9]+", (phrase or word).lower())
+            words = re.findall(r"[^\W_]+", (phrase or word).lower())
             if words:
                 (out.excluded if minus else group).append(words)
         out.groups = [g for g in [*out.groups, group] if g]

@@ -20,16 +20,28 @@ def _edge(kind: str, weight: float):
 
 
 def recommend(edges: DataFrame, similar: DataFrame, threshold: float = 0.5, k: int = 5) -> DataFrame:
-    """Targets that similar contexts accepted; confidence = accepted / (accepted + rejected), weighted by similarity.
+    """Targets that similar contexts accepted; confidence = accepted / (accepted + rejected), each summed by similarity; total_weight sums edge weight times similarity.
 
     similar: source_node, similarity.
     """
-    s = edges.join(similar.where(F.col("similarity") >= threshold), "source_node")
+    s = edges.where(F.col("edge_type").isin("accepted", "rejected")).join(similar.where(F.col("similarity") >= threshold), "source_node")
     part = lambda kind: F.sum(F.when(F.col("edge_type") == kind, F.col("similarity")).otherwise(0.0))
-    sums = s.groupBy("target_node").agg(part("accepted").alias("yes"), part("rejected").alias("no"))
+    sums = s.groupBy("target_node").agg(part("accepted").alias("yes"), part("rejected").alias("no"), F.sum(F.col("weight") * F.col("similarity")).alias("w"))
     total = F.col("yes") + F.col("no")
-    out = sums.where(total > 0).select("target_node", F.round(F.col("yes") / total, 6).alias("confidence"), F.round(total, 6).alias("total_weight"))
-    return out.where(F.col("confidence") >= threshold).orderBy(F.desc("confidence"), F.desc("total_weight"), "target_node").limit(k)
+    rows = sums.where((total > 0) & (F.col("yes") / total >= threshold))
+    out = rows.select("target_node", F.bround(F.col("yes") / total, 3).alias("confidence"), F.bround("w", 3).alias("total_weight"), F.bround("yes", 2).alias("accept_count"), F.bround("no", 2).alias("reject_count"))
+    return out.orderBy(F.desc("confidence"), F.desc("total_weight"), "target_node").limit(k)
+
+
+def feedback(edges: DataFrame, similar: DataFrame, limit: int = 10) -> DataFrame:
+    """Edges of similar contexts, most similar first, then heaviest. similar: source_node, similarity."""
+    out = edges.join(similar, "source_node")
+    return out.orderBy(F.desc("similarity"), F.desc("weight"), "target_node", "edge_type").limit(limit)
+
+
+def feedback_by_text(edges: DataFrame, text: str, limit: int = 10) -> DataFrame:
+    """Where there are no vectors: edges whose context summary holds the text, in any case."""
+    return edges.where(F.contains(F.lower("context_summary"), F.lit(text.lower()))).orderBy("event_id").limit(limit)
 
 
 def phase(edges: DataFrame) -> DataFrame:
@@ -65,12 +77,21 @@ def labels(component: DataFrame, pairs: DataFrame) -> DataFrame:
     return top.groupBy("root").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", F.col("node").cast("string").alias("name")))).getField("name"), " + ").alias("label"))
 
 
-def hops(pairs: DataFrame, start, most: int = 5) -> DataFrame:
-    """Least number of edges from start to each node, up to `most`: a frontier a round."""
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = pairs.sparkSession.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("hops"))
+def hops(pairs: DataFrame, start, shared: str, most: int = 5) -> DataFrame:
+    """Least number of edges from start to each node, up to `most`: a frontier a round, each round a written table."""
+    spark = pairs.sparkSession
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{shared}/{name}")
+        return spark.read.parquet(f"{shared}/{name}")
+
+    both = written(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    seen = written(spark.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("hops")), "0")
     frontier = seen
     for n in range(1, most + 1):
-        frontier = both.join(frontier.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(n))
+        reached = both.join(frontier.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
+        frontier = written(reached.join(seen, "node", "left_anti").withColumn("hops", F.lit(n)), str(n))
+        if not frontier.limit(1).count():
+            break
         seen = seen.union(frontier)
     return seen

@@ -37,18 +37,23 @@ def ranked(matches: DataFrame, k: int = 8) -> DataFrame:
     return s.withColumn("rank", rank).where(F.col("rank") <= k).select("session", "node", "score", "rank")
 
 
-def delta(matches: DataFrame, turn: int) -> DataFrame:
-    """Nodes by what changed since a snapshot after `turn`: newly in both pools, promoted, still in B, faded."""
-
-    def after(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("session", "node").agg(F.count_if(F.col("pool") == "A").alias(f"{name}_a"), F.count_if(F.col("pool") == "B").alias(f"{name}_b"))
-
-    both = after(matches.where(F.col("turn") <= turn), "old").join(after(matches, "new"), ["session", "node"], "full").fillna(0)
-    later = matches.where(F.col("turn") > turn).select("session", "node").distinct().withColumn("again", F.lit(True))
-    both = both.join(later, ["session", "node"], "left")
-    ab = lambda n: (F.col(f"{n}_a") > 0) & (F.col(f"{n}_b") > 0)
-    was = (F.col("old_a") + F.col("old_b")) > 0
-    kind = F.when(ab("new") & ~was, "new_ab").when(ab("new") & ~ab("old"), "promoted").when((F.col("new_a") == 0) & was & F.col("again"), "b_persistent").when(was & F.col("again").isNull(), "faded")
+def delta(matches: DataFrame, turn: int, interval: int = 10) -> DataFrame:
+    """Nodes by what changed from the snapshot `interval` turns ago (the first is taken after turn 1) to the state after `turn`; the first class that holds counts.
+
+    new_ab: in both pools now, in neither then; promoted: in both now, only in A then; b_persistent: in B more than once and never in A;
+    faded: seen then, and silent for the interval.
+    """
+    then = F.col("turn") <= max(turn - interval, 1)
+    count = lambda pool, when, name: F.count_if((F.col("pool") == pool) & when).alias(name)
+    now = F.lit(True)
+    both = matches.where(F.col("turn") <= turn).groupBy("session", "node").agg(count("A", now, "a"), count("B", now, "b"), count("A", then, "pa"), count("B", then, "pb"), F.max("turn").alias("last"))
+    in_both = "a > 0 and b > 0"
+    kind = (
+        F.when(F.expr(f"{in_both} and pa = 0 and pb = 0"), "new_ab")
+        .when(F.expr(f"{in_both} and pa > 0 and pb = 0"), "promoted")
+        .when(F.expr("a = 0 and b > 1"), "b_persistent")
+        .when(F.expr("(pa > 0 or pb > 0)") & (F.col("last") < turn - interval), "faded")
+    )
     return both.select("session", "node", kind.alias("kind")).where("kind is not null")
 
 

@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 from ..functions.text import STOP_WORDS
 
 
+#: Ends of terms that are file names.
+NOISE_SUFFIXES = (".md", ".py", ".txt", ".json", ".csv")
+
+
 def top_terms(files: DataFrame, words: Column, n: int = 10) -> DataFrame:
     """The n most frequent words of each file; of equals the one that comes first."""
     t = files.select("file_path", F.posexplode(words).alias("pos", "term")).groupBy("file_path", "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first"))
@@ -16,41 +20,47 @@ def top_terms(files: DataFrame, words: Column, n: int = 10) -> DataFrame:
     return t.withColumn("rank", rank).where(F.col("rank") <= n).select("file_path", "term", "tf", "rank")
 
 
-def _grams(text: Column) -> Column:
-    """Words of two characters or more without stop words, and pairs of neighbours."""
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0)), lambda w: ~F.array_contains(stops, w))
+def _grams(text: Column, stop_words) -> Column:
+    """Words of two characters or more without stop words."""
+    stops = F.array(*[F.lit(w) for w in stop_words])
+    return F.array_remove(F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: F.when(F.array_contains(stops, w), "").otherwise(w)), "")
 
 
-def file_tfidf(chunks: DataFrame, n: int = 20, most_df: float = 0.95) -> DataFrame:
-    """For files of two chunks or more, the n terms (words and pairs) of highest mean TF-IDF over the chunks.
+def file_tfidf(chunks: DataFrame, n: int = 20, most_df: float = 0.95, most_terms: int = 1000, stop_words=STOP_WORDS) -> DataFrame:
+    """For files of two chunks or more, the n terms (words and pairs of neighbours) of highest mean TF-IDF over the chunks.
 
-    idf = ln((1 + chunks) / (1 + df)) + 1 within the file; terms in more than most_df of its chunks are out; each chunk's vector has length one.
+    idf = ln((1 + chunks) / (1 + df)) + 1 within the file; terms in more than most_df of its chunks are out, and of the rest
+    the most_terms most frequent stay (of equals the first in order); each chunk's vector has length one. The chunks are dealt out by file once; all further steps keep to that.
     """
-    words = chunks.select("file_path", "chunk_index", _grams(F.col("content")).alias("w"))
+    of_file = Window.partitionBy("file_path")
+    own = chunks.select("file_path", "chunk_index", _grams(F.col("content"), stop_words).alias("w")).repartition("file_path")
+    own = own.withColumn("n", F.count("*").over(of_file)).where("n > 1")
     pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1)))
-    terms = words.select("file_path", "chunk_index", F.explode(F.concat("w", pairs)).alias("term"))
-    tf = terms.groupBy("file_path", "chunk_index", "term").agg(F.count("*").alias("tf"))
-    counts = chunks.groupBy("file_path").agg(F.count("*").alias("n")).where("n > 1")
-    df = tf.groupBy("file_path", "term").agg(F.count("*").alias("df"))
-    weighed = tf.join(df, ["file_path", "term"]).join(counts, "file_path").where(F.col("df") <= most_df * F.col("n"))
-    weighed = weighed.withColumn("x", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    tf = own.select("file_path", "chunk_index", "n", F.explode(F.concat("w", pairs)).alias("term")).groupBy("file_path", "chunk_index", "n", "term").agg(F.count("*").alias("tf"))
+    of_term = Window.partitionBy("file_path", "term")
+    x = tf.withColumns({"df": F.count("*").over(of_term), "all": F.sum("tf").over(of_term)}).where(F.col("df") <= most_df * F.col("n"))
+    x = x.withColumn("place", F.dense_rank().over(of_file.orderBy(F.desc("all"), "term"))).where(F.col("place") <= most_terms)
+    x = x.withColumn("x", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("file_path", "chunk_index")))
-    mean = weighed.withColumn("x", F.col("x") / length).groupBy("file_path", "term", "n").agg((F.sum("x") / F.col("n")).alias("m")).withColumn("score", F.round("m", 6))
-    rank = F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("score"), "term"))
+    mean = x.withColumn("x", F.col("x") / length).groupBy("file_path", "term", "n").agg((F.sum("x") / F.col("n")).alias("m")).withColumn("score", F.round("m", 6))
+    rank = F.row_number().over(of_file.orderBy(F.desc("score"), "term"))
     return mean.withColumn("rank", rank).where(F.col("rank") <= n).select("file_path", "term", "score", "rank")
 
 
-def global_idf(terms: DataFrame, n_files: int | Column) -> DataFrame:
-    """ln(files / (df + 1)) for each term; terms: (file_path, term)."""
-    n = F.lit(n_files) if isinstance(n_files, int) else n_files
-    return terms.select("file_path", "term").distinct().groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.round(F.ln(n / (F.col("df") + 1)), 6))
+def global_idf(terms: DataFrame, files: DataFrame) -> DataFrame:
+    """ln(files / (df + 1)) for each term; terms: (file_path, term); files: a row for each that counts."""
+    n = files.agg(F.count("*").alias("n"))  # one row
+    df = terms.select("file_path", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(F.ln(F.col("n") / (F.col("df") + 1)), 6).alias("idf"))
 
 
 def noise(term: Column) -> Column:
     """Terms that are no words: long ones, paths, file names, mostly other characters than letters."""
     letters = F.length(F.regexp_replace(term, r"[^\p{L}]", ""))
-    return (F.length(term) > 40) | F.contains(term, F.lit("/")) | F.rlike(term, F.lit(r"\.[a-z]{1,4}$")) | (letters < F.length(term) * 0.5)
+    named = F.lit(False)
+    for end in NOISE_SUFFIXES:
+        named = named | term.endswith(end)
+    return (F.length(term) > 40) | named | F.contains(term, F.lit("/")) | (letters < F.greatest(F.length(term), F.lit(1)) * 0.5)
 
 
 def group_keywords(scored: DataFrame, idf: DataFrame, group: str, n: int = 25, floor: float = 0.001) -> DataFrame:

@@ -9,25 +9,25 @@ from ..functions import text as X
 
 
 def search(files: DataFrame, *, name=None, file_type=None, directory=None, modified_after=None, modified_before=None, min_size=None, max_size=None, strict_sizes: bool = False, limit: int | None = 20) -> DataFrame:
-    """Conjunction of the filters given, newest first, undated last. strict_sizes: bounds exclude themselves."""
+    """Conjunction of the filters given, newest first, undated last. strict_sizes: bounds exclude themselves. A filter that is None, 0 or empty is not given."""
     out = files
-    if name is not None:
+    if name:
         out = out.where(F.col("file_path").ilike(f"%{name}%"))
-    if file_type is not None:
+    if file_type:
         out = out.where(F.col("file_type").ilike(f"%{file_type}%") | F.col("mime_type").ilike(f"%{file_type}%"))
-    if directory is not None:
+    if directory:
         out = out.where(F.col("file_path").startswith(directory))
-    if modified_after is not None:
+    if modified_after:
         out = out.where(F.col("last_modified") >= F.lit(modified_after).cast("timestamp_ntz"))
-    if modified_before is not None:
+    if modified_before:
         out = out.where(F.col("last_modified") <= F.lit(modified_before).cast("timestamp_ntz"))
     size = F.col("file_size")
-    if min_size is not None:
+    if min_size:
         out = out.where(size > min_size if strict_sizes else size >= min_size)
-    if max_size is not None:
+    if max_size:
         out = out.where(size < max_size if strict_sizes else size <= max_size)
     out = out.orderBy(F.desc_nulls_last("last_modified"), "file_path")
-    return out if limit is None else out.limit(limit)
+    return out.limit(limit) if limit else out
 
 
 def in_scope(path: Column, scope: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,10 @@ from pyspark.sql.window import Window
 from ..functions import vectors as V
 
 
+#: Groups up to which centroids are broadcast.
+CENTROIDS = 20_000
+
+
 def top_k(vectors: DataFrame, query: list[float], k: int = 10, measure: str = "cosine", key: str = "vec_id") -> DataFrame:
     """The k nearest by cosine, inner product ("ip") or squared distance ("l2", similarity 1 / (1 + d)); rows with NaN or null are out.
 
@@ -17,7 +23,7 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, measure: str = "c
     v, q = F.col("v"), V.literal(query)
     ok = vectors.where(v.isNotNull() & ~V.has_nan(v))
     score: Column = {"cosine": V.cosine(v, q), "ip": V.inner(v, q), "l2": 1 / (1 + V.squared_distance(v, q))}[measure]
-    return ok.withColumn("similarity", F.round(score, 6)).where("similarity is not null").orderBy(F.desc("similarity"), key).limit(k)
+    return ok.withColumn("similarity", score).where("similarity is not null").orderBy(F.desc("similarity"), key).limit(k).withColumn("similarity", F.round("similarity", 6))
 
 
 def recall(vectors: DataFrame, contents: DataFrame, query: list[float], k: int = 5, cut: int = 600) -> DataFrame:
@@ -33,6 +39,7 @@ def recall(vectors: DataFrame, contents: DataFrame, query: list[float], k: int =
 def two_tiers(major: DataFrame, minor: DataFrame, tombstones: DataFrame, query: list[float], k: int = 10) -> DataFrame:
     """Nearest over both tiers without tombstoned rows (which apply to the major tier), best of each (path, index)."""
     live = major.join(tombstones, "vec_id", "left_anti").unionByName(minor)
+    live = live.where(F.col("v").isNotNull() & ~V.has_nan(F.col("v")))
     best = Window.partitionBy("file_path", "chunk_index").orderBy(F.desc("similarity"), "vec_id")
     scored = live.withColumn("similarity", F.round(V.inner(F.col("v"), V.literal(query)), 6))
     return scored.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn").orderBy(F.desc("similarity"), "vec_id").limit(k)
@@ -55,34 +62,83 @@ def centroid_neighbours(vectors: DataFrame, group: str, k: int = 40, threshold:
     The centroids, a row for each group, are the stated query set; every vector is read once.
     """
     c = centroids(vectors, group).select(F.col(group).alias("from_group"), F.col("v").alias("c"))
-    pairs = vectors.join(F.broadcast(c), F.col(group) != F.col("from_group")).withColumn("similarity", F.round(V.cosine(F.col("v"), F.col("c")), 6)).where(F.col("similarity") > threshold)
+    few = c.limit(CENTROIDS + 1).count() <= CENTROIDS
+    c = F.broadcast(c) if few else c.repartition("from_group")
+    pairs = vectors.join(c, F.col(group) != F.col("from_group")).withColumn("similarity", V.cosine(F.col("v"), F.col("c"))).where(F.col("similarity") > threshold)
     rank = F.row_number().over(Window.partitionBy("from_group").orderBy(F.desc("similarity"), "vec_id"))
     top = pairs.withColumn("rn", rank).where(F.col("rn") <= k)
     return top.groupBy("from_group", F.col(group).alias("to_group")).agg(F.count("*").alias("hits"), F.round(F.avg("similarity"), 6).alias("similarity"))
 
 
-def lsa(chunks: DataFrame, dims: int = 16, min_df: int = 2, most_terms: int = 400, key: tuple[str, ...] = ("file_path", "chunk_index")) -> DataFrame:
-    """Unit vectors of latent semantic analysis: sublinear TF-IDF, truncated SVD of the bounded vocabulary.
+class LatentModel:
+    """A vocabulary with idf weights and the leading right singular vectors of the TF-IDF matrix: (terms, dims)."""
+
+    def __init__(self, terms: list[str], idf: np.ndarray, factors: np.ndarray):
+        self.terms, self.idf, self.factors = terms, idf, factors
+
+    def save(self, spark, path: str) -> None:
+        rows = [(t, float(w), [float(x) for x in f]) for t, w, f in zip(self.terms, self.idf, self.factors, strict=True)]
+        spark.createDataFrame(rows, "term string, idf double, factors array<double>").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> LatentModel:
+        t = spark.read.parquet(path).orderBy("term").toArrow()  # a row for each term of the bounded vocabulary
+        return cls(t.column("term").to_pylist(), np.array(t.column("idf")), np.array(t.column("factors").to_pylist()).reshape(len(t), -1))
+
+
+def _term_counts(chunks: DataFrame, key: list[str]) -> DataFrame:
+    """key, term, x = 1 + ln(tf); terms begin with a letter and have three characters or more."""
+    words = F.regexp_extract_all(F.lower("content"), F.lit("[a-z][a-z0-9_]{2,}"), F.lit(0))
+    return chunks.select(*key, F.explode(words).alias("term")).groupBy(*key, "term").agg((1 + F.ln(F.count("*"))).alias("x"))
+
+
+def lsa_fit(chunks: DataFrame, dims: int = 256, min_df: int = 2, most_terms: int = 100_000, rounds: int = 5, seed: int = 42, key: tuple[str, ...] = ("file_path", "chunk_index")) -> LatentModel:
+    """Latent semantic analysis: sublinear TF-IDF rows of length one, and a truncated SVD by randomized subspace iteration.
 
-    The Gram matrix has most_terms squared entries, summed by Spark's row matrix, so documents never leave the executors.
+    Each round multiplies by the matrix and its transpose where the rows are, in Arrow batches; what reaches the driver is
+    one (terms, dims) matrix, bounded by most_terms. Terms that fewer than min_df chunks hold are out; of more than most_terms the most frequent stay.
     """
-    from pyspark.ml.feature import CountVectorizer, RegexTokenizer
-    from pyspark.mllib.linalg import Vectors as MV
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    words = RegexTokenizer(inputCol="content", outputCol="w", pattern="[a-zA-Z][a-zA-Z0-9_]{2,}", gaps=False).transform(chunks)
-    model = CountVectorizer(inputCol="w", outputCol="tf", minDF=float(min_df), vocabSize=most_terms).fit(words)
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    tf = model.transform(words).select(*key, vector_to_array("tf").alias("tf"))
-    n = tf.count()
-    df = tf.select(F.posexplode("tf").alias("i", "x")).where("x > 0").groupBy("i").agg(F.count("*").alias("df")).orderBy("i").collect()  # a row for each term
-    idf = {r["i"]: r["df"] for r in df}
-    import math
-
-    weights = F.lit([math.log((1 + n) / (1 + idf.get(i, 0))) + 1 for i in range(len(model.vocabulary))])
-    weighed = tf.withColumn("x", F.zip_with("tf", weights, lambda t, w: F.when(t > 0, (1 + F.ln(t)) * w).otherwise(0.0))).withColumn("x", V.unit(F.col("x")))
-    rows = weighed.select(array_to_vector("x").alias("x"))
-    svd = RowMatrix(rows.rdd.map(lambda r: MV.fromML(r[0]))).computeSVD(min(dims, len(model.vocabulary)))
-    factors = [F.lit(list(map(float, col))) for col in svd.V.toArray().T]
-    return weighed.select(*key, V.unit(F.array(*[V.inner(F.col("x"), f) for f in factors])).alias("v"))
+    spark, cols = chunks.sparkSession, list(key)
+    counts = _term_counts(chunks, cols)
+    n = chunks.count()
+    top = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("x").alias("all")).where(F.col("df") >= min_df).orderBy(F.desc("all"), "term").limit(most_terms)
+    table = top.toArrow().sort_by("term")
+    terms = table.column("term").to_pylist()
+    idf = np.log((1 + n) / (1 + np.array(table.column("df"), float))) + 1
+    dims = min(dims, len(terms))
+    index = spark.createDataFrame([(t, i, float(w)) for i, (t, w) in enumerate(zip(terms, idf, strict=True))], "term string, at int, idf double")
+    weighed = counts.join(index, "term").select(*cols, "at", (F.col("x") * F.col("idf")).alias("x"))
+    rows = weighed.groupBy(*cols).agg(F.collect_list("at").alias("at"), F.collect_list("x").alias("x")).select("at", "x").persist()
+
+    def products(q: np.ndarray):
+        def run(batches):
+            total = np.zeros_like(q)
+            for b in batches:
+                at, x = b.column(0), b.column(1)
+                place, value = at.flatten().to_numpy(), x.flatten().to_numpy()
+                row = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy()))
+                value = value / np.sqrt(np.bincount(row, value * value, len(at)))[row]
+                y = np.zeros((len(at), q.shape[1]))
+                np.add.at(y, row, q[place] * value[:, None])
+                np.add.at(total, place, y[row] * value[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.large_binary())], names=["part"])
+
+        return run
+
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(terms), dims)))[0] if terms else np.zeros((0, 0))
+    for _ in range(rounds if terms else 0):
+        total = np.zeros_like(q)
+        for r in rows.mapInArrow(products(q), "part binary").toLocalIterator():
+            total += np.frombuffer(r["part"]).reshape(q.shape)
+        q, values, _ = np.linalg.svd(total, full_matrices=False)
+    rows.unpersist()
+    return LatentModel(terms, idf, q)
+
+
+def lsa_encode(chunks: DataFrame, model: LatentModel, key: tuple[str, ...] = ("file_path", "chunk_index")) -> DataFrame:
+    """key and v, of length one; chunks without a known term have none. The terms' factors are a bounded table, joined to the terms."""
+    spark, cols = chunks.sparkSession, list(key)
+    table = spark.createDataFrame([(t, [float(w * x) for x in f]) for t, w, f in zip(model.terms, model.idf, model.factors, strict=True)], "term string, f array<double>")
+    found = _term_counts(chunks, cols).join(table, "term").select(*cols, F.posexplode(F.transform("f", lambda y: y * F.col("x"))).alias("i", "x"))
+    sums = found.groupBy(*cols, "i").agg(F.sum("x").alias("x"))
+    return sums.groupBy(*cols).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")).select(*cols, V.unit(F.col("c.x")).alias("v"))

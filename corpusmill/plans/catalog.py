@@ -17,6 +17,8 @@ from ..operators import metadata as D
 from ..operators import vector as N
 from .fixtures import CHUNKS_SQL, EDGES_SQL, FILES_SQL, SESSIONS_SQL, VECTORS_SQL, edges, files, sessions, table, vectors
 
+#: The pattern of a word in the oracles.
+WORD = r"'[\p{L}\p{N}]+'"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,7 +27,7 @@ def _query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = sql
+            ORACLES[name] = sql.replace("'WORD'", WORD)
         return f
 
     return add
@@ -134,9 +136,9 @@ def table_counts(spark, sf):
     return out
 
 
-@_query("dir_compound", f"WITH {FILES_SQL} SELECT regexp_replace(file_path, '/[^/]+$', '') AS directory FROM files GROUP BY 1 HAVING bool_or(file_path LIKE '%.py') AND bool_or(file_path LIKE '%.md')")
+@_query("dir_compound", f"WITH {FILES_SQL} SELECT regexp_replace(file_path, '/[^/]+$', '') AS directory FROM files GROUP BY 1 HAVING bool_or(file_path LIKE '%/doc_%1%') AND bool_or(file_path LIKE '%/doc_%2%')")
 def dir_compound(spark, sf):
-    return D.compound_directories(files(spark, sf), {"py": "%.py", "md": "%.md"})
+    return D.compound_directories(files(spark, sf), {"one": "doc_%1%", "two": "doc_%2%"})
 
 
 @_query("status_counts", "SELECT count(*) FILTER (WHERE event_type = 'view') AS view, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error FROM events")
@@ -153,24 +155,68 @@ def chunk_code(spark, sf):
     return C.chunk_code(files(spark, sf))
 
 
-@_query("chunk_overlap", f"WITH {FILES_SQL}, s AS (SELECT file_path, content, unnest(range(0, greatest(length(content), 1), 680)) AS a FROM files WHERE content <> '') SELECT file_path, CAST(a // 680 AS INTEGER) AS chunk_index, substring(content, CAST(a + 1 AS BIGINT), 800) AS content FROM s")
-def chunk_overlap(spark, sf):
+@_query("chunk_prose_overlap", f"""WITH RECURSIVE {FILES_SQL},
+w AS (SELECT file_path, 0 AS k, 0 AS a, length(content) AS n FROM files WHERE content <> '' UNION ALL SELECT file_path, k + 1, e - 120, n FROM
+  (SELECT w.file_path, k, n, CASE WHEN a + 800 < n AND strpos(substring(f.content, a + 701, 200), chr(10) || chr(10)) > 0 THEN a + 699 + strpos(substring(f.content, a + 701, 200), chr(10) || chr(10)) ELSE a + 800 END AS e FROM w JOIN files f USING (file_path)) WHERE e - 120 < n),
+e AS (SELECT w.*, f.content, CASE WHEN a + 800 < n AND strpos(substring(f.content, a + 701, 200), chr(10) || chr(10)) > 0 THEN a + 699 + strpos(substring(f.content, a + 701, 200), chr(10) || chr(10)) ELSE a + 800 END AS e FROM w JOIN files f USING (file_path)),
+p AS (SELECT file_path, k, regexp_replace(substring(content, a + 1, e - a), '^\\s+|\\s+$', '', 'g') AS piece FROM e)
+SELECT file_path, CAST(row_number() OVER (PARTITION BY file_path ORDER BY k) - 1 AS INTEGER) AS chunk_index, piece AS content FROM p WHERE piece <> ''""")
+def chunk_prose_overlap(spark, sf):
     return C.exploded(files(spark, sf), C.overlapping_pieces(F.col("content")))
 
 
 _PARAGRAPHS = FILES_SQL + """,
-parts AS (SELECT file_path, unnest(range(len(p))) AS i, unnest(p) AS part FROM (SELECT file_path, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM files)),
+ps AS (SELECT file_path, unnest(range(len(p))) AS pi, unnest(p) AS p FROM (SELECT file_path, list_filter(list_transform(regexp_split_to_array(content, '\\n\\s*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM files)),
+ss AS (SELECT file_path, pi, p, CASE WHEN length(p) > 800 THEN flatten(list_transform(range(len(regexp_split_to_array(p, '[.!?]+\\s+'))), lambda i: [regexp_split_to_array(p, '[.!?]+\\s+')[i + 1], regexp_extract_all(p, '[.!?]+\\s+')[i + 1]])) ELSE [p] END AS s FROM ps),
+parts AS (SELECT file_path, row_number() OVER (PARTITION BY file_path ORDER BY pi, si) - 1 AS i, x, CASE WHEN NOT long THEN 0 WHEN si = 0 THEN 1 ELSE 2 END AS kind FROM (SELECT file_path, pi, length(p) > 800 AS long, unnest(range(len(s))) AS si, unnest(s) AS x FROM ss) WHERE x IS NOT NULL),
 packed AS (
-  SELECT file_path, i, part, 0 AS chunk_index, length(part) + 2 AS size FROM parts WHERE i = 0
+  SELECT file_path, i, x, kind, 0 AS chunk_index, length(x) + CASE kind WHEN 0 THEN 2 ELSE 0 END AS size FROM parts WHERE i = 0
   UNION ALL
-  SELECT l.file_path, l.i, l.part, p.chunk_index + CASE WHEN p.size + length(l.part) + 2 > 800 THEN 1 ELSE 0 END, CASE WHEN p.size + length(l.part) + 2 > 800 THEN 0 ELSE p.size END + length(l.part) + 2
+  SELECT l.file_path, l.i, l.x, l.kind,
+    p.chunk_index + CASE WHEN l.kind = 1 OR (l.kind = 0 AND (p.kind > 0 OR p.size + length(l.x) > 800)) OR (l.kind = 2 AND p.size + length(l.x) > 800) THEN 1 ELSE 0 END,
+    CASE WHEN l.kind = 1 THEN length(l.x) WHEN l.kind = 0 AND p.kind > 0 THEN length(l.x) + 2 WHEN l.kind = 0 AND p.size + length(l.x) > 800 THEN length(l.x) WHEN l.kind = 0 THEN p.size + length(l.x) + 2
+         WHEN p.size + length(l.x) > 800 THEN length(l.x) ELSE p.size + length(l.x) END
   FROM packed p JOIN parts l ON l.file_path = p.file_path AND l.i = p.i + 1)"""
 
 
-@_query("chunk_paragraphs", f"WITH RECURSIVE {_PARAGRAPHS} SELECT file_path, CAST(chunk_index AS INTEGER) AS chunk_index, string_agg(part, chr(10) || chr(10) ORDER BY i) AS content FROM packed GROUP BY file_path, chunk_index")
-def chunk_paragraphs(spark, sf):
-    f = files(spark, sf).withColumn("content", F.replace("content", F.lit("\n"), F.lit("\n\n")))
-    return C.exploded(f, C.paragraph_pieces(F.col("content")))
+@_query("chunk_prose_discrete", f"WITH RECURSIVE {_PARAGRAPHS} SELECT file_path, CAST(chunk_index AS INTEGER) AS chunk_index, CASE WHEN max(kind) = 0 THEN string_agg(x, chr(10) || chr(10) ORDER BY i) ELSE regexp_replace(string_agg(x, '' ORDER BY i), '^\\s+|\\s+$', '', 'g') END AS content FROM packed GROUP BY file_path, chunk_index")
+def chunk_prose_discrete(spark, sf):
+    return C.exploded(files(spark, sf), C.paragraph_pieces(F.col("content")))
+
+
+_LIVE = """live AS (SELECT file_path, CASE WHEN file_type = '.py' THEN chr(10) ELSE chr(10) || chr(10) END AS mark, CASE WHEN file_type = '.py' THEN 350 ELSE 800 END AS most, content FROM files WHERE content <> '' AND {which}),
+parts AS (SELECT file_path, most, unnest(range(len(string_split(content, mark)))) AS i, unnest(string_split(content, mark)) || mark AS x FROM live),
+packed AS (SELECT file_path, i, x, 0 AS chunk_index, length(x) AS size FROM parts WHERE i = 0 UNION ALL
+  SELECT l.file_path, l.i, l.x, p.chunk_index + CASE WHEN p.size + length(l.x) > most THEN 1 ELSE 0 END, CASE WHEN p.size + length(l.x) > most THEN 0 ELSE p.size END + length(l.x) FROM packed p JOIN parts l ON l.file_path = p.file_path AND l.i = p.i + 1)
+SELECT file_path, CAST(chunk_index AS INTEGER) AS chunk_index, string_agg(x, '' ORDER BY i) AS content FROM packed GROUP BY file_path, chunk_index"""
+
+
+def _live(spark, sf, code):
+    f = files(spark, sf).where((F.col("file_type") == ".py") == F.lit(code))
+    return C.exploded(f, C.live_pieces(F.col("content"), F.col("file_type")))
+
+
+@_query("chunk_live_code", f"WITH RECURSIVE {FILES_SQL}, {_LIVE.format(which="file_type = '.py'")}")
+def chunk_live_code(spark, sf):
+    return _live(spark, sf, True)
+
+
+@_query("chunk_live_prose", f"WITH RECURSIVE {FILES_SQL}, {_LIVE.format(which="file_type <> '.py'")}")
+def chunk_live_prose(spark, sf):
+    return _live(spark, sf, False)
+
+
+@_query("chunk_positions", f"WITH RECURSIVE {CHUNKS_SQL} SELECT file_path, chunk_index, CAST(sum(length(content) + 1) OVER (PARTITION BY file_path ORDER BY chunk_index) - length(content) - 1 AS BIGINT) AS start, length(content) AS size FROM chunks")
+def chunk_positions(spark, sf):
+    before = Window.partitionBy("file_path").orderBy("chunk_index")
+    size = F.length("content")
+    return C.chunk_code(files(spark, sf)).select("file_path", "chunk_index", (F.sum(size + 1).over(before) - size - 1).alias("start"), size.alias("size"))
+
+
+@_query("chunk_envelope_json", f"WITH RECURSIVE {CHUNKS_SQL}, t AS (SELECT *, count(*) OVER (PARTITION BY file_path) AS n FROM chunks) SELECT file_path, chunk_index, n AS total_chunks, left(content, 50) AS starts_with FROM t")
+def chunk_envelope_json(spark, sf):
+    rows = C.as_json(C.envelope(C.chunk_code(files(spark, sf))))
+    return C.from_json(rows, "file_path string, chunk_index int, total_chunks long, starts_with string")
 
 
 @_query("chunk_strategy", f"WITH {FILES_SQL} SELECT file_path, CASE WHEN file_type IN ('.py', '.sql') THEN 'code_discrete' ELSE 'prose_discrete' END AS strategy FROM files")
@@ -190,24 +236,24 @@ def chunk_stats(spark, sf):
     return C.stats(C.chunk_code(files(spark, sf)))
 
 
-_ADJACENT = f"WITH RECURSIVE {CHUNKS_SQL}, hits AS (SELECT file_path, chunk_index FROM chunks WHERE chunk_index % 4 = 1) SELECT h.file_path, h.chunk_index AS hit_index, c.chunk_index, c.content FROM hits h JOIN chunks c ON c.file_path = h.file_path AND c.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1"
+_ADJACENT = f"WITH RECURSIVE {CHUNKS_SQL}, hits AS (SELECT file_path, chunk_index FROM chunks WHERE ' ' || array_to_string(regexp_extract_all(lower(content), 'WORD'), ' ') || ' ' LIKE '% the %') SELECT h.file_path, h.chunk_index AS hit_index, c.chunk_index, c.content FROM hits h JOIN chunks c ON c.file_path = h.file_path AND c.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1"
 
 
 @_query("adjacent_chunks", _ADJACENT)
 def adjacent_chunks(spark, sf):
     c = C.chunk_code(files(spark, sf))
-    return C.adjacent(c.where("chunk_index % 4 = 1"), c)
+    return C.adjacent(c.where(T.Query.parse("the").matches(X.tokens(F.col("content")))), c)
 
 
 @_query("adjacent_excl_self", _ADJACENT + " WHERE c.chunk_index <> h.chunk_index")
 def adjacent_excl_self(spark, sf):
     c = C.chunk_code(files(spark, sf))
-    return C.adjacent(c.where("chunk_index % 4 = 1"), c, with_self=False)
+    return C.adjacent(c.where(T.Query.parse("the").matches(X.tokens(F.col("content")))), c, with_self=False)
 
 
 # --- full text ----------------------------------------------------------------
 
-_SPACED = "' ' || array_to_string(regexp_extract_all(lower(content), '[a-z0-9]+'), ' ') || ' '"
+_SPACED = "' ' || array_to_string(regexp_extract_all(lower(content), 'WORD'), ' ') || ' '"
 
 
 def _fts_sql(predicate: str, limit: str = "LIMIT 20") -> str:
@@ -240,7 +286,7 @@ def fts_or(spark, sf):
     return _fts(spark, sf, 'apache version OR "rights reserved"')
 
 
-_BM25 = """t AS (SELECT {key}, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM {source}), d AS (SELECT *, len(w) AS length FROM t WHERE len(w) > 0), tot AS (SELECT count(*) AS n, avg(length) AS mean FROM d),
+_BM25 = """t AS (SELECT {key}, regexp_extract_all(lower(content), 'WORD') AS w FROM {source}), d AS (SELECT *, len(w) AS length FROM t WHERE len(w) > 0), tot AS (SELECT count(*) AS n, avg(length) AS mean FROM d),
 p AS (SELECT {key}, length, term, count(*) AS tf FROM (SELECT {key}, length, unnest(w) AS term FROM d) WHERE term IN ({words}) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 scored AS (SELECT {key}, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM p JOIN df USING (term), tot GROUP BY {key})"""
 
@@ -250,7 +296,7 @@ def fts_bm25(spark, sf):
     return T.bm25(files(spark, sf), ["file_path"], ["license", "version", "the"], None)
 
 
-@_query("fts_postings", f"WITH {FILES_SQL}, t AS (SELECT file_path, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM files) SELECT file_path, length, term, count(*) AS tf FROM (SELECT file_path, CAST(len(w) AS INTEGER) AS length, unnest(w) AS term FROM t) GROUP BY ALL")
+@_query("fts_postings", f"WITH {FILES_SQL}, t AS (SELECT file_path, regexp_extract_all(lower(content), 'WORD') AS w FROM files) SELECT file_path, length, term, count(*) AS tf FROM (SELECT file_path, CAST(len(w) AS INTEGER) AS length, unnest(w) AS term FROM t) GROUP BY ALL")
 def fts_postings(spark, sf):
     return T.postings(files(spark, sf), ["file_path"])
 
@@ -267,22 +313,22 @@ _Q = [((i * 37) % 11 - 5) / 10 for i in range(64)]
 _QS = "CAST([" + ", ".join(map(str, _Q)) + "] AS DOUBLE[])"
 
 
-@_query("vector_cosine_topk", f"WITH {VECTORS_SQL} SELECT vec_id, round(list_cosine_similarity(v, {_QS}), 6) AS similarity FROM vectors ORDER BY 2 DESC, 1 LIMIT 10")
+@_query("vector_cosine_topk", f"WITH {VECTORS_SQL} SELECT vec_id, round(list_cosine_similarity(v, {_QS}), 6) AS similarity FROM vectors ORDER BY list_cosine_similarity(v, {_QS}) DESC, 1 LIMIT 10")
 def vector_cosine_topk(spark, sf):
     return N.top_k(vectors(spark, sf), _Q).select("vec_id", "similarity")
 
 
-@_query("vector_l2_topk", f"WITH {VECTORS_SQL} SELECT vec_id, round(1 / (1 + list_distance(v, {_QS}) * list_distance(v, {_QS})), 6) AS similarity FROM vectors ORDER BY 2 DESC, 1 LIMIT 10")
+@_query("vector_l2_topk", f"WITH {VECTORS_SQL} SELECT vec_id, round(1 / (1 + list_distance(v, {_QS}) * list_distance(v, {_QS})), 6) AS similarity FROM vectors ORDER BY list_distance(v, {_QS}), 1 LIMIT 10")
 def vector_l2_topk(spark, sf):
     return N.top_k(vectors(spark, sf), _Q, measure="l2").select("vec_id", "similarity")
 
 
-@_query("vector_ip_topk", f"WITH {VECTORS_SQL} SELECT vec_id, round(list_inner_product(v, {_QS}), 6) AS similarity FROM vectors ORDER BY 2 DESC, 1 LIMIT 10")
+@_query("vector_ip_topk", f"WITH {VECTORS_SQL} SELECT vec_id, round(list_inner_product(v, {_QS}), 6) AS similarity FROM vectors ORDER BY list_inner_product(v, {_QS}) DESC, 1 LIMIT 10")
 def vector_ip_topk(spark, sf):
     return N.top_k(vectors(spark, sf), _Q, measure="ip").select("vec_id", "similarity")
 
 
-@_query("vector_nan_guard", f"WITH {VECTORS_SQL} SELECT vec_id, round(list_cosine_similarity(v, {_QS}), 6) AS similarity FROM vectors WHERE vec_id % 3 <> 0 ORDER BY 2 DESC, 1 LIMIT 10")
+@_query("vector_nan_guard", f"WITH {VECTORS_SQL} SELECT vec_id, round(list_cosine_similarity(v, {_QS}), 6) AS similarity FROM vectors WHERE vec_id % 3 <> 0 ORDER BY list_cosine_similarity(v, {_QS}) DESC, 1 LIMIT 10")
 def vector_nan_guard(spark, sf):
     broken = vectors(spark, sf).withColumn("v", F.when(F.col("vec_id") % 3 != 0, F.col("v")).otherwise(F.transform("v", lambda x: F.lit(float("nan")))))
     return N.top_k(broken, _Q).select("vec_id", "similarity")
@@ -307,20 +353,20 @@ def centroids(spark, sf):
 
 
 @_query("centroid_knn", f"""WITH {VECTORS_SQL}, e AS (SELECT label, unnest(v) AS x, unnest(range(64)) AS i FROM vectors), m AS (SELECT label, i, avg(x) AS x FROM e GROUP BY ALL), c AS (SELECT label, list(x ORDER BY i) AS c FROM m GROUP BY label),
-p AS (SELECT c.label AS from_group, v.label AS to_group, v.vec_id, round(list_cosine_similarity(v.v, c.c), 6) AS s FROM vectors v JOIN c ON v.label <> c.label), r AS (SELECT *, row_number() OVER (PARTITION BY from_group ORDER BY s DESC, vec_id) AS rn FROM p WHERE s > 0.1)
+p AS (SELECT c.label AS from_group, v.label AS to_group, v.vec_id, list_cosine_similarity(v.v, c.c) AS s FROM vectors v JOIN c ON v.label <> c.label), r AS (SELECT *, row_number() OVER (PARTITION BY from_group ORDER BY s DESC, vec_id) AS rn FROM p WHERE s > 0.1)
 SELECT from_group, to_group, count(*) AS hits, round(avg(s), 6) AS similarity FROM r WHERE rn <= 40 GROUP BY ALL""")
 def centroid_knn(spark, sf):
     return N.centroid_neighbours(vectors(spark, sf), "label", threshold=0.1).withColumnRenamed("label", "to_group")
 
 
-@_query("recall_context", f"""WITH {VECTORS_SQL}, h AS (SELECT file_path, chunk_index, round(list_cosine_similarity(v, {_QS}), 6) AS similarity, vec_id FROM vectors ORDER BY 3 DESC, 4 LIMIT 5),
+@_query("recall_context", f"""WITH {VECTORS_SQL}, h AS (SELECT file_path, chunk_index, round(list_cosine_similarity(v, {_QS}), 6) AS similarity, vec_id FROM vectors ORDER BY list_cosine_similarity(v, {_QS}) DESC, 4 LIMIT 5),
 t AS (SELECT file_path, chunk_index, 'chunk ' || chunk_index || ' of ' || file_path AS content FROM vectors) SELECT h.file_path, h.chunk_index, h.similarity, left(string_agg(t.content, chr(10) ORDER BY t.chunk_index), 600) AS context FROM h JOIN t ON t.file_path = h.file_path AND t.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1 GROUP BY ALL""")
 def recall_context(spark, sf):
     v = vectors(spark, sf)
     return N.recall(v, v.select("file_path", "chunk_index", F.format_string("chunk %d of %s", "chunk_index", "file_path").alias("content")), _Q)
 
 
-_HYBRID = f"{FILES_SQL}, {VECTORS_SQL}, {_BM25.format(key='doc_id', source='files', words=repr('license') + ', ' + repr('version'))}, l AS (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 20), r AS (SELECT vec_id AS doc_id, round(list_cosine_similarity(v, {_QS}), 6) AS score FROM vectors ORDER BY 2 DESC, 1 LIMIT 20)"
+_HYBRID = f"{FILES_SQL}, {VECTORS_SQL}, {_BM25.format(key='doc_id', source='files', words=repr('license') + ', ' + repr('version'))}, l AS (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 20), r AS (SELECT vec_id AS doc_id, round(list_cosine_similarity(v, {_QS}), 6) AS score FROM vectors ORDER BY list_cosine_similarity(v, {_QS}) DESC, 1 LIMIT 20)"
 
 
 def _hybrid(spark, sf):
@@ -341,53 +387,62 @@ def hybrid_weighted(spark, sf):
 @_query("lsa_topk")
 def lsa_topk(spark, sf):
     f = files(spark, sf).select("file_path", F.lit(0).alias("chunk_index"), "content")
-    return N.lsa(f).select("file_path", F.round(V.norm(F.col("v")), 6).alias("norm"))
+    model = N.lsa_fit(f, dims=32)
+    question = spark.range(1).select(F.lit("?").alias("file_path"), F.lit(0).alias("chunk_index"), F.lit("license version rights the of and").alias("content"))
+    q = N.lsa_encode(question, model).first()["v"]
+    return N.top_k(N.lsa_encode(f, model), q, 10, key="file_path").select("file_path", F.round("similarity", 4).alias("similarity"))
 
 
 # --- keywords -----------------------------------------------------------------
 
 
-@_query("term_freq_top", f"""WITH {FILES_SQL}, t AS (SELECT file_path, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT file_path, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM files)), g AS (SELECT file_path, term, count(*) AS tf, min(pos) AS first FROM t GROUP BY ALL)
+@_query("term_freq_top", f"""WITH {FILES_SQL}, t AS (SELECT file_path, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT file_path, regexp_extract_all(lower(content), 'WORD') AS w FROM files)), g AS (SELECT file_path, term, count(*) AS tf, min(pos) AS first FROM t GROUP BY ALL)
 SELECT file_path, term, tf, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY tf DESC, first) AS rank FROM g) WHERE rank <= 10""")
 def term_freq_top(spark, sf):
     return K.top_terms(files(spark, sf), X.tokens(F.col("content")))
 
 
+_KEYWORD_STOPS = "[" + ", ".join(f"'{w}'" for w in X.KEYWORD_STOPS) + "]"
 _STOPS = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 
 
-@_query("tokens_stopword", f"""WITH {FILES_SQL}, t AS (SELECT file_path, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT file_path, list_transform(regexp_extract_all(content, '[a-zA-Z][a-zA-Z_\\-'']{{2,}}'), lambda x: lower(x)) AS w FROM files)),
-g AS (SELECT file_path, term, min(pos) AS first FROM t WHERE NOT list_contains({_STOPS}, term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY first) AS rn FROM g)
+@_query("tokens_stopword", f"""WITH {FILES_SQL}, t AS (SELECT file_path, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT file_path, list_transform(regexp_extract_all(lower(content), '[a-z][a-z_\\-'']{{2,}}'), lambda x: trim(x, '''-_')) AS w FROM files)),
+g AS (SELECT file_path, term, min(pos) AS first FROM t WHERE term <> '' AND NOT list_contains({_KEYWORD_STOPS}, term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY first) AS rn FROM g)
 SELECT f.file_path, coalesce(string_agg(term, ',' ORDER BY rn) FILTER (WHERE rn <= 20), '') AS keywords FROM files f LEFT JOIN r ON r.file_path = f.file_path GROUP BY f.file_path""")
 def tokens_stopword(spark, sf):
     return files(spark, sf).select("file_path", F.array_join(X.keywords(F.col("content")), ",").alias("keywords"))
 
 
-_TFIDF = f"""{CHUNKS_SQL}, w AS (SELECT file_path, chunk_index, list_filter(regexp_extract_all(lower(content), '[a-z0-9_]{{2,}}'), lambda x: NOT list_contains({_STOPS}, x)) AS w FROM chunks),
+_TFIDF = f"""{CHUNKS_SQL}, w AS (SELECT file_path, chunk_index, list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: NOT list_contains({_STOPS}, x)) AS w FROM chunks),
 terms AS (SELECT file_path, chunk_index, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w), tf AS (SELECT file_path, chunk_index, term, count(*) AS tf FROM terms GROUP BY ALL),
-n AS (SELECT file_path, count(*) AS n FROM chunks GROUP BY 1 HAVING count(*) > 1), df AS (SELECT file_path, term, count(*) AS df FROM tf GROUP BY ALL),
-x AS (SELECT tf.*, n.n, tf * (ln((1 + n.n) / CAST(1 + df.df AS DOUBLE)) + 1) AS x FROM tf JOIN df USING (file_path, term) JOIN n USING (file_path) WHERE df.df <= 0.95 * n.n),
+n AS (SELECT file_path, count(*) AS n FROM chunks GROUP BY 1 HAVING count(*) > 1), df AS (SELECT file_path, term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY ALL),
+few AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY total DESC, term) AS place FROM df JOIN n USING (file_path) WHERE df <= 0.95 * n),
+x AS (SELECT tf.*, few.n, tf * (ln((1 + few.n) / CAST(1 + few.df AS DOUBLE)) + 1) AS x FROM tf JOIN few USING (file_path, term) WHERE place <= 1000),
 u AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY file_path, chunk_index)) AS y FROM x), m AS (SELECT file_path, term, round(sum(y) / n, 6) AS score FROM u GROUP BY file_path, term, n),
 tfidf AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY file_path ORDER BY score DESC, term) AS INTEGER) AS rank FROM m) WHERE rank <= 20)"""
 
 
-@_query("tfidf_file_top20", f"WITH RECURSIVE {_TFIDF} SELECT file_path, score, rank FROM tfidf WHERE rank <= 5")
+@_query("tfidf_file_top20", f"WITH RECURSIVE {_TFIDF} SELECT file_path, score, rank FROM tfidf")
 def tfidf_file_top20(spark, sf):
-    return K.file_tfidf(C.chunk_code(files(spark, sf))).where("rank <= 5").select("file_path", "score", "rank")
+    return K.file_tfidf(C.chunk_code(files(spark, sf))).select("file_path", "score", "rank")
 
 
-@_query("global_idf", f"WITH {FILES_SQL}, t AS (SELECT DISTINCT file_path, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS term FROM files) SELECT term, count(*) AS df, round(ln((SELECT count(*) FROM files) / CAST(count(*) + 1 AS DOUBLE)), 6) AS idf FROM t GROUP BY term")
+@_query("global_idf", f"WITH {FILES_SQL}, t AS (SELECT DISTINCT file_path, unnest(regexp_extract_all(lower(content), 'WORD')) AS term FROM files) SELECT term, count(*) AS df, round(ln((SELECT count(*) FROM files) / CAST(count(*) + 1 AS DOUBLE)), 6) AS idf FROM t GROUP BY term")
 def global_idf(spark, sf):
     f = files(spark, sf)
-    return K.global_idf(f.select("file_path", F.explode(X.tokens(F.col("content"))).alias("term")), f.count())
+    return K.global_idf(f.select("file_path", F.explode(X.tokens(F.col("content"))).alias("term")), f.select("file_path"))
 
 
-@_query("project_keywords")
+_FREQUENT = f"""t AS (SELECT file_path, lang, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT file_path, lang, regexp_extract_all(lower(content), 'WORD') AS w FROM files)), g AS (SELECT file_path, lang, term, count(*) AS tf, min(pos) AS first FROM t GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY tf DESC, first) AS rank FROM g) WHERE rank <= 20), idf AS (SELECT term, round(ln((SELECT count(*) FROM files) / CAST(count(*) + 1 AS DOUBLE)), 6) AS idf FROM top GROUP BY term)"""
+_NOISY = "length(term) > 40 OR contains(term, '/') OR suffix(term, '.md') OR suffix(term, '.py') OR suffix(term, '.txt') OR suffix(term, '.json') OR suffix(term, '.csv') OR length(regexp_replace(term, '[^\\p{L}]', '', 'g')) < greatest(length(term), 1) * 0.5"
+
+
+@_query("project_keywords", f"WITH {FILES_SQL}, {_FREQUENT}, x AS (SELECT lang, term, tf * idf AS x FROM top JOIN idf USING (term) WHERE NOT ({_NOISY})), s AS (SELECT lang, term, round(sum(x), 6) AS weight FROM x WHERE x > 0.001 GROUP BY ALL) SELECT lang, term, weight, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) AS rank FROM s) WHERE rank <= 25")
 def project_keywords(spark, sf):
     f = files(spark, sf)
-    scored = K.file_tfidf(C.chunk_code(f)).join(f.select("file_path", "lang"), "file_path")
-    idf = K.global_idf(scored, f.count())
-    return K.group_keywords(scored, idf, "lang")
+    scored = K.top_terms(f, X.tokens(F.col("content")), 20).select("file_path", "term", F.col("tf").alias("score")).join(f.select("file_path", "lang"), "file_path")
+    return K.group_keywords(scored, K.global_idf(scored, f.select("file_path")), "lang")
 
 
 @_query("project_top_files", f"WITH {FILES_SQL} SELECT lang, file_path, file_size, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY file_size DESC, file_path) AS rank FROM files) WHERE rank <= 5")
@@ -396,12 +451,12 @@ def project_top_files(spark, sf):
     return files(spark, sf).withColumn("rank", rank).where("rank <= 5").select("lang", "file_path", "file_size", "rank")
 
 
-@_query("noise_filter", "WITH t AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS term FROM documents) SELECT term FROM t WHERE length(term) > 40 OR contains(term, '/') OR regexp_matches(term, '\\.[a-z]{1,4}$') OR length(regexp_replace(term, '[^\\p{L}]', '', 'g')) < length(term) * 0.5")
+@_query("noise_filter", f"WITH t AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS term FROM documents) SELECT term FROM t WHERE {_NOISY}")
 def noise_filter(spark, sf):
     return table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("term")).distinct().where(K.noise(F.col("term")))
 
 
-@_query("keyword_search", f"WITH {FILES_SQL} SELECT file_path, {TIME.format('last_modified')} AS modified FROM files WHERE list_has_any(regexp_extract_all(lower(content), '[a-z0-9]+'), ['license', 'reserved']) {_NEWEST} 20")
+@_query("keyword_search", f"WITH {FILES_SQL} SELECT file_path, {TIME.format('last_modified')} AS modified FROM files WHERE list_has_any(regexp_extract_all(lower(content), 'WORD'), ['license', 'reserved']) {_NEWEST} 20")
 def keyword_search(spark, sf):
     analysis = files(spark, sf).withColumn("keywords", X.tokens(F.col("content")))
     return K.search(analysis, ["license", "reserved"]).select("file_path", _time("last_modified").alias("modified"))
@@ -478,11 +533,24 @@ def feedback_edges(spark, sf):
 _SIMILAR = "alike AS (SELECT DISTINCT source_node, (ascii(right(source_node, 1)) % 10) / CAST(10 AS DOUBLE) AS similarity FROM edges)"
 
 
-@_query("recommend_sources", f"""WITH {EDGES_SQL}, {_SIMILAR}, s AS (SELECT target_node, sum(CASE WHEN edge_type = 'accepted' THEN similarity ELSE 0 END) AS yes, sum(CASE WHEN edge_type = 'rejected' THEN similarity ELSE 0 END) AS no FROM edges JOIN alike USING (source_node) WHERE similarity >= 0.5 GROUP BY 1)
-SELECT target_node, round(yes / (yes + no), 6) AS confidence, round(yes + no, 6) AS total_weight FROM s WHERE yes + no > 0 AND round(yes / (yes + no), 6) >= 0.5 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 5""")
+@_query("recommend_sources", f"""WITH {EDGES_SQL}, {_SIMILAR}, s AS (SELECT target_node, sum(CASE WHEN edge_type = 'accepted' THEN similarity ELSE 0 END) AS yes, sum(CASE WHEN edge_type = 'rejected' THEN similarity ELSE 0 END) AS no, sum(weight * similarity) AS w FROM edges JOIN alike USING (source_node) WHERE similarity >= 0.5 AND edge_type IN ('accepted', 'rejected') GROUP BY 1)
+SELECT target_node, round_even(yes / (yes + no), 3) AS confidence, round_even(w, 3) AS total_weight, round_even(yes, 2) AS accept_count, round_even(no, 2) AS reject_count FROM s WHERE yes + no > 0 AND yes / (yes + no) >= 0.5 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 5""")
 def recommend_sources(spark, sf):
-    e = edges(spark, sf)
-    return G.recommend(e, e.select("source_node").distinct().withColumn("similarity", F.ascii(F.right("source_node", F.lit(1))) % 10 / 10))
+    return G.recommend(edges(spark, sf), _alike(spark, sf))
+
+
+def _alike(spark, sf):
+    return edges(spark, sf).select("source_node").distinct().withColumn("similarity", F.ascii(F.right("source_node", F.lit(1))) % 10 / 10)
+
+
+@_query("feedback_query", f"WITH {EDGES_SQL}, {_SIMILAR} SELECT source_node, event_id, edge_type, target_node, weight, similarity FROM edges JOIN alike USING (source_node) ORDER BY similarity DESC, weight DESC, target_node, edge_type, event_id LIMIT 10")
+def feedback_query(spark, sf):
+    return G.feedback(edges(spark, sf), _alike(spark, sf)).select("source_node", "event_id", "edge_type", "target_node", "weight", "similarity")
+
+
+@_query("feedback_by_text", "SELECT event_id, props AS context_summary FROM events WHERE contains(lower(props), '\"k\": 1') ORDER BY event_id LIMIT 10")
+def feedback_by_text(spark, sf):
+    return G.feedback_by_text(table(spark, sf, "events").select("event_id", F.col("props").alias("context_summary")), '"K": 1')
 
 
 @_query("graph_phase", f"WITH {EDGES_SQL} SELECT count(*) AS n_edges, count(DISTINCT source_node) AS n_contexts, count(DISTINCT target_node) AS n_targets, CASE WHEN count(*) = 0 THEN 'Cold' WHEN count(*) < 10 THEN 'Learning' WHEN count(*) < 50 THEN 'Warm' ELSE 'Hot' END AS phase FROM edges")
@@ -507,10 +575,18 @@ def _pairs(spark, sf):
 
 
 def _folder(spark):
+    """A new folder under the shared one that the session names; only where all runs on one machine, a temporary one."""
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = found.get() if found.isDefined() else None
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = tempfile.mkdtemp()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -523,7 +599,8 @@ def components(spark, sf):
     return G.components(_pairs(spark, sf), _folder(spark))
 
 
-@_query("cluster_labels")
+@_query("cluster_labels", f"""WITH RECURSIVE {_COMPONENTS}, p AS (SELECT doc_id AS a, doc_id // 2 AS b FROM documents WHERE doc_id % 11 <> 0), d AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM p UNION ALL SELECT b FROM p) GROUP BY 1),
+k AS (SELECT r.root, r.node, row_number() OVER (PARTITION BY r.root ORDER BY d.degree DESC, r.node) AS rank FROM roots r JOIN ends USING (node) JOIN d USING (node)) SELECT root, string_agg(CAST(node AS VARCHAR), ' + ' ORDER BY rank) AS label FROM k WHERE rank <= 3 GROUP BY root""")
 def cluster_labels(spark, sf):
     p = _pairs(spark, sf)
     return G.labels(G.components(p, _folder(spark)), p)
@@ -532,7 +609,7 @@ def cluster_labels(spark, sf):
 @_query("shortest_path", """WITH RECURSIVE p AS (SELECT doc_id AS a, doc_id // 2 AS b FROM documents WHERE doc_id % 11 <> 0), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
 r AS (SELECT 1::BIGINT AS node, 0 AS hops UNION SELECT e.b, r.hops + 1 FROM r JOIN e ON e.a = r.node WHERE r.hops < 4) SELECT node, min(hops) AS hops FROM r GROUP BY 1""")
 def shortest_path(spark, sf):
-    return G.hops(_pairs(spark, sf), F.lit(1).cast("long"), 4)
+    return G.hops(_pairs(spark, sf), F.lit(1).cast("long"), _folder(spark), 4)
 
 
 # --- sessions -------------------------------------------------------------------
@@ -554,18 +631,24 @@ def pool_b_latest(spark, sf):
     return table(spark, sf, "conversations").where("role = 'assistant' and text <> ''").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
 
 
-@_query("keyword_merge")
+def _pool_sql(role):
+    words = f"SELECT conv_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT conv_id, list_transform(regexp_extract_all(lower(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role = '{role}')), '[a-z][a-z_\\-'']{{2,}}'), lambda x: trim(x, '''-_')) AS w FROM conversations GROUP BY 1)"
+    return f"(SELECT conv_id, list(term ORDER BY first)[1:40] AS {role} FROM (SELECT conv_id, term, min(pos) AS first FROM ({words}) WHERE term <> '' AND NOT list_contains({_KEYWORD_STOPS}, term) GROUP BY ALL) GROUP BY 1)"
+
+
+@_query("keyword_merge", f"SELECT c.conv_id, array_to_string(list_filter(coalesce(\"user\", []), lambda x: list_contains(coalesce(assistant, []), x)) || list_filter(coalesce(\"user\", []), lambda x: NOT list_contains(coalesce(assistant, []), x)) || list_filter(coalesce(assistant, []), lambda x: NOT list_contains(coalesce(\"user\", []), x)), ',') AS keywords FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN {_pool_sql('user').replace('AS user ', 'AS \"user\" ')} u USING (conv_id) LEFT JOIN {_pool_sql('assistant')} a USING (conv_id)")
 def keyword_merge(spark, sf):
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(*[F.array_join(F.collect_list(F.when(F.col("role") == r, F.col("text"))), " ").alias(r) for r in ("user", "assistant")])
+    said = lambda r: F.array_join(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("turn", "text")))).getField("text"), " ").alias(r)
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(*[said(r) for r in ("user", "assistant")])
     return c.select("conv_id", F.array_join(R.merged_pools(X.keywords(F.col("user"), 40), X.keywords(F.col("assistant"), 40)), ",").alias("keywords"))
 
 
 def _matches(spark, sf):
     c = table(spark, sf, "conversations").where("role <> 'system'")
-    return c.select(F.col("conv_id").alias("session"), "turn", F.when(F.col("role") == "user", "A").otherwise("B").alias("pool"), F.explode(F.array_distinct(F.slice(X.tokens(F.col("text")), 1, 12))).alias("node"))
+    return c.select(F.col("conv_id").alias("session"), "turn", F.when(F.col("role") == "user", "A").otherwise("B").alias("pool"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("node"))
 
 
-_MATCHES = """m AS (SELECT DISTINCT conv_id AS session, turn, CASE role WHEN 'user' THEN 'A' ELSE 'B' END AS pool, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')[1:12]) AS node FROM conversations WHERE role <> 'system')"""
+_MATCHES = """m AS (SELECT DISTINCT conv_id AS session, turn, CASE role WHEN 'user' THEN 'A' ELSE 'B' END AS pool, unnest(regexp_extract_all(lower(text), 'WORD')) AS node FROM conversations WHERE role <> 'system')"""
 
 
 @_query("ground_state", f"WITH {_MATCHES}, p AS (SELECT session, node, turn, count(*) FILTER (WHERE pool = 'A') AS a, count(*) FILTER (WHERE pool = 'B') AS b FROM m GROUP BY 1, 2, 3) SELECT session, node, turn, CAST(sum(a) OVER w AS BIGINT) AS a_count, CAST(sum(b) OVER w AS BIGINT) AS b_count FROM p WINDOW w AS (PARTITION BY session, node ORDER BY turn)")
@@ -580,10 +663,10 @@ def ground_scores(spark, sf):
     return R.ranked(_matches(spark, sf))
 
 
-@_query("ground_delta", f"""WITH {_MATCHES}, s AS (SELECT session, node, count(*) FILTER (WHERE pool = 'A' AND turn <= 3) AS oa, count(*) FILTER (WHERE pool = 'B' AND turn <= 3) AS ob, count(*) FILTER (WHERE pool = 'A') AS na, count(*) FILTER (WHERE pool = 'B') AS nb, bool_or(turn > 3) AS again FROM m GROUP BY 1, 2),
-k AS (SELECT session, node, CASE WHEN na > 0 AND nb > 0 AND oa + ob = 0 THEN 'new_ab' WHEN na > 0 AND nb > 0 AND NOT (oa > 0 AND ob > 0) THEN 'promoted' WHEN na = 0 AND oa + ob > 0 AND again THEN 'b_persistent' WHEN oa + ob > 0 AND NOT again THEN 'faded' END AS kind FROM s) SELECT * FROM k WHERE kind IS NOT NULL""")
+@_query("ground_delta", f"""WITH {_MATCHES}, s AS (SELECT session, node, count(*) FILTER (WHERE pool = 'A') AS a, count(*) FILTER (WHERE pool = 'B') AS b, count(*) FILTER (WHERE pool = 'A' AND turn <= 2) AS pa, count(*) FILTER (WHERE pool = 'B' AND turn <= 2) AS pb, max(turn) AS last FROM m WHERE turn <= 4 GROUP BY 1, 2),
+k AS (SELECT session, node, CASE WHEN a > 0 AND b > 0 AND pa = 0 AND pb = 0 THEN 'new_ab' WHEN a > 0 AND b > 0 AND pa > 0 AND pb = 0 THEN 'promoted' WHEN a = 0 AND b > 1 THEN 'b_persistent' WHEN (pa > 0 OR pb > 0) AND last < 4 - 2 THEN 'faded' END AS kind FROM s) SELECT * FROM k WHERE kind IS NOT NULL""")
 def ground_delta(spark, sf):
-    return R.delta(_matches(spark, sf), 3)
+    return R.delta(_matches(spark, sf), 4, 2)
 
 
 # --- scalar functions -------------------------------------------------------------
@@ -638,13 +721,21 @@ def daily_counts(spark, sf):
     return table(spark, sf, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
 
 
-#: Detectors of the design notes, by kind.
-DETECTORS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "ipv4": r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "secret": r"(?i)(?:api_?key|secret|token)\s*[=:]\s*\S+"}
+@_query("pii_detect", "SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(text, '{p}')) AS INTEGER) AS {k}" for k, p in X.DETECTORS.items()) + " FROM documents")
+def pii_detect(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", *[c.alias(k) for k, c in X.detected(F.col("text")).items()])
+
 
+def _masked_sql():
+    text = "text"
+    for kind, p in X.DETECTORS.items():
+        text = f"regexp_replace({text}, '{p}', '[{kind.upper()}]', 'g')"
+    return f"SELECT doc_id, {text} AS text FROM documents"
 
-@_query("pii_detect", "SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(text, '{p}')) AS INTEGER) AS {k}" for k, p in DETECTORS.items()) + " FROM documents")
-def pii_detect(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", *[F.regexp_count("text", F.lit(p)).alias(k) for k, p in DETECTORS.items()])
+
+@_query("pii_mask", _masked_sql())
+def pii_mask(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.masked(F.col("text")).alias("text"))
 
 
 # --- streams --------------------------------------------------------------------
@@ -655,11 +746,9 @@ def _stream(spark, sf):
 
 
 def _drained(spark, stream, mode="complete"):
-    import uuid
-
     from ..streaming.events import drained
 
-    return drained(stream, "stream_" + uuid.uuid4().hex, _folder(spark), mode)
+    return drained(stream, _folder(spark), mode)
 
 
 @_query("stream_tumbling", "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")

@@ -21,8 +21,13 @@ def sessionized(stream: DataFrame, time: str, gap: str, key: str, late: str = "1
     return timed.groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def drained(stream: DataFrame, name: str, folder: str, mode: str = "complete") -> DataFrame:
-    """All that a stream holds now, by one availableNow run into a table of the session."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start()
+def drained(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """All that a stream holds now, by one availableNow run into a table under the folder: replaced by each batch in complete mode, else added to."""
+    table, spark = f"{folder}/table", stream.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(table if mode == "complete" else f"{table}/batch={number}")  # a batch that is run again replaces itself
+
+    query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(table)

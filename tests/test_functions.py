@@ -62,4 +62,4 @@ def test_threshold_rises_to_its_limit(spark):
 def test_components_and_hops(spark, tmp_path):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (7, 7)], "a long, b long")
     assert sorted(map(tuple, G.components(pairs, str(tmp_path)).collect())) == [(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)]
-    assert sorted(map(tuple, G.hops(pairs, F.lit(1).cast("long")).collect())) == [(1, 0), (2, 1), (3, 2)]
+    assert sorted(map(tuple, G.hops(pairs, F.lit(1).cast("long"), str(tmp_path / "hops")).collect())) == [(1, 0), (2, 1), (3, 2)]
