@@ -43,3 +43,8 @@ def literal(values: list[float]) -> Column:
 def parse(text: Column) -> Column:
     """'[a,b,...]' as an array of doubles."""
     return F.from_json(text, "array<double>")
+
+
+def formatted(a: Column) -> Column:
+    """'[a,b,...]' with eight places each."""
+    return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: F.format_string("%.8f", x)), ","), F.lit("]"))

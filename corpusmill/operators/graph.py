@@ -44,6 +44,19 @@ def feedback_by_text(edges: DataFrame, text: str, limit: int = 10) -> DataFrame:
     return edges.where(F.contains(F.lower("context_summary"), F.lit(text.lower()))).orderBy("event_id").limit(limit)
 
 
+def new_nodes(seen: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
+    """Nodes that are seen and not known yet, each once."""
+    return seen.select(key).distinct().join(known.select(key), key, "left_anti")
+
+
+def related(edges: DataFrame, k: int = 20, most: int = 1000) -> DataFrame:
+    """Pairs of targets that the most contexts share. A context's targets are paired within its row, so a context of more than `most` targets is an error."""
+    own = edges.groupBy("source_node").agg(F.array_sort(F.collect_set("target_node")).alias("t"))
+    own = own.where(F.assert_true(F.size("t") <= most, F.lit(f"a context has more than {most} targets")).isNull())
+    pairs = F.flatten(F.transform("t", lambda a: F.transform(F.filter("t", lambda b: b > a), lambda b: F.struct(a.alias("concept"), b.alias("related")))))
+    return own.select(F.explode(pairs).alias("p")).groupBy("p.concept", "p.related").agg(F.count("*").alias("shared")).orderBy(F.desc("shared"), "concept", "related").limit(k)
+
+
 def phase(edges: DataFrame) -> DataFrame:
     n = F.col("n_edges")
     ladder = F.when(n == 0, "Cold").when(n < 10, "Learning").when(n < 50, "Warm").otherwise("Hot")

@@ -26,12 +26,52 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, measure: str = "c
     return ok.withColumn("similarity", score).where("similarity is not null").orderBy(F.desc("similarity"), key).limit(k).withColumn("similarity", F.round("similarity", 6))
 
 
-def recall(vectors: DataFrame, contents: DataFrame, query: list[float], k: int = 5, cut: int = 600) -> DataFrame:
+def search_files(vectors: DataFrame, contents: DataFrame, files: DataFrame, query: list[float], k: int = 10, scope: str | None = None, around: int = 0, cut: int = 200) -> DataFrame:
+    """The k nearest chunks of files in scope, with the file's size and time and a preview of the chunk (and of so many neighbours to either side)."""
+    from .metadata import in_scope
+
+    own = vectors if scope is None else vectors.where(in_scope(F.col("file_path"), scope))
+    hits = recall(own, contents, query, k, cut, around).withColumnRenamed("context", "preview")
+    return hits.join(files.select("file_path", "file_size", "last_modified"), "file_path").orderBy(F.desc("similarity"), "file_path", "chunk_index")
+
+
+def coverage(rows: DataFrame, column: str) -> DataFrame:
+    """How many rows there are, and how many have a vector in the column."""
+    return rows.agg(F.count("*").alias("total"), F.count(column).alias("with_vector"))
+
+
+def available(rows: DataFrame, column: str) -> bool:
+    return bool(rows.where(F.col(column).isNotNull()).limit(1).count())
+
+
+def is_indexed(files: DataFrame, vectors: DataFrame) -> DataFrame:
+    """file_path and whether any of its vectors is indexed."""
+    have = vectors.select("file_path").distinct().withColumn("indexed", F.lit(True))
+    return files.select("file_path").join(have, "file_path", "left").fillna(False, ["indexed"])
+
+
+def checked(vectors: DataFrame, dims: int) -> DataFrame:
+    """vectors with v of length one; a vector of another size than dims is an error."""
+    right = F.assert_true(F.size("v") == dims, F.lit(f"a vector has not {dims} dimensions"))
+    return vectors.where(right.isNull()).withColumn("v", V.unit(F.col("v")))
+
+
+def register(spark) -> None:
+    """SQL functions over arrays of doubles: vector_cosine, vector_inner, vector_l2 (squared) and vector_l2_similarity (1 / (1 + d))."""
+    two = "(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN"
+    total = lambda x: f"aggregate(zip_with(a, b, (x, y) -> {x}), 0D, (s, x) -> s + x)"
+    own = lambda v: f"sqrt(aggregate({v}, 0D, (s, x) -> s + x * x))"
+    bodies = {"inner": total("x * y"), "cosine": f"{total('x * y')} / nullif({own('a')} * {own('b')}, 0D)", "l2": total("(x - y) * (x - y)"), "l2_similarity": f"1 / (1 + {total('(x - y) * (x - y)')})"}
+    for name, body in bodies.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION vector_{name}{two} {body}")
+
+
+def recall(vectors: DataFrame, contents: DataFrame, query: list[float], k: int = 5, cut: int = 600, around: int = 1) -> DataFrame:
     """The k nearest chunks, each with the texts of its neighbours joined in order and cut."""
     from .chunking import adjacent
 
     hits = top_k(vectors, query, k)
-    near = adjacent(hits, contents, 1, 1).groupBy("file_path", "hit_index").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("c"))
+    near = adjacent(hits, contents, around, around).groupBy("file_path", "hit_index").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("c"))
     joined = near.select("file_path", F.col("hit_index").alias("chunk_index"), F.left(F.array_join("c.content", "\n"), F.lit(cut)).alias("context"))
     return hits.select("file_path", "chunk_index", "similarity").join(joined, ["file_path", "chunk_index"])
 
@@ -70,6 +110,12 @@ def centroid_neighbours(vectors: DataFrame, group: str, k: int = 40, threshold:
     return top.groupBy("from_group", F.col(group).alias("to_group")).agg(F.count("*").alias("hits"), F.round(F.avg("similarity"), 6).alias("similarity"))
 
 
+def linked_groups(neighbours: DataFrame, group: str = "to_group") -> DataFrame:
+    """Edges between groups, once for both directions: a, b, and the best similarity and all hits of either direction."""
+    a, b = F.least("from_group", group), F.greatest("from_group", group)
+    return neighbours.groupBy(a.alias("a"), b.alias("b")).agg(F.max("similarity").alias("similarity"), F.sum("hits").alias("hits"))
+
+
 class LatentModel:
     """A vocabulary with idf weights and the leading right singular vectors of the TF-IDF matrix: (terms, dims)."""
 

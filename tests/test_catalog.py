@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from corpusmill.plans.catalog import ORACLES, QUERIES
+from corpusmill.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
