@@ -60,8 +60,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of at most 2048 tokens."""
-    return pack(docs)
+    """The pieces of sequences of at most 2048 tokens; workers keep little in memory, since earlier stages have filled the executors' heaps."""
+    return pack(docs, remembered=300_000, batch_bytes=2_500_000)
 
 
 STAGES = [
@@ -72,7 +72,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The forest, the links' components and the plan can't be said in SQL; tests hold the stages against brute force.
+#: The forest, the links' components and the plan can't be said in SQL; tests hold near duplicates and the operators that the stages call against brute force.
 ORACLE_SQL = None
 
 

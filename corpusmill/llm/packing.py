@@ -20,6 +20,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql.window import Window
 from .arrays import spans_of
 from .common import documents, map_arrow, stored
 
-#: Chunks (texts between ASCII white space) whose ids a worker remembers, at most.
+#: Chunks (texts between ASCII white space) whose ids a worker remembers, about; half of them are those met last.
 REMEMBERED = 600_000
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 8_000_000
@@ -55,6 +56,8 @@ class _Encoder:
     token's string is encoded as a whole.
     """
 
+    remembered = REMEMBERED
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -63,6 +66,16 @@ class _Encoder:
         self.encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         self.model = self.tok.model
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _has(self, chunk: bytes) -> bool:
+        """Whether chunk is known; what was known before the last turn of the memory is taken over."""
+        if chunk in self.known:
+            return True
+        if (ids := self.older.get(chunk)) is None:
+            return False
+        self.known[chunk] = ids
+        return True
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encode([t.decode() for t in texts], add_special_tokens=False)]
@@ -83,13 +96,13 @@ class _Encoder:
             core = c.rstrip(_MARKS)
             if core and (core[-1:].isalpha() or core[-1] > 127 and core.decode()[-1].isalpha()):
                 low, marks = core.lower(), c[len(core) :]
-                if low not in known and low not in rest:
+                if low not in rest and not self._has(low):
                     ids = self._word(low)
                     if ids is None:
                         rest[low] = None
                     else:
                         known[low] = ids
-                if marks and marks not in known:
+                if marks and not self._has(marks):
                     rest[marks] = None
                 parted.append((c, low, marks))
             else:
@@ -105,11 +118,10 @@ class _Encoder:
         chunks = pc.ascii_split_whitespace(pa.array(["" if "<|" in t else t for t in texts], pa.large_string()))
         coded = chunks.flatten().dictionary_encode()
         words = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        missing = [w for w in words if w not in self.known]
+        if len(self.known) > self.remembered // 2:
+            self.older, self.known = self.known, {}
+        missing = [w for w in words if not self._has(w)]
         if missing:
-            if len(self.known) + 2 * len(missing) > REMEMBERED:
-                self.known.clear()
-                missing = words
             self._learn(missing)
         ids = [self.known[w] for w in words]
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -141,15 +153,16 @@ def tokenizer_path() -> str:
 PIECES = "doc_id long, row long, piece int, start long, length int, ids_crc32 long"
 
 
-def _cut(tokenizer: str | None, capacity: int, end_id: int):
+def _cut(tokenizer: str | None, capacity: int, end_id: int, remembered: int = REMEMBERED, batch_bytes: int = BATCH_BYTES):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer or tokenizer_path())
+        encoder.remembered = remembered
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
             ids, texts = batch.column(0).to_pylist(), batch.column(2)
             marks = batch.column(1).to_pylist()
-            for lo, hi in spans_of(texts, BATCH_BYTES):
+            for lo, hi in spans_of(texts, batch_bytes):
                 got = encoder.batch([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
                 for i, b in enumerate(got, lo):
                     b += end
@@ -334,17 +347,20 @@ def pack(
     text_col: str = "text",
     tokenizer: str | None = None,
     end_id: int = 0,
+    remembered: int = REMEMBERED,
+    batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one piece that holds only the end id. Repeated rows (same id) are
     packed one by one; null ids pass through. An empty table gives an empty result. Other
     columns are dropped. tokenizer: a file of the tokenizers library (default: word_bpe_49k.json)
-    whose tokens never span white space.
+    whose tokens never span white space. remembered, batch_bytes: what a worker keeps in memory, for speed only.
+    Pieces of one length are alike: which of them lies where is settled by a hash of their row.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    pieces = stored(map_arrow(rows, _cut(tokenizer, capacity, end_id), PIECES))
+    pieces = stored(map_arrow(rows, _cut(tokenizer, capacity, end_id, remembered, batch_bytes), PIECES))
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     table, sequence = [], 0
     for places in plan(counts, capacity):
@@ -366,7 +382,8 @@ def pack(
     schema = "length int, rank long, number long, sequence long, offset int"
     lookup = spark.createDataFrame(pd.DataFrame(table, columns=["length", "rank", "number", "sequence", "offset"]), schema) if table else spark.createDataFrame([], schema)
     by_length = lookup.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("rank", "sequence", "offset"))).alias("runs"))
-    run = F.get("runs", _last_at_most())
+    most = max(Counter(row[0] for row in table).values(), default=1)
+    run = F.get("runs", _last_at_most(most))
     return ranked.join(F.broadcast(by_length), "length").select(
         "doc_id",
         "piece",
@@ -378,9 +395,9 @@ def pack(
     )
 
 
-def _last_at_most():
-    """Index of the last of the sorted `runs` whose rank is at most the row's: a binary search of 16 halvings."""
-    halves = F.array(*[F.lit(1 << i) for i in reversed(range(16))])
+def _last_at_most(most: int):
+    """Index of the last of the sorted `runs`, at most so many, whose rank is at most the row's: a binary search."""
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
     return F.aggregate(halves, F.lit(0), lambda at, half: at + F.when(F.get(F.col("runs"), at + half)["rank"] <= F.col("rank"), half).otherwise(0))
 
 
