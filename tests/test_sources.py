@@ -1,6 +1,10 @@
+import datetime
 import json
 
-from corpusmill.sources.files import changed, crawl
+import pytest
+from pyspark.sql import functions as F
+
+from corpusmill.sources.files import changed, crawl, discover, skip_reason
 from corpusmill.sources.transcripts import feedback_csv, transcripts
 
 
@@ -23,3 +27,24 @@ def test_transcripts(spark, tmp_path):
 def test_feedback(spark, tmp_path):
     (tmp_path / "edges.csv").write_text("timestamp,source_node,edge_type,target_node,weight,context_summary,command\n2024,c,accepted,f,1.0,s,x\n")
     assert feedback_csv(spark, str(tmp_path)).first()["weight"] == 1.0
+
+
+@pytest.mark.parametrize(
+    ("directory", "reason"),
+    [("/a/src", None), ("/a/.git", "hidden"), ("/a/target", "system"), ("/a/Lib", "system"), ("/a/lib", None), ("/a/linux-6.1", "denied"), ("/a/xlinux-6.1", None), ("/a/webkit", "denied"), ("/a" * 20, "too deep"), ("/a" * 19, None), ("/keep/.git/target", None), ("/keeper/target", "system")],
+)
+def test_skip_reason(spark, directory, reason):
+    assert spark.range(1).select(skip_reason(F.lit(directory), ["/keep"]).alias("r")).first()["r"] == reason
+
+
+def test_discover(spark, tmp_path):
+    for name in ("a/x.py", "a/Y.MD", "a/yarn.lock", "a/z.js", "target/t.py", "b/.h/kept.txt", "b/.i/no.txt", "chromium-1/c.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    names = lambda df: {r["file_path"][len(str(tmp_path)) + 1 :] for r in df.collect()}
+    assert names(discover(spark, str(tmp_path), allowed=[str(tmp_path / "b/.h")])) >= {"a/x.py", "a/Y.MD"}
+    assert names(discover(spark, str(tmp_path))) == {"a/x.py", "a/Y.MD"}
+    assert names(discover(spark, str(tmp_path), denied=(), suffixes=(".py", ".js"))) == {"a/x.py", "a/z.js", "chromium-1/c.py"}
+    assert not names(discover(spark, str(tmp_path), since=datetime.datetime.now() + datetime.timedelta(days=2)))
+    plan = discover(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length" in plan and "content" not in plan
