@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,10 @@ from ..functions import text as X
 K1, B, RRF = 1.2, 0.75, 60
 
 
+def plain_words(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower())
+
+
 @dataclass
 class Query:
     """A web-style query: any of the groups, each with all its terms and phrases and none of the excluded."""
@@ -23,14 +28,15 @@ class Query:
     excluded: list[list[str]] = field(default_factory=list)
 
     @classmethod
-    def parse(cls, text: str) -> Query:
+    def parse(cls, text: str, words_of: Callable[[str], list[str]] = plain_words) -> Query:
+        """`words_of` cuts and stems the words as the token arrays were."""
         out, group = cls(), []
         for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', text):
             if word.lower() == "or" and not minus:
                 out.groups.append(group)
                 group = []
                 continue
-            words = re.findall(r"[^\W_]+", (phrase or word).lower())
+            words = words_of(phrase or word)
             if words:
                 (out.excluded if minus else group).append(words)
         out.groups = [g for g in [*out.groups, group] if g]
@@ -73,10 +79,12 @@ def postings(chunks: DataFrame, key: list[str]) -> DataFrame:
     return t.select(*key, F.size("t").alias("length"), F.explode("t").alias("term")).groupBy(*key, "length", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(chunks: DataFrame, key: list[str], words: list[str], limit: int | None = 10) -> DataFrame:
-    """key and score; only the words' postings are built, corpus totals come from one aggregate."""
-    terms = list(dict.fromkeys(w.lower() for w in words))
-    t = chunks.select(*key, X.tokens(F.col("content")).alias("t")).where(F.size("t") > 0).select(*key, "t", F.size("t").alias("length"))
+def bm25(
+    chunks: DataFrame, key: list[str], words: list[str], limit: int | None = 10, tokens: Callable[[Column], Column] = X.tokens, words_of: Callable[[str], list[str]] | None = None
+) -> DataFrame:
+    """key and score; only the words' postings are built, corpus totals come from one aggregate. Stemmed with `tokens` and `words_of` of a kind."""
+    terms = list(dict.fromkeys(t for w in words for t in (words_of(w) if words_of else [w.lower()])))
+    t = chunks.select(*key, tokens(F.col("content")).alias("t")).where(F.size("t") > 0).select(*key, "t", F.size("t").alias("length"))
     totals = t.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     found = t.where(F.arrays_overlap("t", F.lit(terms))).select(*key, "length", F.explode(F.filter("t", lambda x: x.isin(terms))).alias("term")).groupBy(*key, "length", "term").agg(F.count("*").alias("tf"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))  # a row for each word

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..functions.stems import stem_words, stems
 from ..operators import chunking as C
 from ..operators import fulltext as T
 from ..operators import graph as G
@@ -301,6 +302,13 @@ def fts_postings(spark, sf):
     return T.postings(files(spark, sf), ["file_path"])
 
 
+@_query("fts_stemmed")
+def fts_stemmed(spark, sf):
+    f = files(spark, sf)
+    hits = f.select("file_path", stems(F.col("content")).alias("t")).where(T.Query.parse("licensing versions", stem_words).matches(F.col("t"))).select("file_path")
+    return hits.join(T.bm25(f, ["file_path"], ["licensing", "versions"], None, stems, stem_words), "file_path")
+
+
 @_query("fts_headline")
 def fts_headline(spark, sf):
     f = files(spark, sf).where(T.Query.parse("license").matches(X.tokens(F.col("content"))))
