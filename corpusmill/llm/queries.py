@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op13_bpe
 from .decontaminate import op4_decontamination
 from .jaccard import op2_jaccard_join
 from .language_model import op7_language_model
@@ -24,6 +25,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_pii": op10_pii,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLES = {"op8_line_dedup": OP8_SQL}
