@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op13_bpe
+from .conversations import op11_conversation_repair
 from .decontaminate import op4_decontamination
 from .jaccard import op2_jaccard_join
 from .language_model import op7_language_model
 from .licenses import op5_license_scan
 from .lines import OP8_SQL, op8_line_dedup
+from .negatives import OP12_SQL, op12_hard_negatives
 from .packing import op1_packing
 from .pii import op10_pii
 from .quality import op6_quality_rules
@@ -25,7 +27,9 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_pii": op10_pii,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_bpe": op13_bpe,
 }
 
-ORACLES = {"op8_line_dedup": OP8_SQL}
+ORACLES = {"op8_line_dedup": OP8_SQL, "op12_hard_negatives": OP12_SQL}
