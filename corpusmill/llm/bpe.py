@@ -12,6 +12,7 @@ numpy row a word; longer ones, one by one, in flat arrays.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -56,14 +57,25 @@ def _letters() -> dict[str, int]:
     return {chr(b): b for b in _PRINT} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-def _unassigned() -> regex.Pattern:
+def _unassigned() -> re.Pattern:
     """Characters that are letters or digits to regex, but unassigned in the Unicode version of the tokenizers library, which is asked for each in doubt."""
     from tokenizers.pre_tokenizers import ByteLevel
 
     known = regex.compile(r"[\p{L}\p{N}]")
     doubt = [c for c in map(chr, chain(range(0xD800), range(0xE000, 0x110000))) if unicodedata.category(c) == "Cn" and known.match(c)]
     cuts = ByteLevel(add_prefix_space=False).pre_tokenize_str("".join(f" -{c}" for c in doubt))
-    return regex.compile("[" + "".join(doubt[a // 3] for _, (a, b) in cuts if b - a == 3) + "\ufdd0]")
+    odd = [ord(doubt[a // 3]) for _, (a, b) in cuts if b - a == 3] or [0xFDD0]
+    starts = [c for c, before in zip(odd, [-1, *odd], strict=False) if c != before + 1]
+    stops = [c for c, after in zip(odd, [*odd[1:], -1], strict=True) if c != after - 1]
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, stops, strict=True)) + "]")
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class Coder:
@@ -261,7 +273,7 @@ class Coder:
         """
         if len(self.known) + len(self.parts) > REMEMBERED:
             self.known, self.parts = {}, {}
-        plain = [not _RUN.search(p) and (p.isascii() or not self.unassigned.search(p)) for p in pieces]
+        plain = [not _RUN.search(p) and (_latin(p) or not self.unassigned.search(p)) for p in pieces]
         split = pc.split_pattern(pa.array([p if ok else "" for p, ok in zip(pieces, plain, strict=True)], pa.large_string()), " ")
         coded = split.flatten().dictionary_encode()
         index, at = coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy()
