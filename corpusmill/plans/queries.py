@@ -1,6 +1,6 @@
 """All named queries and their SQL."""
 
-from . import service  # noqa: F401  it adds its queries to the catalogue's
+from . import indexes, service  # noqa: F401  they add their queries to the catalogue's
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
