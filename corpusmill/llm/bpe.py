@@ -33,9 +33,9 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Words of at most so many bytes are encoded in step with others.
 SHORT = 64
 #: When a worker remembers more words than this, it forgets all: for speed only.
-REMEMBERED = 1_500_000
+REMEMBERED = 700_000
 #: Bytes of text that are encoded together.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 #: Characters of a text that are cut into words together.
 SLICE = 1 << 20
 _NONE, _NONE32 = np.int64(1 << 62), np.int32((1 << 31) - 1)
