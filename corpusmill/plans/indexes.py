@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import text_index as P
 from ..operators import vector_index as I
 from .catalog import _folder, _query
-from .fixtures import VECTORS_SQL, table, vectors
+from .fixtures import FILES_SQL, VECTORS_SQL, files, table, vectors
 
 _ASKED_SQL = f"WITH {VECTORS_SQL}, r AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.v, v.v) AS s FROM vectors q JOIN vectors v ON TRUE WHERE q.vec_id % 20 = 0), t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM r)"
 
@@ -56,3 +57,35 @@ def stream_ranking(spark, sf):
     finally:
         spark.conf.set(name, before)
 
+
+_PLACES = "p AS (SELECT file_path, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT file_path, regexp_extract_all(lower(content), 'WORD') AS w FROM {source}))"
+
+
+def _documents(df, content):
+    return df.select(F.col("file_path").alias("doc"), F.lit(0).alias("at"), content.alias("content"))
+
+
+@_query("fts_cover_density", f"""WITH {FILES_SQL}, {_PLACES.format(source="files")}, q AS (SELECT *, lag(term) OVER w AS before, lag(pos) OVER w AS place FROM p WHERE term IN ('of', 'the') WINDOW w AS (PARTITION BY file_path ORDER BY pos))
+SELECT file_path AS doc, round(sum(0.1 / CAST(pos - place AS DOUBLE)), 6) AS rank, CAST(count(*) AS INTEGER) AS covers FROM q WHERE before <> term GROUP BY 1""")
+def fts_cover_density(spark, sf):
+    """All files with both words, by cover density. With two words, each pair of neighbours that differ is a cover."""
+    index = P.TextIndex(spark, _folder(spark))
+    index.put(_documents(files(spark, sf), F.col("content")), 0)
+    return index.search("of the", None).withColumn("rank", F.round("rank", 6))
+
+
+@_query("fts_index_maintained", f"""WITH {FILES_SQL}, live AS (SELECT file_path, CASE WHEN doc_id % 5 = 0 THEN lang || ' ' || source || ' moved' ELSE content END AS content FROM files WHERE doc_id % 7 <> 0), {_PLACES.format(source="live")}
+SELECT term, count(DISTINCT file_path) AS docs, count(*) AS occurrences FROM p GROUP BY 1""")
+def fts_index_maintained(spark, sf):
+    """Every live term after all files were put in, a fifth was written anew, a seventh deleted, and the segments merged."""
+    f, index = files(spark, sf), P.TextIndex(spark, _folder(spark))
+    index.put(_documents(f, F.col("content")), 0)
+    index.put(_documents(f.where("doc_id % 5 = 0 or doc_id % 7 = 0"), F.when(F.col("doc_id") % 7 != 0, F.concat_ws(" ", "lang", "source", F.lit("moved")))), 1)
+    index.merge(2)
+    return P.documents_of(index)
+
+
+@_query("fts_fragment")
+def fts_fragment(spark, sf):
+    """The best twenty words of each file that has the word, marked."""
+    return files(spark, sf).where(F.array_contains(X.tokens(F.col("content")), "license")).select("file_path", P.fragment(F.col("content"), ["license", "licensed", "rights"]).alias("fragment"))
