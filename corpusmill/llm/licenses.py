@@ -103,7 +103,6 @@ _SIGNATURES = (  # label, keyword, words, confidence; one signature a line, from
     ("apache-2.0", "distributed on an", r"distributed under the licen[cs]e is distributed on an as is basis", 0.8),
     ("apache-2.0", "grant of patent", r"grant of patent licen[cs]e subject to the terms and conditions of this licen[cs]e", 0.9),
     ("apache", "apache software foundation", r"this product includes software developed by the apache software foundation", 0.85),
-    ("apache", "apache", r"(?:licen[cs]ed|released|distributed) under (?:the )?(?:terms of (?:the )?)?apache", 0.85),
     ("asl", "asl 2 0", r"asl 2 0", 0.85),
     # GNU
     ("gpl", "gnu gpl", r"gnu gpl", 0.85),
@@ -274,7 +273,8 @@ _SIGNATURES = (  # label, keyword, words, confidence; one signature a line, from
     ("no-derivatives", "derivative works", r"no derivative works", 0.6),
     ("non-commercial", "commercial", r"(?:for )?non ?commercial (?:use|purposes)(?: only)?", 0.6),
     ("no-commercial-use", "commercial use", r"commercial use (?:is )?(?:not permitted|prohibited|forbidden)", 0.75),
-    ("no-redistribution", "permission", r"(?:without|except with) (?:the )?(?:prior )?(?:express )?(?:written )?permission", 0.5),
+    ("no-redistribution", "permission", r"(?:cop(?:y|ied|ying)|reproduced?|reproduction|distribut(?:ed?|ion)|redistribut(?:ed?|ion)|published?|transmitted|used?)(?: [a-z]+){0,8} (?:without|except with) (?:the )?(?:prior )?(?:express )?(?:written )?permission", 0.5),
+    ("no-redistribution", "permission", r"(?:without|except with) (?:the )?(?:(?:prior|express) )*written permission", 0.5),
     ("no-redistribution", "distributed", r"(?:may not be|not to be) (?:re)?distributed", 0.65),
     ("no-redistribution", "may not be", r"may not be (?:published broadcast rewritten or redistributed|reproduced or retransmitted)", 0.8),
     ("no-reproduction", "reproduced", r"no part of this (?:publication|book|work|document|website) may be reproduced", 0.85),
@@ -291,13 +291,18 @@ _SIGNATURES = (  # label, keyword, words, confidence; one signature a line, from
     ("copyright", "protected by copyright", r"protected by copyright(?: law)?", 0.5),
     ("trademark", "trademark", r"(?:is|are) (?:a )?(?:registered )?trademarks? of", 0.4),
     ("patent", "pending", r"patents? pending", 0.5),
+    ("open-source", "open source", r"open source (?:initiative )?(?:approved )?licen[cs]e", 0.5),
+    ("dual-license", "dual", r"dual(?:ly)? licen[cs]ed", 0.6),
+)
+#: Notices of some license, or of some version of one; they give way to every other detection that they overlap.
+_GENERIC = (
     ("license", "license", r"licensed under the terms of(?: the)?(?: [a-z]+){0,3} licen[cs]e", 0.6),
     ("license", "licen", r"(?:released|published|distributed|available|licen[cs]ed) under (?:a|an|the)(?: [a-z]+){1,4} licen[cs]e", 0.6),
     ("license", "file", r"(?:see|in) the (?:accompanying )?licen[cs]e file", 0.6),
     ("license", "information", r"for licen[cs]e information", 0.5),
-    ("open-source", "open source", r"open source (?:initiative )?(?:approved )?licen[cs]e", 0.5),
-    ("dual-license", "dual", r"dual(?:ly)? licen[cs]ed", 0.6),
-)
+    ("apache", "apache", r"(?:licen[cs]ed|released|distributed) under (?:the )?(?:terms of (?:the )?)?apache", 0.85),
+)
+GENERIC = 9
 #: Identifiers that a tag line may name, in words.
 _IDS = (
     "0bsd", "afl 3 0", "agpl 3 0", "apache 1 1", "apache 2 0", "artistic 2 0", "bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "bsl 1 0", "cc0 1 0",
@@ -312,7 +317,8 @@ def rules() -> list[tuple[int, str, str, str, float]]:
     """(priority, label, keyword, pattern, confidence); a lower priority number wins, then a longer match, then the earlier rule."""
     found: list[tuple[int, str, str, str, float]] = []
     for name in _IDS:
-        found.append((1, name.replace(" ", "-"), "spdx", rf"spdx licen[cs]e identifier {name}(?: only| or later)?", 0.99))
+        found.append((1, name.replace(" ", "-"), "spdx", rf"spdx (?:licen[cs]e identifier )?{name}(?: only| or later)?", 0.99))
+        found.append((2, name.replace(" ", "-"), "spdx", rf"spdx (?:licen[cs]e identifier )?(?:[a-z0-9]+ ){{1,5}}(?:or|and) {name}(?: only| or later)?", 0.95))  # the other part of a tag's expression
     place = r"(?: international| unported| generic)?"
     for label, name, short in _COMMONS:
         for version in ("1 0", "2 0", "2 5", "3 0", "4 0"):
@@ -329,9 +335,12 @@ def rules() -> list[tuple[int, str, str, str, float]]:
             found.append((2, f"{label}-{v}-or-later", keyword, rf"{name}(?: as published by the free software foundation)?(?: either)? (?:{_V} )?{version}(?: of the licen[cs]e)? or (?:\(?at your option\)? )?(?:any )?(?:later|newer)(?: version)?", 0.98))
             found.append((3, f"{label}-{v}", keyword, rf"{name}(?: as published by the free software foundation)? (?:{_V} )?{version}{end}", 0.96))
             if label in ("gpl", "lgpl", "agpl"):
-                found.append((3, f"{label}-{v}", label, rf"{label} ?v?{version}{end}", 0.9))
+                found.append((2, f"{label}-{v}-or-later", label, rf"{label} ?(?:{_V} )?v?{version}(?: 0)? or (?:any )?(?:later|newer)(?: version)?", 0.95))
+                found.append((2, f"{label}-{v}-only", label, rf"{label} ?(?:{_V} )?v?{version}(?: 0)? only", 0.95))
+                found.append((3, f"{label}-{v}", label, rf"{label} ?(?:{_V} )?v?{version}(?: 0)?{end}", 0.9))
         found.append((5, label, keyword, name, 0.85))
     found += [(4, label, keyword, words, sure) for label, keyword, words, sure in _SIGNATURES]
+    found += [(GENERIC, label, keyword, words, sure) for label, keyword, words, sure in _GENERIC]
     return found
 
 
@@ -378,6 +387,24 @@ def _starts(norm: Column, phrase: str) -> Column:
 DETECTION = "struct<start:int,stop:int,priority:int,rule:int,label:string,confidence:double,words:string>"
 
 
+def _specific(dets: Column) -> Column:
+    """The detections without generic notices that overlap another; one run from the left and one from the right, since both may be many."""
+    kind = f"struct<x:{DETECTION},held:boolean>"
+
+    def swept(items: Column, edge: int, own, reach, meets) -> Column:
+        def step(acc: Column, d: Column):
+            generic = d["x"]["priority"] == GENERIC
+            return {"edge": F.when(generic, acc["edge"]).otherwise(reach(acc["edge"], own(d["x"])))}, F.struct(d["x"].alias("x"), (d["held"] | (generic & meets(acc["edge"], d["x"]))).alias("held"))
+
+        return collected(items, {"edge": F.lit(edge)}, step, kind)
+
+    ordered = F.transform(F.array_sort(dets), lambda d: F.struct(d.alias("x"), F.lit(False).alias("held")))
+    once = swept(ordered, -1, lambda d: d["stop"], F.greatest, lambda edge, d: d["start"] < edge)
+    twice = swept(F.reverse(once), 2**31 - 1, lambda d: d["start"], F.least, lambda edge, d: edge < d["stop"])
+    judged = F.transform(F.filter(twice, lambda d: ~d["held"]), lambda d: d["x"])
+    return F.when(F.exists(dets, lambda d: d["priority"] == GENERIC), judged).otherwise(dets)
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_words, base (array of label and word index), detections (label, start, stop, words, confidence).
 
@@ -402,7 +429,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = own.withColumn("__dets", F.when(F.size("__held") > 0, found))
 
     rank = lambda x: F.struct(x["priority"], x["start"] - x["stop"], x["rule"])
-    kept = F.when(F.size(dets) > 1, outermost(dets, DETECTION, rank)).otherwise(dets)
+    own = own.withColumn("__kept", F.when(F.size(dets) > 1, outermost(dets, DETECTION, rank)).otherwise(dets))  # a column of its own, since it is used more than once
+    kept = _specific(F.col("__kept"))
 
     def labelled(phrase: str, label: str) -> Column:
         return F.transform(_starts(norm, phrase), lambda w: F.struct(F.lit(label).alias("label"), w.cast("long").alias("word")))
