@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import text_index as P
 from ..operators import vector_index as I
+from ..operators import versions as W
 from .catalog import _folder, _query
 from .fixtures import FILES_SQL, VECTORS_SQL, files, table, vectors
 
@@ -89,3 +92,28 @@ def fts_index_maintained(spark, sf):
 def fts_fragment(spark, sf):
     """The best twenty words of each file that has the word, marked."""
     return files(spark, sf).where(F.array_contains(X.tokens(F.col("content")), "license")).select("file_path", P.fragment(F.col("content"), ["license", "licensed", "rights"]).alias("fragment"))
+
+
+_TIERS = f"WITH {VECTORS_SQL}, new AS (SELECT * FROM vectors WHERE vec_id % 11 = 0), old AS (SELECT * FROM vectors WHERE vec_id % 11 <> 0), stale AS (SELECT vec_id FROM old WHERE file_path IN (SELECT file_path FROM new)), live AS (SELECT vec_id FROM old WHERE vec_id NOT IN (SELECT vec_id FROM stale) UNION ALL SELECT vec_id FROM new)"
+
+
+@_query("versioned_tiers", f"""{_TIERS} SELECT 'added' AS name, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids FROM live UNION ALL SELECT 'compacted', count(*), CAST(sum(vec_id) AS BIGINT) FROM live UNION ALL SELECT 'first', count(*), CAST(sum(vec_id) AS BIGINT) FROM old
+UNION ALL SELECT 'major', count(*), CAST(sum(vec_id) AS BIGINT) FROM vectors UNION ALL SELECT 'minor', 0, 0 UNION ALL SELECT 'stale', count(*), CAST(coalesce(sum(vec_id), 0) AS BIGINT) FROM stale""")
+def versioned_tiers(spark, sf):
+    """Three versions of the two-tier store: rebuilt, with an eleventh of the vectors added, and compacted; each is still readable at the end."""
+    store, v = W.Versions(spark, _folder(spark)), vectors(spark, sf)
+    first = W.rebuild_tiers(store, v.where("vec_id % 11 <> 0"))
+    second = W.add_to_tiers(store, v.where("vec_id % 11 = 0"))
+    third = W.compact_tiers(store)
+    shown = {"first": W.live_vectors(store, first), "added": W.live_vectors(store, second), "compacted": W.live_vectors(store, third)} | {t: store.read(t) for t in ("major", "minor", "stale")}
+    sums = [df.agg(F.count("*").alias("n"), F.coalesce(F.sum("vec_id"), F.lit(0)).alias("ids")).withColumn("name", F.lit(name)) for name, df in shown.items()]
+    return reduce(lambda a, b: a.unionByName(b), sums)
+
+
+@_query("changed_rows", "SELECT event_id, round(value + 1, 6) AS value FROM events WHERE event_id % 10 = 0")
+def changed_rows(spark, sf):
+    """What a second run takes after a tenth of the rows got a later time and another value."""
+    store, e = W.Versions(spark, _folder(spark)), table(spark, sf, "events").select("event_id", "ts", "value")
+    W.take_changed(store, "events", e, "event_id", "ts", "ts")
+    moved = e.withColumns({"ts": F.when(F.col("event_id") % 10 == 0, F.expr("ts + interval 400 days")).otherwise(F.col("ts")), "value": F.when(F.col("event_id") % 10 == 0, F.col("value") + 1).otherwise(F.col("value"))})
+    return W.take_changed(store, "events", moved, "event_id", "ts", "ts").select("event_id", F.round("value", 6).alias("value"))
