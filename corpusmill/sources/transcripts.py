@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def content_text(content: Column) -> Column:
@@ -13,10 +14,20 @@ def content_text(content: Column) -> Column:
     return F.when(F.schema_of_variant(content).startswith("ARRAY"), joined).otherwise(F.try_variant_get(content, "$", "string"))
 
 
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 0), value of text files; a large file is read by several tasks.
+
+    A line's number is its place in its block of the file plus the lines of the blocks before; only blocks are joined and summed, not texts.
+    """
+    at = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    blocks = at.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    return at.join(blocks.select("file", "block", (F.col("first") - before).alias("base")), ["file", "block"]).select("file", (F.col("id") - F.col("base")).alias("line"), "value")
+
+
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
     """file, line, role, text of each line that parses; others are dropped."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    parsed = raw.withColumn("v", F.try_parse_json("value")).where("v is not null")
+    parsed = lines(spark, path).withColumn("v", F.try_parse_json("value")).where("v is not null")
     return parsed.select("file", "line", F.try_variant_get("v", "$.role", "string").alias("role"), F.try_variant_get("v", "$.content", "variant").alias("content")).where("content is not null").select("file", "line", "role", content_text(F.col("content")).alias("text"))
 
 

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def first_sightings(stream: DataFrame, key: list[str]) -> DataFrame:
-    """Each key's first row; later ones are repeats."""
-    return stream.dropDuplicates(key)
+def first_sightings(stream: DataFrame, key: list[str], time: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Each key's first row; later ones are repeats. Without a time every key is remembered for ever; with one, a key is forgotten
+    once the watermark has passed its row by `late`, so state stays bounded, and a repeat after that counts as first."""
+    if time is None:
+        return stream.dropDuplicates(key)
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(key)
 
 
 def tumbling(stream: DataFrame, time: str, width: str, late: str = "10 minutes") -> DataFrame:

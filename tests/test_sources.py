@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.sources.files import changed, crawl, discover, skip_reason
-from corpusmill.sources.transcripts import feedback_csv, transcripts
+from corpusmill.sources.transcripts import feedback_csv, lines, transcripts
 
 
 def test_crawl(spark, tmp_path):
@@ -24,6 +24,32 @@ def test_transcripts(spark, tmp_path):
     assert [(r["line"], r["role"], r["text"]) for r in transcripts(spark, str(tmp_path)).orderBy("line").collect()] == [(0, "user", "hello"), (2, "assistant", "a\nb")]
 
 
+def test_lines_of_files_read_by_several_tasks(spark, tmp_path):
+    texts = {f"f{k}.txt": [f"{k} line {i} " + "x" * (i % 40) for i in range(n)] for k, n in enumerate((700, 1, 0, 300))}
+    for name, rows in texts.items():
+        (tmp_path / name).write_text("\n".join(rows) + "\n" * bool(rows))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4096")
+    try:
+        got = {}
+        for r in lines(spark, str(tmp_path)).collect():
+            got.setdefault(r["file"].rsplit("/", 1)[1], {})[r["line"]] = r["value"]
+    finally:
+        spark.conf.set(name, before)
+    assert got == {n: dict(enumerate(rows)) for n, rows in texts.items() if rows}
+
+
+def test_first_sightings_forget(spark, tmp_path):
+    from corpusmill.streaming.events import drained, first_sightings
+
+    schema = "k string, ts timestamp"
+    for rows in ([("a", "00:00"), ("a", "00:05"), ("b", "00:01")], [("z", "09:00")], [("a", "09:01"), ("z", "09:02")]):
+        spark.createDataFrame([(k, f"2024-01-01 {t}:00") for k, t in rows], "k string, ts string").selectExpr("k", "cast(ts as timestamp) as ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = drained(first_sightings(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["k"], "ts"), str(tmp_path / "out"), "append")
+    assert sorted(r["k"] for r in out.collect()) == ["a", "a", "b", "z"]
+
+
 def test_feedback(spark, tmp_path):
     (tmp_path / "edges.csv").write_text("timestamp,source_node,edge_type,target_node,weight,context_summary,command\n2024,c,accepted,f,1.0,s,x\n")
     assert feedback_csv(spark, str(tmp_path)).first()["weight"] == 1.0
