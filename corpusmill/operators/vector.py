@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -117,10 +118,10 @@ def linked_groups(neighbours: DataFrame, group: str = "to_group") -> DataFrame:
 
 
 class LatentModel:
-    """A vocabulary with idf weights and the leading right singular vectors of the TF-IDF matrix: (terms, dims)."""
+    """A vocabulary with idf weights and the leading right singular vectors of the TF-IDF matrix: (terms, dims); values: the singular values, where it was fitted just now."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, factors: np.ndarray):
-        self.terms, self.idf, self.factors = terms, idf, factors
+    def __init__(self, terms: list[str], idf: np.ndarray, factors: np.ndarray, values: np.ndarray | None = None):
+        self.terms, self.idf, self.factors, self.values = terms, idf, factors, values
 
     def save(self, spark, path: str) -> None:
         rows = [(t, float(w), [float(x) for x in f]) for t, w, f in zip(self.terms, self.idf, self.factors, strict=True)]
@@ -138,11 +139,23 @@ def _term_counts(chunks: DataFrame, key: list[str]) -> DataFrame:
     return chunks.select(*key, F.explode(words).alias("term")).groupBy(*key, "term").agg((1 + F.ln(F.count("*"))).alias("x"))
 
 
+#: Terms of a block of a product, and tasks whose blocks are added up together.
+TERMS, FAN = 4096, 8
+_PARTS = "task long, block int, part binary"
+
+
+def _added(parts: pa.Table) -> pa.Table:
+    """One block as the sum of those of several tasks."""
+    total = sum(np.frombuffer(p) for p in parts["part"].to_pylist())
+    return pa.table({"task": parts["task"][:1], "block": parts["block"][:1], "part": pa.array([total.tobytes()], pa.binary())})
+
+
 def lsa_fit(chunks: DataFrame, dims: int = 256, min_df: int = 2, most_terms: int = 100_000, rounds: int = 5, seed: int = 42, key: tuple[str, ...] = ("file_path", "chunk_index")) -> LatentModel:
     """Latent semantic analysis: sublinear TF-IDF rows of length one, and a truncated SVD by randomized subspace iteration.
 
-    Each round multiplies by the matrix and its transpose where the rows are, in Arrow batches; what reaches the driver is
-    one (terms, dims) matrix, bounded by most_terms. Terms that fewer than min_df chunks hold are out; of more than most_terms the most frequent stay.
+    Each round multiplies by the matrix and its transpose where the rows are, in Arrow batches. The tasks' products are cut into
+    blocks of TERMS terms and added up a few tasks at a time, block by block, so what reaches the driver is
+    one (terms, dims) matrix a round, bounded by most_terms, however many tasks there are. Terms that fewer than min_df chunks hold are out; of more than most_terms the most frequent stay.
     """
     spark, cols = chunks.sparkSession, list(key)
     counts = _term_counts(chunks, cols)
@@ -167,18 +180,26 @@ def lsa_fit(chunks: DataFrame, dims: int = 256, min_df: int = 2, most_terms: int
                 y = np.zeros((len(at), q.shape[1]))
                 np.add.at(y, row, q[place] * value[:, None])
                 np.add.at(total, place, y[row] * value[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.large_binary())], names=["part"])
+            task = TaskContext.get().partitionId()
+            for k, lo in enumerate(range(0, len(total), TERMS)):
+                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([k], pa.int32()), pa.array([total[lo : lo + TERMS].tobytes()], pa.binary())], names=["task", "block", "part"])
 
         return run
 
+    values = np.zeros(0)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(terms), dims)))[0] if terms else np.zeros((0, 0))
     for _ in range(rounds if terms else 0):
+        parts, tasks = rows.mapInArrow(products(q), _PARTS), rows.rdd.getNumPartitions()
+        while tasks > 1:
+            parts = parts.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("task", "block").applyInArrow(_added, _PARTS)
+            tasks = -(-tasks // FAN)
         total = np.zeros_like(q)
-        for r in rows.mapInArrow(products(q), "part binary").toLocalIterator():
-            total += np.frombuffer(r["part"]).reshape(q.shape)
+        for r in parts.toLocalIterator():
+            lo = r["block"] * TERMS
+            total[lo : lo + TERMS] += np.frombuffer(r["part"]).reshape(-1, q.shape[1])
         q, values, _ = np.linalg.svd(total, full_matrices=False)
     rows.unpersist()
-    return LatentModel(terms, idf, q)
+    return LatentModel(terms, idf, q, np.sqrt(values))
 
 
 def lsa_encode(chunks: DataFrame, model: LatentModel, key: tuple[str, ...] = ("file_path", "chunk_index")) -> DataFrame:
