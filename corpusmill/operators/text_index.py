@@ -33,7 +33,10 @@ _COMMITS = "number int, replaces array<int>, seg int"
 
 @dataclass
 class TextIndex:
-    """An index in a folder that all machines share. tokens gives a text's words in order (null: a place without a word); words_of cuts queries alike."""
+    """An index in a folder that all machines share. tokens gives a text's words in order (null: a place without a word); words_of cuts queries alike.
+
+    The default takes Unicode words as they are; functions.english has `tokens` and `query_words` for stems without stop words.
+    """
 
     spark: SparkSession
     path: str
@@ -116,7 +119,7 @@ class TextIndex:
         """doc, rank, covers: documents that satisfy a web-style query, by cover density: each minimal stretch of words that satisfies it adds
         0.1 / (1 + words in it that are no words of the query). Ties go by doc. Excluded words and phrases only leave documents out."""
         q = Query.parse(query, self.words_of)
-        terms = sorted({w for g in [*q.groups, q.excluded] for unit in g for w in unit})
+        terms = sorted({w for g in [*q.groups, q.excluded] for unit in g for w in unit if w is not None})
         if not q.groups:
             return self.spark.createDataFrame([], "doc string, rank double, covers int")
         found = self.postings(terms).groupBy("doc").agg(F.collect_list(F.struct("term", "positions")).alias("found"))
@@ -141,9 +144,11 @@ def _ranks(query: Query):
 
 
 def occurrences(unit: list[str], places: dict[str, list[int]]) -> list[int]:
-    """First positions of a word, or of words that stand one after another."""
+    """First positions of a word, or of words that stand one after another; any word stands for None."""
     starts = places.get(unit[0], [])
     for k, word in enumerate(unit[1:], 1):
+        if word is None:
+            continue
         at = set(places.get(word, []))
         starts = [s for s in starts if s + k in at]
     return starts

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions import english
 from ..functions import text as X
 from ..operators import text_index as P
 from ..operators import vector_index as I
@@ -117,3 +118,11 @@ def changed_rows(spark, sf):
     W.take_changed(store, "events", e, "event_id", "ts", "ts")
     moved = e.withColumns({"ts": F.when(F.col("event_id") % 10 == 0, F.expr("ts + interval 400 days")).otherwise(F.col("ts")), "value": F.when(F.col("event_id") % 10 == 0, F.col("value") + 1).otherwise(F.col("value"))})
     return W.take_changed(store, "events", moved, "event_id", "ts", "ts").select("event_id", F.round("value", 6).alias("value"))
+
+
+@_query("fts_english")
+def fts_english(spark, sf):
+    """All files that satisfy a query of English stems, stop words left out, by cover density."""
+    index = P.TextIndex(spark, _folder(spark), english.tokens, english.query_words)
+    index.put(_documents(files(spark, sf), F.col("content")), 0)
+    return index.search('"rights reserved" or licensing -apaches', None).withColumn("rank", F.round("rank", 6))
