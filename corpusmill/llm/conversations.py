@@ -399,6 +399,47 @@ def damaged(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("kind") == 0).alias("gone"), F.explode(copies).alias("copy")).drop("copy")
 
 
+def _oracle() -> str:
+    """The contract in SQL: the four states as strings of padded cost and audit, so that the least string is the cheapest and least audit."""
+    add = lambda s, cost, edit: f"(lpad(CAST(CAST(left({s}, 10) AS INT) + {cost} AS VARCHAR), 10, '0') || substr({s}, 11) || '{edit}')"
+    least = lambda *options: f"list_min([{', '.join(options)}])"
+    space = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+    def closed(source: str) -> str:
+        two = least("s2", *(add(s, INSERT, "I") for s in ("s0", "s1", "s3")))
+        return f"(SELECT * EXCLUDE (s3), {least('s3', add('s2', INSERT, 'I'))} AS s3 FROM (SELECT * EXCLUDE (s2), {two} AS s2 FROM {source}))"
+
+    edit = lambda s, cost, letter, when: f"CASE WHEN {when} THEN {add(s, cost, letter)} END"
+    more, may = f"{REPAIR} * (fault = 't')::INT", "fault NOT IN ('b', 'd')"
+    to_user = [edit(s, f"{more} + {c}", e, f"{may} AND {w}") for s in ("s0", "s1", "s3") for c, e, w in ((KEEP, "K", "initial = 'u'"), (REROLE, "R", "TRUE"))]
+    to_other = [edit("s2", f"{more} + {c}", e, f"{may} AND {w}") for c, e, w in ((KEEP, "K", "initial = 'a'"), (REROLE, "R", "TRUE"))]
+    step = f"""SELECT conv, n + 1 AS n, {add('s0', DELETE, 'D')} AS s0, {least(add('s1', DELETE, 'D'), edit('s0', f'{more} + {KEEP}', 'K', f"{may} AND initial = 's'"))} AS s1,
+      {least(add('s2', DELETE, 'D'), *to_user)} AS s2, {least(add('s3', DELETE, 'D'), *to_other)} AS s3"""
+    return f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS t),
+raw AS (SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+kinds AS (SELECT raw.* EXCLUDE (key), xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(key) + 1), lambda i: ord(key[i])::UBIGINT)), lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295::UBIGINT) % 20 AS kind FROM raw, crc),
+hurt AS (SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS n, left(role, 1) AS initial, rtrim(text, {space}) AS bare FROM hurt),
+said AS (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN n > min(n) OVER (PARTITION BY conv, role, text) THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'k' END AS fault,
+  lag(initial) OVER (PARTITION BY conv ORDER BY n) AS before FROM placed),
+way AS (SELECT DISTINCT conv, 0::BIGINT AS n, '0000000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM said
+  UNION ALL {step} FROM {closed("(SELECT way.*, said.initial, said.fault FROM way JOIN said ON way.conv IS NOT DISTINCT FROM said.conv AND said.n = way.n + 1)")}),
+best AS (SELECT conv, {least("s0", "s3")} AS s FROM {closed("(SELECT * FROM way QUALIFY n = max(n) OVER (PARTITION BY conv))")}),
+letters AS (SELECT conv, unnest(range(1, length(s) - 9)) AS pos, s FROM best),
+edits AS (SELECT conv, pos, s[10 + pos] AS edit, sum((s[10 + pos] <> 'I')::INT) OVER w AS n, sum((s[10 + pos] <> 'D')::INT) OVER w AS line FROM letters WINDOW w AS (PARTITION BY conv ORDER BY pos)),
+named AS (SELECT e.*, r.role, r.text, max((e.edit = 'K' AND e.line = 1 AND r.initial = 's')::INT) OVER (PARTITION BY e.conv) AS system FROM edits e LEFT JOIN said r ON e.edit <> 'I' AND e.conv IS NOT DISTINCT FROM r.conv AND e.n = r.n WHERE e.edit <> 'D'),
+texts AS (SELECT conv, string_agg(CASE WHEN edit = 'K' THEN role WHEN (line - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) AS text FROM named GROUP BY conv),
+counts AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+  count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM said GROUP BY conv)
+SELECT c.conv AS conv_id, coalesce(k.gaps, 0) AS gaps, coalesce(k.blank, 0) AS blank, coalesce(k.duplicate, 0) AS duplicate, coalesce(k.truncated, 0) AS truncated, coalesce(k.illegal, 0) AS illegal,
+  coalesce(CAST(left(b.s, 10) AS BIGINT), 0) AS cost, coalesce(substr(b.s, 11), '') AS audit, sha256(coalesce(t.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id AS conv FROM conversations) c LEFT JOIN counts k ON k.conv IS NOT DISTINCT FROM c.conv LEFT JOIN best b ON b.conv IS NOT DISTINCT FROM c.conv LEFT JOIN texts t ON t.conv IS NOT DISTINCT FROM c.conv"""
+
+
+OP11_SQL = _oracle()
+
+
 def op11_conversation_repair(spark, sf_dir):
     """All conversations, damaged as the contract says, and repaired."""
     return repair(damaged(documents(spark, sf_dir, "conversations")), gone=F.col("gone"))

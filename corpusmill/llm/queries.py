@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op13_bpe
-from .conversations import op11_conversation_repair
+from .conversations import OP11_SQL, op11_conversation_repair
 from .decontaminate import op4_decontamination
 from .jaccard import op2_jaccard_join
 from .language_model import op7_language_model
@@ -32,4 +32,4 @@ QUERIES = {
     "op13_bpe": op13_bpe,
 }
 
-ORACLES = {"op8_line_dedup": OP8_SQL, "op12_hard_negatives": OP12_SQL}
+ORACLES = {"op8_line_dedup": OP8_SQL, "op11_conversation_repair": OP11_SQL, "op12_hard_negatives": OP12_SQL}
