@@ -184,20 +184,35 @@ def fragment(text: Column, words: list[str], start: str = ">>>", stop: str = "<<
 
     What stands between the words stays; null where the text has no word.
     """
-    pattern = F.lit(r"[\p{L}\p{N}]+")
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    lower, wanted = F.transform(found, F.lower), F.lit([w.lower() for w in words])
-    n = F.size(found)
-    window = lambda i: F.filter(F.slice(lower, i + 1, F.lit(most)), lambda w: F.array_contains(wanted, w))
-    starts = F.sequence(F.lit(0), F.greatest(n - most, F.lit(0)))
-    scored = F.transform(starts, lambda i: F.struct(F.size(F.array_distinct(window(i))).alias("kinds"), F.size(window(i)).alias("hits"), (-i).alias("at")))
-    best = -F.array_max(scored)["at"]
-    marked = F.transform(found, lambda w: F.when(F.array_contains(wanted, F.lower(w)), F.concat(F.lit(start), w, F.lit(stop))).otherwise(w))
-    pieces = F.zip_with(marked, F.slice(F.split(text, r"[\p{L}\p{N}]+", -1), F.lit(2), F.size(marked)), lambda w, gap: F.struct(w.alias("w"), gap.alias("gap")))
-    chosen = F.slice(pieces, best + 1, F.lit(most))
-    last = F.element_at(chosen, -1)["w"]
-    body = F.array_join(F.transform(F.slice(chosen, F.lit(1), F.size(chosen) - 1), lambda p: F.concat(p["w"], p["gap"])), "")
-    return F.when(n > 0, F.concat(body, last))
+    pattern, wanted = r"[\p{L}\p{N}]+", F.lit([w.lower() for w in words])
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+
+    def places(found: Column) -> Column:
+        """Places and words of the query's words, in order."""
+        lower = F.transform(found, lambda w, i: F.struct(i.alias("at"), F.lower(w).alias("w")))
+        return F.filter(lower, lambda p: F.array_contains(wanted, p["w"]))
+
+    def first(hits: Column) -> Column:
+        """The best stretch ends with a hit or begins the text; at most `most` hits stand in it, so each hit looks at that many before it."""
+
+        def scored(hit: Column, k: Column) -> Column:
+            start = F.greatest(hit["at"] - most + 1, F.lit(0))
+            held = F.filter(F.slice(hits, F.greatest(k - most + 2, F.lit(1)), F.least(k + 1, F.lit(most))), lambda p: p["at"] >= start)
+            return F.struct(F.size(F.array_distinct(F.transform(held, lambda p: p["w"]))).alias("kinds"), F.size(held).alias("hits"), (-start).alias("at"))
+
+        return F.coalesce(-F.array_max(F.transform(hits, scored))["at"], F.lit(0))
+
+    def cut(t: Column) -> Column:
+        def shown(start_at: Column) -> Column:
+            chosen, gaps = F.slice(t["found"], start_at + 1, F.lit(most)), F.slice(t["parts"], start_at + 2, F.lit(most))
+            marked = F.transform(chosen, lambda w: F.when(F.array_contains(wanted, F.lower(w)), F.concat(F.lit(start), w, F.lit(stop))).otherwise(w))
+            pieces = F.zip_with(marked, gaps, lambda w, gap: F.concat(w, gap))
+            return bound(marked, lambda m: F.concat(F.array_join(F.slice(pieces, F.lit(1), F.size(m) - 1), ""), F.element_at(m, -1)))
+
+        return F.when(F.size(t["found"]) > 0, bound(bound(places(t["found"]), first), shown))
+
+    # each array is bound once: within a lambda an expression over the text would be computed anew for every element
+    return bound(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("parts")), cut)
 
 
 def documents_of(index: TextIndex) -> DataFrame:

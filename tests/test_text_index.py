@@ -146,3 +146,17 @@ def test_fragments(spark):
         a = min(options)[2]
         text = t[found[a].start() : found[a + n - 1].end()]
         assert got[i] == re.sub(r"[^\W_]+", lambda m: f"<{m[0]}>" if m[0].lower() in ("red", "of") else m[0], text)
+
+
+def test_fragments_of_long_texts_are_read_once(spark):
+    """A text is cut into words once, not for every stretch: 20,000 words took minutes."""
+    import time
+
+    words = ["stone"] * 20_000
+    words[15_000:15_030] = ["red"] * 30
+    words[17_000], words[17_019] = "red", "of"
+    rows = spark.createDataFrame([(1, " ".join(words)), (2, "red " * 20_000)], "i int, t string")
+    began = time.monotonic()
+    got = dict(rows.select("i", T.fragment(T.F.col("t"), ["red", "of"], "<", ">")).collect())
+    assert time.monotonic() - began < 30
+    assert got == {1: "<red> " + "stone " * 18 + "<of>", 2: " ".join(["<red>"] * 20)}
