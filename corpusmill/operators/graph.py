@@ -34,9 +34,9 @@ def recommend(edges: DataFrame, similar: DataFrame, threshold: float = 0.5, k: i
 
 
 def feedback(edges: DataFrame, similar: DataFrame, limit: int = 10) -> DataFrame:
-    """Edges of similar contexts, most similar first, then heaviest. similar: source_node, similarity."""
+    """Edges of similar contexts, most similar first, then heaviest; equals go by target (none last), kind and event_id. similar: source_node, similarity."""
     out = edges.join(similar, "source_node")
-    return out.orderBy(F.desc("similarity"), F.desc("weight"), "target_node", "edge_type").limit(limit)
+    return out.orderBy(F.desc("similarity"), F.desc("weight"), F.asc_nulls_last("target_node"), F.asc_nulls_last("edge_type"), F.asc_nulls_last("event_id")).limit(limit)
 
 
 def feedback_by_text(edges: DataFrame, text: str, limit: int = 10) -> DataFrame:

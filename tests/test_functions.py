@@ -73,3 +73,11 @@ def test_formatted_rounds_the_exact_value(spark):
         assert one(spark, V.formatted(V.parse(V.formatted(F.lit(values).cast("array<double>"))))) == want
     assert one(spark, V.formatted(F.expr("array(1D, null, 2D)"))) == "[1.00000000,2.00000000]"
     assert one(spark, V.formatted(F.expr("cast(null as array<double>)"))) is None
+
+
+def test_feedback_breaks_ties_by_event(spark):
+    from corpusmill.operators import graph as G
+
+    edges = spark.createDataFrame([(i, "c", "accepted", 1.0, None if i % 4 == 0 else "t") for i in range(40, 0, -1)], "event_id long, source_node string, edge_type string, weight double, target_node string").repartition(7)
+    similar = spark.createDataFrame([("c", 0.5)], "source_node string, similarity double")
+    assert [r["event_id"] for r in G.feedback(edges, similar, 31).collect()] == [*[i for i in range(1, 41) if i % 4], 4]
