@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import groups as B
 from ..functions.text import STOP_WORDS
 
 
@@ -13,38 +19,97 @@ from ..functions.text import STOP_WORDS
 NOISE_SUFFIXES = (".md", ".py", ".txt", ".json", ".csv")
 
 
-def top_terms(files: DataFrame, words: Column, n: int = 10) -> DataFrame:
-    """The n most frequent words of each file; of equals the one that comes first."""
-    t = files.select("file_path", F.posexplode(words).alias("pos", "term")).groupBy("file_path", "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("tf"), "first"))
-    return t.withColumn("rank", rank).where(F.col("rank") <= n).select("file_path", "term", "tf", "rank")
-
+def top_terms(files: DataFrame, words: Column, n: int = 10, also: tuple[str, ...] = ()) -> DataFrame:
+    """The n most frequent words of each file; of equals the one that comes first. also: columns that are kept, and whose values count apart.
 
-def _grams(text: Column, stop_words) -> Column:
-    """Words of two characters or more without stop words."""
-    stops = F.array(*[F.lit(w) for w in stop_words])
-    return F.array_remove(F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: F.when(F.array_contains(stops, w), "").otherwise(w)), "")
+    The texts are dealt out by file once, and each file's words are counted where they are.
+    """
+    own = B.gathered(files, ["file_path"]).select("file_path", *also, words.alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, of in B.whole(batches, ["file_path"]):
+            row, place, code, terms = B.coded(t["w"])
+            kind = np.zeros(len(t), np.int64)
+            for name in also:
+                d = pa.concat_arrays(t[name].chunks).dictionary_encode(null_encoding="encode")
+                kind = kind * (len(d.dictionary) + 1) + d.indices.to_numpy()
+            order, starts = B.runs(of[row], kind[row], code)
+            if not len(order):
+                continue
+            tf, first = B.lengths(starts, len(order)), np.minimum.reduceat(place[order], starts)
+            at = order[starts]
+            best = np.lexsort((first, -tf, of[row[at]]))
+            rank = B.leading(of[row[at]][best])
+            best, rank = best[rank < n], rank[rank < n]
+            held = t.select(["file_path", *also]).take(pa.array(row[at[best]])).combine_chunks()
+            columns = [*held.columns, terms.take(pa.array(code[at[best]])), pa.array(tf[best]), pa.array(rank + 1, pa.int32())]
+            yield from pa.table(columns, names=["file_path", *also, "term", "tf", "rank"]).to_batches()
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "w")
+    return own.mapInArrow(run, f"{kept}, term string, tf long, rank int")
+
+
+def _rounded(x: np.ndarray, places: int = 6) -> np.ndarray:
+    """Halves go up, as in SQL."""
+    x = x * 10**places
+    whole = np.floor(x)
+    return (whole + (x - whole >= 0.5)) / 10**places
 
 
 def file_tfidf(chunks: DataFrame, n: int = 20, most_df: float = 0.95, most_terms: int = 1000, stop_words=STOP_WORDS) -> DataFrame:
     """For files of two chunks or more, the n terms (words and pairs of neighbours) of highest mean TF-IDF over the chunks.
 
     idf = ln((1 + chunks) / (1 + df)) + 1 within the file; terms in more than most_df of its chunks are out, and of the rest
-    the most_terms most frequent stay (of equals the first in order); each chunk's vector has length one. The chunks are dealt out by file once; all further steps keep to that.
+    the most_terms most frequent stay (of equals the first in order); each chunk's vector has length one. The chunks' texts are dealt out by file once;
+    all of a file's terms are weighed in one task, in Arrow batches.
     """
-    of_file = Window.partitionBy("file_path")
-    own = chunks.select("file_path", "chunk_index", _grams(F.col("content"), stop_words).alias("w")).repartition("file_path")
-    own = own.withColumn("n", F.count("*").over(of_file)).where("n > 1")
-    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1)))
-    tf = own.select("file_path", "chunk_index", "n", F.explode(F.concat("w", pairs)).alias("term")).groupBy("file_path", "chunk_index", "n", "term").agg(F.count("*").alias("tf"))
-    of_term = Window.partitionBy("file_path", "term")
-    x = tf.withColumns({"df": F.count("*").over(of_term), "all": F.sum("tf").over(of_term)}).where(F.col("df") <= most_df * F.col("n"))
-    x = x.withColumn("place", F.dense_rank().over(of_file.orderBy(F.desc("all"), "term"))).where(F.col("place") <= most_terms)
-    x = x.withColumn("x", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("file_path", "chunk_index")))
-    mean = x.withColumn("x", F.col("x") / length).groupBy("file_path", "term", "n").agg((F.sum("x") / F.col("n")).alias("m")).withColumn("score", F.round("m", 6))
-    rank = F.row_number().over(of_file.orderBy(F.desc("score"), "term"))
-    return mean.withColumn("rank", rank).where(F.col("rank") <= n).select("file_path", "term", "score", "rank")
+    words = F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    own = B.gathered(chunks.select("file_path", "chunk_index", "content"), ["file_path"], ["chunk_index"]).select("file_path", "chunk_index", words.alias("w"))
+    stops = pa.array(list(stop_words), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, of in B.whole(batches, ["file_path"]):
+            chunk = B.changes(t, ["file_path", "chunk_index"]).cumsum() - 1
+            row, _, code, known = B.coded(t["w"])
+            stays = ~pc.is_in(known, value_set=stops).to_numpy(zero_copy_only=False)
+            row, code = row[stays[code]], code[stays[code]]
+            # no letter of a word sorts before a space, so a number of (first word, second word or none) sorts as the term does
+            size, near = len(known) + 1, row[1:] == row[:-1]
+            term = np.concatenate([(code + 1) * size, ((code[:-1] + 1) * size + code[1:] + 1)[near]])
+            row = np.concatenate([row, row[:-1][near]])
+            if not len(term):
+                continue
+            order, starts = B.runs(chunk[row], term)
+            tf, at = B.lengths(starts, len(order)), order[starts]
+            term, file, chunk = term[at], of[row[at]], chunk[row[at]]
+            files = np.bincount(of)
+
+            order, starts = B.runs(file, term)
+            which = np.empty(len(order), np.int64)
+            which[order] = np.repeat(np.arange(len(starts)), B.lengths(starts, len(order)))
+            own_file, own_term, df = file[order[starts]], term[order[starts]], B.lengths(starts, len(order))
+            total, chunks_ = np.bincount(which, tf), files[own_file]
+            fine = np.flatnonzero((chunks_ > 1) & (df <= most_df * chunks_))
+            fine = fine[np.lexsort((own_term[fine], -total[fine], own_file[fine]))]
+            fine = fine[B.leading(own_file[fine]) < most_terms]
+            stays = np.zeros(len(df), bool)
+            stays[fine] = True
+
+            held = stays[which]
+            which, chunk = which[held], chunk[held]
+            x = tf[held] * (np.log((1 + chunks_) / (1 + df)) + 1)[which]
+            x = x / np.sqrt(np.bincount(chunk, x * x))[chunk]
+            score = _rounded(np.bincount(which, x, len(df)) / chunks_)
+            best = fine[np.lexsort((own_term[fine], -score[fine], own_file[fine]))]
+            rank = B.leading(own_file[best])
+            best, rank = best[rank < n], rank[rank < n]
+            first, second = known.take(pa.array(own_term[best] // size - 1)), own_term[best] % size - 1
+            second = known.take(pa.array(second, mask=second < 0))
+            text = pc.coalesce(pc.binary_join_element_wise(first, second, " "), first)
+            path = t["file_path"].take(pa.array(np.searchsorted(of, own_file[best])))
+            yield from pa.table([path, text, pa.array(score[best]), pa.array(rank + 1, pa.int32())], names=["file_path", "term", "score", "rank"]).combine_chunks().to_batches()
+
+    return own.mapInArrow(run, "file_path string, term string, score double, rank int")
 
 
 def global_idf(terms: DataFrame, files: DataFrame) -> DataFrame:
