@@ -449,7 +449,7 @@ _NOISY = "length(term) > 40 OR contains(term, '/') OR suffix(term, '.md') OR suf
 @_query("project_keywords", f"WITH {FILES_SQL}, {_FREQUENT}, x AS (SELECT lang, term, tf * idf AS x FROM top JOIN idf USING (term) WHERE NOT ({_NOISY})), s AS (SELECT lang, term, round(sum(x), 6) AS weight FROM x WHERE x > 0.001 GROUP BY ALL) SELECT lang, term, weight, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) AS rank FROM s) WHERE rank <= 25")
 def project_keywords(spark, sf):
     f = files(spark, sf)
-    scored = K.top_terms(f, X.tokens(F.col("content")), 20).select("file_path", "term", F.col("tf").alias("score")).join(f.select("file_path", "lang"), "file_path")
+    scored = K.top_terms(f, X.tokens(F.col("content")), 20, ("lang",)).select("file_path", "lang", "term", F.col("tf").alias("score"))
     return K.group_keywords(scored, K.global_idf(scored, f.select("file_path")), "lang")
 
 
