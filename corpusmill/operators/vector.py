@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import groups as B
 from ..functions import vectors as V
 
 
@@ -133,14 +137,28 @@ class LatentModel:
         return cls(t.column("term").to_pylist(), np.array(t.column("idf")), np.array(t.column("factors").to_pylist()).reshape(len(t), -1))
 
 
-def _term_counts(chunks: DataFrame, key: list[str]) -> DataFrame:
-    """key, term, x = 1 + ln(tf); terms begin with a letter and have three characters or more."""
+def _term_counts(t: pa.Table, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Chunk, code of the term, and 1 + ln(tf) of the terms of whole chunks, in order; and the terms."""
+    row, _, code, terms = B.coded(t["w"])
+    order, starts = B.runs(of[row], code)
+    at = order[starts]
+    return of[row[at]], code[at], 1 + np.log(B.lengths(starts, len(order))), terms
+
+
+def _words(chunks: DataFrame, key: list[str]) -> DataFrame:
+    """key and w, the chunk's words, which begin with a letter and have three characters or more; texts are dealt out by key."""
     words = F.regexp_extract_all(F.lower("content"), F.lit("[a-z][a-z0-9_]{2,}"), F.lit(0))
-    return chunks.select(*key, F.explode(words).alias("term")).groupBy(*key, "term").agg((1 + F.ln(F.count("*"))).alias("x"))
+    return B.gathered(chunks.select(*key, "content"), key).select(*key, words.alias("w"))
+
+
+def _added_up(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(rows, starts, axis=0) if len(starts) else rows[:0]
 
 
 #: Terms of a block of a product, and tasks whose blocks are added up together.
 TERMS, FAN = 4096, 8
+#: Entries of a task's rows of factors at a time.
+ENTRIES = 1 << 21
 _PARTS = "task long, block int, part binary"
 
 
@@ -158,16 +176,31 @@ def lsa_fit(chunks: DataFrame, dims: int = 256, min_df: int = 2, most_terms: int
     one (terms, dims) matrix a round, bounded by most_terms, however many tasks there are. Terms that fewer than min_df chunks hold are out; of more than most_terms the most frequent stay.
     """
     spark, cols = chunks.sparkSession, list(key)
-    counts = _term_counts(chunks, cols)
+    words = _words(chunks, cols)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, of in B.whole(batches, cols):
+            _, code, x, terms = _term_counts(t, of)
+            df, all_ = np.bincount(code, minlength=len(terms)), np.bincount(code, x, len(terms))
+            yield pa.RecordBatch.from_arrays([terms, pa.array(df, pa.int64()), pa.array(all_, pa.float64())], ["term", "df", "all"])
+
     n = chunks.count()
-    top = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("x").alias("all")).where(F.col("df") >= min_df).orderBy(F.desc("all"), "term").limit(most_terms)
+    counts = words.mapInArrow(counted, "term string, df long, all double").groupBy("term").agg(F.sum("df").alias("df"), F.sum("all").alias("all"))
+    # sums are added up in another order each time; a fixed number of places keeps equals equal
+    top = counts.where(F.col("df") >= min_df).orderBy(F.round("all", 6).desc(), "term").limit(most_terms)
     table = top.toArrow().sort_by("term")
     terms = table.column("term").to_pylist()
     idf = np.log((1 + n) / (1 + np.array(table.column("df"), float))) + 1
     dims = min(dims, len(terms))
-    index = spark.createDataFrame([(t, i, float(w)) for i, (t, w) in enumerate(zip(terms, idf, strict=True))], "term string, at int, idf double")
-    weighed = counts.join(index, "term").select(*cols, "at", (F.col("x") * F.col("idf")).alias("x"))
-    rows = weighed.groupBy(*cols).agg(F.collect_list("at").alias("at"), F.collect_list("x").alias("x")).select("at", "x").persist()
+    known = spark.sparkContext.broadcast((pa.array(terms, pa.string()), idf))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, of in B.whole(batches, cols):
+            chunk, place, x = _weighed(t, of, *known.value)
+            ends = pa.array(np.append(np.flatnonzero(np.diff(chunk, prepend=-1)), len(chunk)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(place, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(x))], ["at", "x"])
+
+    rows = words.mapInArrow(weighed, "at array<int>, x array<double>").persist()
 
     def products(q: np.ndarray):
         def run(batches):
@@ -177,9 +210,17 @@ def lsa_fit(chunks: DataFrame, dims: int = 256, min_df: int = 2, most_terms: int
                 place, value = at.flatten().to_numpy(), x.flatten().to_numpy()
                 row = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy()))
                 value = value / np.sqrt(np.bincount(row, value * value, len(at)))[row]
-                y = np.zeros((len(at), q.shape[1]))
-                np.add.at(y, row, q[place] * value[:, None])
-                np.add.at(total, place, y[row] * value[:, None])
+                size = max(1, ENTRIES // max(1, q.shape[1]))
+                for lo in range(0, len(at), step := max(1, size * len(at) // max(1, len(row)))):
+                    own = slice(*np.searchsorted(row, (lo, lo + step)))
+                    p, w, r = place[own], value[own, None], row[own]
+                    if not len(p):
+                        continue
+                    y = _added_up(q[p] * w, np.flatnonzero(np.diff(r, prepend=-1)))
+                    order = np.argsort(p, kind="stable")
+                    starts = np.flatnonzero(np.diff(p[order], prepend=-1))
+                    among = np.cumsum(np.diff(r, prepend=r[0]) > 0)
+                    total[p[order[starts]]] += _added_up((y[among] * w)[order], starts)
             task = TaskContext.get().partitionId()
             for k, lo in enumerate(range(0, len(total), TERMS)):
                 yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([k], pa.int32()), pa.array([total[lo : lo + TERMS].tobytes()], pa.binary())], names=["task", "block", "part"])
@@ -203,9 +244,38 @@ def lsa_fit(chunks: DataFrame, dims: int = 256, min_df: int = 2, most_terms: int
 
 
 def lsa_encode(chunks: DataFrame, model: LatentModel, key: tuple[str, ...] = ("file_path", "chunk_index")) -> DataFrame:
-    """key and v, of length one; chunks without a known term have none. The terms' factors are a bounded table, joined to the terms."""
-    spark, cols = chunks.sparkSession, list(key)
-    table = spark.createDataFrame([(t, [float(w * x) for x in f]) for t, w, f in zip(model.terms, model.idf, model.factors, strict=True)], "term string, f array<double>")
-    found = _term_counts(chunks, cols).join(table, "term").select(*cols, F.posexplode(F.transform("f", lambda y: y * F.col("x"))).alias("i", "x"))
-    sums = found.groupBy(*cols, "i").agg(F.sum("x").alias("x"))
-    return sums.groupBy(*cols).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")).select(*cols, V.unit(F.col("c.x")).alias("v"))
+    """key and v, of length one; chunks without a known term have none. The terms' factors are bounded and broadcast; each chunk's are added up where it is."""
+    cols = list(key)
+    known = chunks.sparkSession.sparkContext.broadcast((pa.array(model.terms, pa.string()), model.idf, model.factors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf, factors = known.value
+        for t, of in B.whole(batches, cols):
+            chunk, place, x = _weighed(t, of, terms, idf)
+            starts = np.flatnonzero(np.diff(chunk, prepend=-1))
+            if not len(starts):
+                continue
+            out = np.zeros((len(starts), factors.shape[1]))
+            size = max(1, ENTRIES // max(1, factors.shape[1]))
+            among = np.cumsum(np.diff(chunk, prepend=chunk[0]) > 0)
+            for lo in range(0, len(chunk), size):
+                own = slice(lo, lo + size)
+                first = np.flatnonzero(np.diff(among[own], prepend=-1))
+                out[among[own][first]] += _added_up(factors[place[own]] * x[own, None], first)
+            length = np.sqrt((out * out).sum(1, keepdims=True))
+            out = np.divide(out, length, out=out, where=length > 0)
+            held = t.select(cols).take(pa.array(np.searchsorted(of, chunk[starts]))).combine_chunks()
+            v = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * factors.shape[1], pa.int32()), pa.array(out.reshape(-1)))
+            yield from pa.table([*held.columns, v], names=[*cols, "v"]).combine_chunks().to_batches()
+
+    words = _words(chunks, cols)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema if f.name != "w")
+    return words.mapInArrow(run, f"{kept}, v array<double>")
+
+
+def _weighed(t: pa.Table, of: np.ndarray, terms: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunk, place in the vocabulary and weight (1 + ln(tf)) * idf of the terms of whole chunks that the vocabulary has."""
+    chunk, code, x, own = _term_counts(t, of)
+    place = pc.index_in(own, value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)[code]
+    stays = place >= 0
+    return chunk[stays], place[stays], x[stays] * idf[place[stays]]
