@@ -25,6 +25,8 @@ from pyspark.sql.window import Window
 SAMPLE, LISTS = 50_000, 4096
 #: Rows of a part of a list, and queries of a block.
 PART, QUERIES = 16_384, 1024
+#: Numbers in one product of a task.
+CELLS = 1 << 20
 ROUNDS = 12
 _HITS = "query_id long, vec_id long, similarity double"
 
@@ -125,9 +127,7 @@ class VectorIndex:
         c = self.spark.sparkContext.broadcast(held)
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            for b in _sliced(batches, len(c.value)):
                 s = _matrix(b.column(1)) @ c.value.T
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s.argmax(1).astype(np.int32)), pa.array(s.max(1))], ["vec_id", "v", "list", "similarity"])
 
@@ -221,12 +221,20 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Batches of so few rows that their products, of `width` numbers a row, have at most CELLS."""
+    step = max(1, CELLS // max(1, width))
+    for b in batches:
+        for lo in range(0, b.num_rows, step):
+            yield b.slice(lo, step)
+
+
 def _probes(own, probes: int):
     """Each query with each of the lists of its nearest centroids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids, lists, _ = own.value
-        for b in batches:
+        for b in _sliced(batches, len(centroids) + min(probes, len(centroids)) * centroids.shape[1]):
             near = np.argsort(-(_matrix(b.column(1)) @ centroids.T), axis=1, kind="stable")[:, :probes]
             yield _pairs(b, np.repeat(np.arange(len(near)), near.shape[1]), lists[near.reshape(-1)])
 
@@ -238,7 +246,7 @@ def _others(own, probes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids, lists, width = own.value
-        for b in batches:
+        for b in _sliced(batches, len(centroids) * (1 + centroids.shape[1])):
             s = _matrix(b.column(1)) @ centroids.T
             bound = np.cos(np.maximum(0, np.arccos(np.clip(s, -1, 1)) - width))
             worst = b.column(2).fill_null(-2.0).to_numpy(zero_copy_only=False)

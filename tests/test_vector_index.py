@@ -95,3 +95,15 @@ def test_nothing(spark, tmp_path):
     assert not index.search(spark.createDataFrame([(1, [1.0])], "query_id long, v array<double>"), exact=True).count()
     with pytest.raises(ValueError):
         I.VectorIndex.build(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, v array<double>"), str(tmp_path / "j"))
+
+
+def test_products_are_bounded(monkeypatch):
+    """No product of a task has more numbers than CELLS, whatever a batch holds; before, a batch of 10,000 rows met all centroids at once."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(I, "CELLS", 100)
+    b = pa.RecordBatch.from_arrays([pa.array(range(23))], ["i"])
+    parts = list(I._sliced(iter([b]), 30))
+    assert [p.num_rows for p in parts] == [3] * 7 + [2]
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(23))
+    assert [p.num_rows for p in I._sliced(iter([b]), 1000)] == [1] * 23
