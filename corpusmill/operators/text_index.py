@@ -14,16 +14,21 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import groups as B
 from ..functions import text as X
 from .fulltext import Query, plain_words
 
 BUCKETS = 64
 #: Files that one bucket's postings are spread over while they are written, by document.
 SPREAD = 8
+#: Pairs of a document and a segment whose postings are void, up to which they are broadcast.
+VOID = 1_000_000
 #: Fixed value: the weight of a plain word in a cover-density rank.
 WEIGHT = 0.1
 _POSTINGS = "term string, doc string, positions array<int>, seg int, bucket int"
@@ -45,16 +50,12 @@ class TextIndex:
 
     def put(self, changes: DataFrame, number: int) -> None:
         """changes: doc, at, content; of several rows of a document the latest counts, a null content deletes it. number: a batch's own, higher for later ones."""
-        last = changes.groupBy(F.col("doc").cast("string").alias("doc")).agg(F.max(F.struct("at", F.col("content").isNotNull().alias("kept"), "content")).alias("c"))
-        words = last.where("doc is not null").select("doc", F.when(F.col("c.kept"), self.tokens(F.col("c.content"))).alias("t"))
-        self._write(words.select("doc", F.posexplode("t").alias("position", "term")).where("term is not null"), words.select("doc", F.when(F.col("t").isNotNull(), F.size("t")).alias("length")), number)
+        rows = changes.select(F.col("doc").cast("string").alias("doc"), "at", F.col("content").isNotNull().alias("kept"), "content").where("doc is not null")
+        words = B.gathered(rows, ["doc"], ["at", "kept", "content"]).select("doc", "kept", self.tokens(F.col("content")).alias("t"))
+        self._write_postings(words.mapInArrow(_placed, "term string, doc string, positions array<int>"), number)
+        words.mapInArrow(_sized, "doc string, length int").write.mode("overwrite").parquet(f"{self.path}/docs/seg={number}")
         self._commit(number, [])
 
-    def _write(self, words: DataFrame, docs: DataFrame, number: int) -> None:
-        grouped = words.groupBy("doc", "term").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-        self._write_postings(grouped, number)
-        docs.write.mode("overwrite").parquet(f"{self.path}/docs/seg={number}")
-
     def _write_postings(self, postings: DataFrame, number: int) -> None:
         bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
         placed = postings.select("term", "doc", "positions", bucket.alias("bucket"), F.pmod(F.xxhash64("doc"), F.lit(SPREAD)).alias("spread"))
@@ -86,21 +87,31 @@ class TextIndex:
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """term, doc, positions, length of live documents, of the terms only if they are given."""
+        return self._live_postings(terms).join(self.live().select("doc", "length"), "doc").select("term", "doc", "positions", "length")
+
+    def _live_postings(self, terms: list[str] | None = None) -> DataFrame:
+        """term, doc, positions. Where several segments count, postings of documents with a newer one are left out; up to VOID of these are broadcast, so postings stay where they are."""
         own = self.segments()
         if not own:
-            return self.spark.createDataFrame([], "term string, doc string, positions array<int>, length int")
+            return self.spark.createDataFrame([], "term string, doc string, positions array<int>")
         rows = self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings").where(F.col("seg").isin(own))
         if terms is not None:
             at = self.spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
             rows = rows.where(F.col("bucket").isin([r[0] for r in at.distinct().collect()]) & F.col("term").isin(terms))
-        return rows.join(self.live(), ["doc", "seg"]).select("term", "doc", "positions", "length")
+        if len(own) > 1:
+            docs = self.spark.read.schema(_DOCS).parquet(f"{self.path}/docs").where(F.col("seg").isin(own))
+            newest = docs.groupBy("doc").agg(F.collect_set("seg").alias("segs"), F.max("seg").alias("newest")).where(F.size("segs") > 1)
+            void = newest.select("doc", F.explode(F.filter("segs", lambda s: s != F.col("newest"))).alias("seg"))
+            few = void.limit(VOID + 1).count() <= VOID
+            rows = rows.join(F.broadcast(void) if few else void, ["doc", "seg"], "left_anti")
+        return rows.select("term", "doc", "positions")
 
     def merge(self, number: int) -> None:
         """All live postings as one segment of that number, which replaces those there are."""
         own, live = self.segments(), self.live()
         if not own or max(own) >= number:
             raise ValueError(f"a merge needs a number over {own}")
-        self._write_postings(self.postings().drop("length"), number)
+        self._write_postings(self._live_postings(), number)
         live.select("doc", "length").write.mode("overwrite").parquet(f"{self.path}/docs/seg={number}")
         self._commit(number, own)
 
@@ -122,11 +133,39 @@ class TextIndex:
         terms = sorted({w for g in [*q.groups, q.excluded] for unit in g for w in unit if w is not None})
         if not q.groups:
             return self.spark.createDataFrame([], "doc string, rank double, covers int")
-        found = self.postings(terms).groupBy("doc").agg(F.collect_list(F.struct("term", "positions")).alias("found"))
+        found = self._live_postings(terms).groupBy("doc").agg(F.collect_list(F.struct("term", "positions")).alias("found"))
         out = found.mapInArrow(_ranks(q), "doc string, rank double, covers int").orderBy(F.desc("rank"), "doc")
         return out if limit is None else out.limit(limit)
 
 
+def _latest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Of each document the row that comes last."""
+    for t, of in B.whole(batches, ["doc"]):
+        yield t.take(pa.array(np.flatnonzero(np.diff(of, append=of[-1] + 1)))).combine_chunks()
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, doc, positions of documents that are kept."""
+    for t in _latest(batches):
+        t = t.filter(t["kept"]).combine_chunks()
+        if not len(t):
+            continue
+        row, place, code, terms = B.coded(t["t"])
+        word = code >= 0
+        row, place, code = row[word], place[word], code[word]
+        order, starts = B.runs(row, code)
+        at, ends = order[starts], pa.array(np.append(starts, len(order)), pa.int32())
+        positions = pa.ListArray.from_arrays(ends, pa.array(place[order], pa.int32()))
+        yield from pa.table([terms.take(pa.array(code[at])), t["doc"].take(pa.array(row[at])), positions], names=["term", "doc", "positions"]).combine_chunks().to_batches()
+
+
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, length: words of documents that are kept, null for others."""
+    for t in _latest(batches):
+        length = pc.if_else(t["kept"], pc.list_value_length(t["t"]), pa.scalar(None, pa.int32()))
+        yield from pa.table([t["doc"], length], names=["doc", "length"]).combine_chunks().to_batches()
+
+
 def _ranks(query: Query):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -217,4 +256,4 @@ def fragment(text: Column, words: list[str], start: str = ">>>", stop: str = "<<
 
 def documents_of(index: TextIndex) -> DataFrame:
     """One row a live term: documents that hold it and its occurrences."""
-    return index.postings().groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.size("positions")).alias("occurrences"))
+    return index._live_postings().groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.size("positions")).alias("occurrences"))

@@ -160,3 +160,14 @@ def test_fragments_of_long_texts_are_read_once(spark):
     got = dict(rows.select("i", T.fragment(T.F.col("t"), ["red", "of"], "<", ">")).collect())
     assert time.monotonic() - began < 30
     assert got == {1: "<red> " + "stone " * 18 + "<of>", 2: " ".join(["<red>"] * 20)}
+
+
+def test_postings_of_one_segment_are_not_joined(spark, tmp_path):
+    """Nothing in a lone segment is void, so its postings are not shuffled by document; void ones of several segments are broadcast."""
+    index = T.TextIndex(spark, str(tmp_path / "i"))
+    plan = lambda: T.documents_of(index)._jdf.queryExecution().executedPlan().toString()
+    index.put(changes(spark, {"a": "red", "b": "blue"}), 0)
+    assert "Join" not in plan()
+    index.put(changes(spark, {"a": None}), 1)
+    assert "BroadcastHashJoin" in plan() and "SortMergeJoin" not in plan()
+    assert [tuple(r) for r in T.documents_of(index).collect()] == [("blue", 1, 1)]
