@@ -4,11 +4,15 @@ Each session has a turn counter; for each node the counts of its matches in pool
 (what the model wrote), the turn of its last match, how often it was shown and when last; and snapshots of the counts. A turn updates the nodes
 that it matches, ranks them, shows the best over the turn's threshold and counts them as shown. A node that is shown more often than it
 matches sinks. Every INTERVAL turns the counts are compared with the snapshot of INTERVAL turns ago.
-A turn reads and writes the state of its own nodes only; all nodes are read when a snapshot is due.
+A session's state is one value, read once and written once a batch, whatever the number of its turns and nodes in that batch: a call for each node
+costs far more than its count. Nodes have places in order of arrival, each count is a column over the places, and a snapshot is
+the first two columns as they were, so that a node is known to it if its place lies within.
 """
 
 from __future__ import annotations
 
+import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -18,7 +22,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: Nodes shown a turn, turns between snapshots, the threshold's limit, weights of (both, A, B).
 SHOWN, INTERVAL, LIMIT, WEIGHTS = 8, 10, 0.4, (3.0, 2.0, 1.0)
 EVENTS = "session string, turn int, event string, node string, score double, rank int, pool string"
-_COUNTS = "a int, b int, last int, shown int, last_shown int"
+#: A session's state: binaries are columns of 32-bit integers, counts has those of Counts, snapshots two (a, b) for each turn in taken.
+STATE = "turn int, nodes array<string>, counts array<binary>, taken array<int>, snapshots array<binary>"
+#: Rows after which a session's events leave for the next operator.
+ROWS = 10_000
 Counts = tuple[int, int, int, int, int]
 
 
@@ -44,70 +51,90 @@ def change(now: Counts, before: tuple[int, int], turn: int, interval: int = INTE
     return "faded" if (pa > 0 or pb > 0) and last < turn - interval else None
 
 
+class Session:
+    """The ranking of one session; of its snapshots those of turn 0, the last and the one before stay."""
+
+    def __init__(self, kept: tuple | None = None):
+        turn, nodes, counts, taken, snapshots = kept or (0, [], [b""] * 5, [], [])
+        columns = [_column(c) for c in snapshots]
+        self.turn, self.places, self.counts = turn, {n: i for i, n in enumerate(nodes)}, [_column(c) for c in counts]
+        self.snapshots = dict(zip(taken, zip(columns[::2], columns[1::2], strict=True), strict=True))
+
+    def kept(self) -> tuple:
+        return self.turn, list(self.places), [c.tobytes() for c in self.counts], list(self.snapshots), [c.tobytes() for pair in self.snapshots.values() for c in pair]
+
+    def take(self, a: list[str], b: list[str], top: int, interval: int) -> Iterator[tuple]:
+        """The events of the next turn: (event, node, score, rank, pool)."""
+        self.turn += 1
+        turn, in_a, in_b, scores = self.turn, set(a), set(b), {}
+        count_a, count_b, last, shown, last_shown = self.counts
+        at = {n: self.places.setdefault(n, len(self.places)) for n in [*b, *a]}  # of equal scores, pool B's nodes come first
+        for column in self.counts:
+            column.frombytes(bytes(column.itemsize * (len(self.places) - len(column))))
+        for node, i in at.items():
+            count_a[i] += node in in_a
+            count_b[i] += node in in_b
+            last[i] = turn
+            scores[node] = score((count_a[i], count_b[i], turn, shown[i], last_shown[i]), turn)
+        limit = threshold(turn)
+        best = [n for n in heapq.nlargest(top, scores, key=scores.__getitem__) if scores[n] >= limit]
+        for rank, node in enumerate(best, 1):
+            pool = "A+B" if node in in_a and node in in_b else "A" if node in in_a else "B"
+            yield "shown", node, scores[node], rank, pool
+            shown[at[node]] += 1
+            last_shown[at[node]] = turn
+        if turn == 1:
+            self._snapshot(0)
+        if interval > 0 and turn % interval == 0:
+            yield from self._delta(interval)
+
+    def _snapshot(self, at: int) -> None:
+        self.snapshots[at] = (self.counts[0][:], self.counts[1][:])
+
+    def _delta(self, interval: int) -> Iterator[tuple]:
+        turn, before = self.turn, self.turn - interval
+        old_a, old_b = self.snapshots.get(before, ((), ()))
+        for i, (node, now) in enumerate(zip(self.places, zip(*self.counts, strict=True), strict=True)):
+            kind = change(now, (old_a[i], old_b[i]) if i < len(old_a) else (0, 0), turn, interval)
+            if kind:
+                yield kind, node, None, None, None
+        self._snapshot(turn)
+        self.snapshots = {t: s for t, s in self.snapshots.items() if t in (0, before, turn)}
+
+
 class Ranker(StatefulProcessor):
-    """State: `turn`; `nodes` by node; `snapshots` by (turn, node), of which those of turn 0, the last and the one before stay."""
+    """State: `ranking`, one value a session."""
 
     def __init__(self, ttl_ms: int | None = None, shown: int = SHOWN, interval: int = INTERVAL):
         self.ttl_ms, self.shown, self.interval = ttl_ms, shown, interval
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.turn = handle.getValueState("turn", "turn int, taken string", self.ttl_ms)
-        self.nodes = handle.getMapState("nodes", "node string", _COUNTS, self.ttl_ms)
-        self.snapshots = handle.getMapState("snapshots", "taken int, node string", "a int, b int", self.ttl_ms)
+        self.ranking = handle.getValueState("ranking", STATE, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterable[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        turns = pd.concat(list(rows)).sort_values("at", kind="stable")
-        turn, kept = (0, "") if not self.turn.exists() else self.turn.get()
-        taken = [int(t) for t in kept.split(",") if t]
-        out: list[tuple] = []
-        for a, b in zip(turns["a"], turns["b"], strict=True):
-            turn += 1
-            out += [(key[0], turn, *e) for e in self._turn(turn, _pool(a), _pool(b), taken)]
-        self.turn.update((turn, ",".join(map(str, taken))))
-        yield pd.DataFrame(out, columns=["session", "turn", "event", "node", "score", "rank", "pool"]).astype({"rank": "Int32", "turn": "int32"})
-
-    def _turn(self, turn: int, a: list[str], b: list[str], taken: list[int]) -> Iterator[tuple]:
-        in_a, in_b, counts = set(a), set(b), {}
-        for node in dict.fromkeys([*b, *a]):  # of equal scores, pool B's nodes come first
-            old = self.nodes.getValue((node,)) if self.nodes.containsKey((node,)) else (0, 0, 0, 0, 0)
-            counts[node] = (old[0] + (node in in_a), old[1] + (node in in_b), turn, old[3], old[4])
-        ranked = sorted(counts, key=lambda n: score(counts[n], turn), reverse=True)
-        best = [n for n in ranked if score(counts[n], turn) >= threshold(turn)][: self.shown]
-        for rank, node in enumerate(best, 1):
-            pool = "A+B" if node in in_a and node in in_b else "A" if node in in_a else "B"
-            yield "shown", node, score(counts[node], turn), rank, pool
-        for node in best:
-            ca, cb, last, shown, _ = counts[node]
-            counts[node] = (ca, cb, last, shown + 1, turn)
-        for node, c in counts.items():
-            self.nodes.updateValue((node,), c)
-        if turn == 1:
-            self._snapshot(0, taken)
-        if self.interval > 0 and turn % self.interval == 0:
-            yield from self._delta(turn, taken)
-
-    def _snapshot(self, at: int, taken: list[int]) -> None:
-        for (node,), (a, b, *_) in list(self.nodes.iterator()):
-            self.snapshots.updateValue((at, node), (a, b))
-        taken.append(at)
-
-    def _delta(self, turn: int, taken: list[int]) -> Iterator[tuple]:
-        before = turn - self.interval
-        for (node,), now in sorted(self.nodes.iterator()):
-            known = before in taken and self.snapshots.containsKey((before, node))
-            kind = change(now, tuple(self.snapshots.getValue((before, node))) if known else (0, 0), turn, self.interval)
-            if kind:
-                yield kind, node, None, None, None
-        self._snapshot(turn, taken)
-        for old in [t for t in taken if t not in (0, before, turn)]:
-            for taken_at, node in [k for k in self.snapshots.keys() if k[0] == old]:
-                self.snapshots.removeKey((taken_at, node))
-            taken.remove(old)
+        turns = [t for frame in rows for t in zip(frame["at"], frame["a"], frame["b"], strict=True)]
+        session, out = Session(self.ranking.get()), []
+        for _, a, b in sorted(turns, key=lambda t: (1, 0) if pd.isna(t[0]) else (0, t[0])):
+            events = session.take(_pool(a), _pool(b), self.shown, self.interval)
+            out += [(key[0], session.turn, *e) for e in events]
+            if len(out) >= ROWS:
+                yield _events(out)
+                out = []
+        self.ranking.update(session.kept())
+        yield _events(out)
 
     def close(self) -> None:
         pass
 
 
+def _column(data: bytes) -> array:
+    return array("i", bytes(data))
+
+
+def _events(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["session", "turn", "event", "node", "score", "rank", "pool"], dtype=object)
+
+
 def _pool(nodes) -> list[str]:
     """A pool's nodes without nulls and repeats, in order; a null pool has none."""
     return [] if nodes is None else list(dict.fromkeys(n for n in nodes if n is not None))

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from corpusmill.streaming import ranking as R
@@ -121,3 +122,65 @@ def test_score_rules():
     assert R.score((1, 1, 3, 1, 3), 3) == R.score((1, 1, 3, 0, 0), 3)
     limits = [R.threshold(t) for t in range(1, 1001)]
     assert limits[0] == 0 and limits == sorted(limits) and 0.399 < limits[-1] < 0.4
+
+
+class Kept:
+    """One session's state by name, as a handle gives it; counts the calls."""
+
+    def __init__(self):
+        self.values, self.calls = {}, 0
+
+    def _variable(self, name, *_):
+        kept, held = self, self.values.setdefault(name, {})
+
+        class Variable:
+            def __getattribute__(self, method):
+                def call(*args):
+                    kept.calls += 1
+                    if method in ("update", "updateValue"):
+                        held[args[0] if len(args) > 1 else None] = args[-1]
+                    elif method == "removeKey":
+                        del held[args[0]]
+                    elif method in ("iterator", "keys"):
+                        return iter(list(held.items() if method == "iterator" else held))
+                    else:
+                        key = args[0] if args else None
+                        return key in held if method in ("exists", "containsKey") else held.get(key)
+
+                return call
+
+        return Variable()
+
+    getValueState = getMapState = _variable
+
+    def batch(self, turns, session="s0", **options):
+        """The events of a batch of (at, a, b), by a new processor as in a new run."""
+        ranker = R.Ranker(**options)
+        ranker.init(self)
+        frame = pd.DataFrame(turns, columns=["at", "a", "b"])
+        out = pd.concat(ranker.handleInputRows((session,), iter([frame]), None))
+        return [(t[0], int(t[1]), t[2], t[3], None if pd.isna(t[4]) else round(t[4], 9), None if pd.isna(t[5]) else int(t[5]), t[6]) for t in out.itertuples(index=False)]
+
+
+def test_state_calls_do_not_grow_with_turns_and_nodes():
+    calls = []
+    for turns, nodes in ((1, 1), (3, 40), (25, 400)):
+        kept = Kept()
+        for k in range(2):
+            kept.batch([(k * turns + t, [f"n{i}" for i in range(nodes)], [f"n{i}" for i in range(t, nodes, 2)]) for t in range(turns)])
+        calls.append(kept.calls)
+    assert calls == [calls[0]] * 3
+
+
+def test_a_batch_for_each_turn_equals_replay():
+    rows = made_up(4, 1, 60)
+    want, _ = replay(rows)
+    kept = Kept()
+    same([e for _, *turn in rows for e in kept.batch([turn])], want)
+    assert {e[2] for e in want} == {"shown", "new_ab", "promoted", "b_persistent", "faded"}
+
+
+def test_events_leave_in_parts(monkeypatch):
+    rows = made_up(5, 1, 60)
+    monkeypatch.setattr(R, "ROWS", 7)
+    same(Kept().batch([turn for _, *turn in reversed(rows)]), replay(rows)[0])
