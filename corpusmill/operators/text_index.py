@@ -1,11 +1,13 @@
 """A positional inverted index that is maintained by segments, and cover-density ranks over it.
 
-Each batch of changes is a segment: the postings (term, doc, positions) of its documents, and a list of the documents it holds or
+Each batch of changes is a segment: the postings (term, document's number, positions) of its documents, and a list of the documents it holds or
 deletes. A document's newest segment counts, so an update or a deletion makes older postings void without touching them. A segment counts only once
 its commit record is written, which comes last, so an interrupted write changes nothing; a batch that is run again replaces its own segment. merge()
 writes what is live as one segment whose record replaces the others.
 
-Postings are partitioned by a hash of the term, so a search reads the buckets of its own terms.
+Postings outweigh the texts, so they are written by the task that cuts the texts and are never shuffled. A file holds the documents of a task, each slice of
+them sorted by term (after a merge the whole file): a search opens every file, and Parquet's page statistics let it skip pages of other terms. Documents are
+rows without a term in the same files, so one pass over the texts gives both. A document's number is its batch and a number given by its task, and stays its own through merges.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,15 +27,15 @@ from ..functions import groups as B
 from ..functions import text as X
 from .fulltext import Query, plain_words
 
-BUCKETS = 64
-#: Files that one bucket's postings are spread over while they are written, by document.
-SPREAD = 8
-#: Pairs of a document and a segment whose postings are void, up to which they are broadcast.
-VOID = 1_000_000
+#: Documents that are changed more than once in a batch, and documents whose postings are void, up to which they are broadcast.
+FEW = 1_000_000
+#: Rows of a page, the least that a search reads of a file with its term.
+PAGE = 4_000
+#: Bytes of a column's different values up to which Parquet writes their codes: the terms and documents of one file.
+DICTIONARY = 16 << 20
 #: Fixed value: the weight of a plain word in a cover-density rank.
 WEIGHT = 0.1
-_POSTINGS = "term string, doc string, positions array<int>, seg int, bucket int"
-_DOCS = "doc string, length int, seg int"
+_ROWS = "term string, doc string, length int, id bigint, positions array<int>"
 _COMMITS = "number int, replaces array<int>, seg int"
 
 
@@ -51,16 +54,31 @@ class TextIndex:
     def put(self, changes: DataFrame, number: int) -> None:
         """changes: doc, at, content; of several rows of a document the latest counts, a null content deletes it. number: a batch's own, higher for later ones."""
         rows = changes.select(F.col("doc").cast("string").alias("doc"), "at", F.col("content").isNotNull().alias("kept"), "content").where("doc is not null")
-        words = B.gathered(rows, ["doc"], ["at", "kept", "content"]).select("doc", "kept", self.tokens(F.col("content")).alias("t"))
-        self._write_postings(words.mapInArrow(_placed, "term string, doc string, positions array<int>"), number)
-        words.mapInArrow(_sized, "doc string, length int").write.mode("overwrite").parquet(f"{self.path}/docs/seg={number}")
+        words = self._settled(rows).select("doc", "kept", self.tokens(F.col("content")).alias("t"))
+        self._write(words.mapInArrow(_placed, _ROWS).withColumn("origin", F.lit(number)), number)
         self._commit(number, [])
 
-    def _write_postings(self, postings: DataFrame, number: int) -> None:
-        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-        placed = postings.select("term", "doc", "positions", bucket.alias("bucket"), F.pmod(F.xxhash64("doc"), F.lit(SPREAD)).alias("spread"))
-        sorted_ = placed.repartition("bucket", "spread").drop("spread").sortWithinPartitions("bucket", "term", "doc")
-        sorted_.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/seg={number}")
+    def _settled(self, rows: DataFrame) -> DataFrame:
+        """rows, those of one document in one task and in order. Texts of documents with a row each stay where they are, unless fewer tasks than there are cores hold them."""
+        seen = rows.select("doc", F.spark_partition_id().alias("task")).groupBy("doc").agg(F.count("*").alias("n"), F.min("task").alias("task"))
+        at = seen.agg(F.count_if(F.col("n") > 1).alias("again"), F.count_distinct("task").alias("tasks")).first()
+        gathered = lambda r: B.gathered(r, ["doc"], ["at", "kept", "content"])
+        if at["again"] > FEW or at["tasks"] < self.spark.sparkContext.defaultParallelism:
+            return gathered(rows)
+        if not at["again"]:
+            return rows
+        again = F.broadcast(seen.where("n > 1").select("doc"))
+        return rows.join(again, "doc", "left_anti").unionByName(gathered(rows.join(again, "doc", "left_semi")))
+
+    def _write(self, rows: DataFrame, number: int) -> None:
+        out = rows.select("term", "doc", "length", "origin", "id", "positions").write.mode("overwrite").option("compression", "zstd")
+        out.options(**{"parquet.page.row.count.limit": PAGE, "parquet.dictionary.page.size": DICTIONARY}).parquet(f"{self.path}/rows/seg={number}")
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema(f"{_ROWS}, origin int, seg int").parquet(f"{self.path}/rows").where(F.col("seg").isin(self.segments()))
+
+    def _docs(self) -> DataFrame:
+        return self._rows().where("term is null").select("doc", "length", "origin", "id", "seg")
 
     def _commit(self, number: int, replaces: list[int]) -> None:
         self.spark.createDataFrame([(number, replaces)], "number int, replaces array<int>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/seg={number}")
@@ -77,42 +95,37 @@ class TextIndex:
         return sorted(r["number"] for r in rows if r["number"] not in gone)
 
     def live(self) -> DataFrame:
-        """doc, seg, length: the newest segment of each document that is not deleted there."""
-        own = self.segments()
-        if not own:
-            return self.spark.createDataFrame([], "doc string, seg int, length int")
-        docs = self.spark.read.schema(_DOCS).parquet(f"{self.path}/docs").where(F.col("seg").isin(own))
-        newest = docs.groupBy("doc").agg(F.max(F.struct("seg", "length")).alias("n"))
-        return newest.select("doc", "n.seg", "n.length").where("length is not null")
+        """doc, seg, length, and the document's number (origin, id): the newest segment of each document that is not deleted there."""
+        if not self.segments():
+            return self.spark.createDataFrame([], "doc string, seg int, length int, origin int, id bigint")
+        newest = self._docs().groupBy("doc").agg(F.max(F.struct("seg", "length", "origin", "id")).alias("n"))
+        return newest.select("doc", "n.*").where("length is not null")
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """term, doc, positions, length of live documents, of the terms only if they are given."""
-        return self._live_postings(terms).join(self.live().select("doc", "length"), "doc").select("term", "doc", "positions", "length")
+        return self._live_postings(terms).join(self.live().select("doc", "length", "origin", "id"), ["origin", "id"]).select("term", "doc", "positions", "length")
 
     def _live_postings(self, terms: list[str] | None = None) -> DataFrame:
-        """term, doc, positions. Where several segments count, postings of documents with a newer one are left out; up to VOID of these are broadcast, so postings stay where they are."""
+        """term, origin, id, positions. Where several segments count, postings of documents with a newer one are left out."""
         own = self.segments()
         if not own:
-            return self.spark.createDataFrame([], "term string, doc string, positions array<int>")
-        rows = self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings").where(F.col("seg").isin(own))
-        if terms is not None:
-            at = self.spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-            rows = rows.where(F.col("bucket").isin([r[0] for r in at.distinct().collect()]) & F.col("term").isin(terms))
+            return self.spark.createDataFrame([], "term string, origin int, id bigint, positions array<int>")
+        rows = self._rows().where("term is not null" if terms is None else F.col("term").isin(terms))
         if len(own) > 1:
-            docs = self.spark.read.schema(_DOCS).parquet(f"{self.path}/docs").where(F.col("seg").isin(own))
-            newest = docs.groupBy("doc").agg(F.collect_set("seg").alias("segs"), F.max("seg").alias("newest")).where(F.size("segs") > 1)
-            void = newest.select("doc", F.explode(F.filter("segs", lambda s: s != F.col("newest"))).alias("seg"))
-            few = void.limit(VOID + 1).count() <= VOID
-            rows = rows.join(F.broadcast(void) if few else void, ["doc", "seg"], "left_anti")
-        return rows.select("term", "doc", "positions")
+            held = F.struct("seg", "origin", "id")
+            old = self._docs().groupBy("doc").agg(F.collect_list(held).alias("all"), F.max(held).alias("newest")).where(F.size("all") > 1)
+            void = old.select(F.explode(F.filter("all", lambda d: d != F.col("newest"))).alias("d")).select("d.origin", "d.id")
+            few = void.limit(FEW + 1).count() <= FEW
+            rows = rows.join(F.broadcast(void) if few else void, ["origin", "id"], "left_anti")
+        return rows.select("term", "origin", "id", "positions")
 
     def merge(self, number: int) -> None:
         """All live postings as one segment of that number, which replaces those there are."""
-        own, live = self.segments(), self.live()
+        own = self.segments()
         if not own or max(own) >= number:
             raise ValueError(f"a merge needs a number over {own}")
-        self._write_postings(self._live_postings(), number)
-        live.select("doc", "length").write.mode("overwrite").parquet(f"{self.path}/docs/seg={number}")
+        rows = self._live_postings().unionByName(self.live().drop("seg"), allowMissingColumns=True)
+        self._write(rows.sortWithinPartitions("term", "origin", "id"), number)
         self._commit(number, own)
 
     def follow(self, stream: DataFrame, checkpoint: str, merge_every: int = 0) -> None:
@@ -133,8 +146,9 @@ class TextIndex:
         terms = sorted({w for g in [*q.groups, q.excluded] for unit in g for w in unit if w is not None})
         if not q.groups:
             return self.spark.createDataFrame([], "doc string, rank double, covers int")
-        found = self._live_postings(terms).groupBy("doc").agg(F.collect_list(F.struct("term", "positions")).alias("found"))
-        out = found.mapInArrow(_ranks(q), "doc string, rank double, covers int").orderBy(F.desc("rank"), "doc")
+        found = self._live_postings(terms).groupBy("origin", "id").agg(F.collect_list(F.struct("term", "positions")).alias("found"))
+        ranked = found.mapInArrow(_ranks(q), "origin int, id bigint, rank double, covers int")
+        out = ranked.join(self.live(), ["origin", "id"]).select("doc", "rank", "covers").orderBy(F.desc("rank"), "doc")
         return out if limit is None else out.limit(limit)
 
 
@@ -145,39 +159,41 @@ def _latest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """term, doc, positions of documents that are kept."""
+    """Of each document a row with its number and length (null, if it is deleted), and a row for each of its terms, those of a slice in order of terms."""
+    names, given = _ROWS.replace(",", "").split()[::2], TaskContext.get().partitionId() << 32
+
+    def out(n: int, **columns: pa.Array) -> list[pa.RecordBatch]:
+        kinds = {"term": pa.string(), "doc": pa.string(), "length": pa.int32(), "id": pa.int64(), "positions": pa.list_(pa.int32())}
+        return pa.table([columns.get(k, pa.nulls(n, kinds[k])) for k in names], names=names).combine_chunks().to_batches()
+
     for t in _latest(batches):
-        t = t.filter(t["kept"]).combine_chunks()
-        if not len(t):
-            continue
-        row, place, code, terms = B.coded(t["t"])
+        ids = np.arange(given, given + len(t))
+        given += len(t)
+        length = pc.if_else(t["kept"], pc.list_value_length(t["t"]), pa.scalar(None, pa.int32()))
+        yield from out(len(t), doc=t["doc"], length=length, id=pa.array(ids))
+        kept = t["kept"].to_numpy()
+        row, place, code, terms = B.coded(t.filter(t["kept"])["t"])
         word = code >= 0
         row, place, code = row[word], place[word], code[word]
-        order, starts = B.runs(row, code)
+        order, starts = B.runs(code, row)
         at, ends = order[starts], pa.array(np.append(starts, len(order)), pa.int32())
         positions = pa.ListArray.from_arrays(ends, pa.array(place[order], pa.int32()))
-        yield from pa.table([terms.take(pa.array(code[at])), t["doc"].take(pa.array(row[at])), positions], names=["term", "doc", "positions"]).combine_chunks().to_batches()
-
-
-def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, length: words of documents that are kept, null for others."""
-    for t in _latest(batches):
-        length = pc.if_else(t["kept"], pc.list_value_length(t["t"]), pa.scalar(None, pa.int32()))
-        yield from pa.table([t["doc"], length], names=["doc", "length"]).combine_chunks().to_batches()
+        yield from out(len(at), term=terms.take(pa.array(code[at])), id=pa.array(ids[kept][row[at]]), positions=positions)
 
 
 def _ranks(query: Query):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for k, found in enumerate(b.column(2).to_pylist()):
                 places = {f["term"]: f["positions"] for f in found}
                 if not any(occurrences(unit, places) for unit in query.excluded):
                     held = covers(query.groups, places)
                     if held:
-                        out.append((doc, density(held, query.groups, places), len(held)))
-            docs, ranks, n = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(ranks, pa.float64()), pa.array(n, pa.int32())], ["doc", "rank", "covers"])
+                        out.append((k, density(held, query.groups, places), len(held)))
+            rows, ranks, n = zip(*out, strict=True) if out else ((), (), ())
+            own = b.select(["origin", "id"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(ranks, pa.float64()), pa.array(n, pa.int32())], ["origin", "id", "rank", "covers"])
 
     return run
 

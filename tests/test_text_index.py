@@ -171,3 +171,52 @@ def test_postings_of_one_segment_are_not_joined(spark, tmp_path):
     index.put(changes(spark, {"a": None}), 1)
     assert "BroadcastHashJoin" in plan() and "SortMergeJoin" not in plan()
     assert [tuple(r) for r in T.documents_of(index).collect()] == [("blue", 1, 1)]
+
+
+def shuffled(spark, act):
+    """Bytes that an action's jobs shuffle."""
+    context, group = spark.sparkContext, f"shuffled {random.random()}"
+    context.setJobGroup(group, group)
+    try:
+        act()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {s for j in context.statusTracker().getJobIdsForGroup(group) for s in context.statusTracker().getJobInfo(j).stageIds}
+    return sum(context._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+
+
+def long_texts(n, size=3000):
+    r = random.Random(n)
+    return {f"d{i}": " ".join(f"w{r.randint(0, 400)}" for _ in range(size)) for i in range(n)}
+
+
+def test_a_batch_is_cut_once_and_its_postings_stay_where_they_are(spark, tmp_path):
+    """Texts were cut twice, shuffled twice, and their postings, which outweigh them, shuffled by term."""
+    cuts, texts = spark.sparkContext.accumulator(0), long_texts(40)
+
+    def counted(content):
+        @T.F.udf("array<string>")
+        def run(text):
+            cuts.add(1)
+            return plain_words(text)
+
+        return run.asNondeterministic()(content)
+
+    index = T.TextIndex(spark, str(tmp_path / "i"), counted)
+    moved = shuffled(spark, lambda: index.put(changes(spark, texts), 0))
+    assert cuts.value == len(texts)
+    assert moved < sum(map(len, texts.values())) / 20
+    assert contents(index) == rebuilt(texts)
+
+
+@pytest.mark.parametrize("spread", [1, 4, 9])
+def test_the_latest_row_counts_wherever_rows_lie(spark, tmp_path, spread):
+    """Documents with one row stay in their tasks, those with several are brought together."""
+    texts = made_up(7, 30)
+    rows = [(d, 1, t) for d, t in texts.items()] + [("d3", 0, "old"), ("d4", 2, None), ("d5", 2, "new new"), ("d5", 1, "older"), ("d6", 0, None), (None, 1, "x")]
+    texts = {d: "new new" if d == "d5" else t for d, t in texts.items() if d != "d4"}
+    index = T.TextIndex(spark, str(tmp_path / "i"))
+    index.put(spark.createDataFrame(spark.sparkContext.parallelize(rows, spread), "doc string, at int, content string"), 0)
+    assert contents(index) == rebuilt(texts)
+    assert {r["doc"]: r["length"] for r in index.live().collect()} == {d: len(plain_words(t)) for d, t in texts.items()}
