@@ -27,7 +27,7 @@ from ..functions import groups as B
 from ..functions import text as X
 from .fulltext import Query, plain_words
 
-#: Documents that are changed more than once in a batch, and documents whose postings are void, up to which they are broadcast.
+#: Documents that are changed more than once in a batch, and groups of 64 numbers of documents with void ones among them, up to which they are broadcast.
 FEW = 1_000_000
 #: Rows of a page, the least that a search reads of a file with its term.
 PAGE = 4_000
@@ -106,7 +106,7 @@ class TextIndex:
         return self._live_postings(terms).join(self.live().select("doc", "length", "origin", "id"), ["origin", "id"]).select("term", "doc", "positions", "length")
 
     def _live_postings(self, terms: list[str] | None = None) -> DataFrame:
-        """term, origin, id, positions. Where several segments count, postings of documents with a newer one are left out."""
+        """term, origin, id, positions. Where several segments count, postings of documents with a newer one are left out: a bit for each is broadcast, so postings stay where they are."""
         own = self.segments()
         if not own:
             return self.spark.createDataFrame([], "term string, origin int, id bigint, positions array<int>")
@@ -114,9 +114,10 @@ class TextIndex:
         if len(own) > 1:
             held = F.struct("seg", "origin", "id")
             old = self._docs().groupBy("doc").agg(F.collect_list(held).alias("all"), F.max(held).alias("newest")).where(F.size("all") > 1)
-            void = old.select(F.explode(F.filter("all", lambda d: d != F.col("newest"))).alias("d")).select("d.origin", "d.id")
+            void = old.select(F.explode(F.filter("all", lambda d: d != F.col("newest"))).alias("d")).select("d.origin", F.expr("d.id div 64").alias("word"), F.expr("cast(d.id % 64 as int)").alias("bit"))
+            void = void.groupBy("origin", "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("gone"))
             few = void.limit(FEW + 1).count() <= FEW
-            rows = rows.join(F.broadcast(void) if few else void, ["origin", "id"], "left_anti")
+            rows = rows.withColumn("word", F.expr("id div 64")).join(F.broadcast(void) if few else void, ["origin", "word"], "left").where("gone is null or getbit(gone, id % 64) = 0")
         return rows.select("term", "origin", "id", "positions")
 
     def merge(self, number: int) -> None:

@@ -220,3 +220,20 @@ def test_the_latest_row_counts_wherever_rows_lie(spark, tmp_path, spread):
     index.put(spark.createDataFrame(spark.sparkContext.parallelize(rows, spread), "doc string, at int, content string"), 0)
     assert contents(index) == rebuilt(texts)
     assert {r["doc"]: r["length"] for r in index.live().collect()} == {d: len(plain_words(t)) for d, t in texts.items()}
+
+
+def test_a_merge_leaves_postings_where_they_are(spark, tmp_path, monkeypatch):
+    """A merge shuffled all postings by term, and by document too where many were void: a bit for each void document is broadcast."""
+    monkeypatch.setattr(T, "FEW" if hasattr(T, "FEW") else "VOID", 60)
+    texts = long_texts(400, 300)
+    index = T.TextIndex(spark, str(tmp_path / "i"))
+    index.put(changes(spark, texts), 0)
+    step = {d: None if k % 3 else "moved" for k, d in enumerate(texts) if k % 2}
+    index.put(changes(spark, step), 1)
+    live = {d: t for d, t in (texts | step).items() if t is not None}
+    assert contents(index) == rebuilt(live)
+    moved = shuffled(spark, lambda: index.merge(2))
+    assert index.segments() == [2] and contents(index) == rebuilt(live)
+    assert moved < sum(map(len, live.values())) / 4
+    index.put(changes(spark, {"d0": "again", "d1": "again"}), 3)  # documents keep their numbers through a merge
+    assert contents(index) == rebuilt(live | {"d0": "again", "d1": "again"})
